@@ -4,8 +4,8 @@ Each source has a target number of words; a document's expected copies are targe
 most ``max_repeat``. The whole part is taken; the fractional parts are rounded together. Two
 documents of a source with fractions p, q and sizes v, w trade mass (v*p + w*q stays the same) at
 random, without bias, until one fraction is 0 or 1; the other goes on to the next pair. Groups of
-about ``FAN`` documents are folded this way, each leaves one residual, and the residuals are grouped
-again: a reduction tree whose levels are keyed by (source, group), so a source with a third of all
+about ``FAN`` documents are folded this way, each passes on its residual and ``HOLD`` documents that it
+left alone, and these are grouped again: a reduction tree whose levels are keyed by (source, group), so a source with a third of all
 rows is spread like any other. At the root of a source one fraction is left; it is rounded to the
 nearer whole, and what then still misses the target is settled on documents of the root group.
 
@@ -19,12 +19,16 @@ result; rows that repeat a doc_id are mixed as documents of their own; other col
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-FAN = 64
+#: Documents in a group, and how many of them are held back for the next level: small and large ones
+#: alike, so that at a source's root enough documents are open to come near the target.
+FAN, HOLD = 64, 4
 SEED = 20_011
 
 
@@ -87,7 +91,7 @@ aggregate(slice(items, 2, size(items)),
 _SETTLE = f"""
 aggregate(array_sort(concat(done, array({_ITEM.format('rem', 'double(round(rem.p))')})),
     (a, b) -> CASE WHEN a.size <> b.size THEN IF(a.size > b.size, -1, 1) WHEN a.row < b.row THEN -1 ELSE 1 END),
-  named_struct('e', (rem.p - round(rem.p)) * rem.size + miss, 'done', filter(done, i -> false)),
+  named_struct('e', (rem.p - round(rem.p)) * rem.size, 'done', filter(done, i -> false)),
   (s, x) -> CASE
     WHEN x.p = 0 AND abs(s.e - x.size) < abs(s.e) THEN named_struct('e', s.e - x.size, 'done', concat(s.done, array({_ITEM.format('x', '1D')})))
     WHEN x.p = 1 AND abs(s.e + x.size) < abs(s.e) THEN named_struct('e', s.e + x.size, 'done', concat(s.done, array({_ITEM.format('x', '0D')})))
@@ -98,7 +102,6 @@ aggregate(array_sort(concat(done, array({_ITEM.format('rem', 'double(round(rem.p
 def mix(docs: DataFrame, max_repeat: int = 3, cycle: int = 3, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, size, source, source_size, target,
     copies, taken."""
-    spark = docs.sparkSession
     sized = common.cut(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"))
         .withColumn("row", F.monotonically_increasing_id()),
@@ -115,25 +118,28 @@ def mix(docs: DataFrame, max_repeat: int = 3, cycle: int = 3, seed: int = SEED)
 
     done = every.filter("size = 0 OR p <= 0").select("doc_id", "row", "size", *head, F.lit(0).alias("extra"))
     open_ = every.filter("size > 0 AND p > 0").select("doc_id", "row", "size", F.col("p"), *head)
-    groups, level = max(1, largest), 0
+    level = 0
     parts = [done]
     while True:
-        groups = -(-groups // FAN)
-        n_groups = F.greatest(F.lit(1), F.ceil(F.col("docs") / float(FAN ** (level + 1))))
+        per_group = FAN * (FAN / (HOLD + 1)) ** level
+        groups = math.ceil(largest / per_group)
+        n_groups = F.greatest(F.lit(1), F.ceil(F.col("docs") / per_group))
         item = F.struct(F.xxhash64("doc_id", "row", F.lit(seed + level)).alias("h"), "doc_id", "row", "size", "p")
         keyed = open_.withColumn("groups", n_groups).withColumn("g", F.pmod(F.xxhash64("row", "doc_id", F.lit(seed - 1 - level)), F.col("groups")))
         grouped = keyed.groupBy(*head, "groups", "g").agg(F.sort_array(F.collect_list(item)).alias("items"))
-        folded = grouped.select(*head, "groups", F.expr(_FOLD.format(seed=seed)).alias("f")).select(
-            *head, "groups", F.col("f.done").alias("done"), F.col("f.r").alias("rem")
+        grouped = grouped.withColumn("held", F.when(F.col("groups") > 1, F.slice("items", 1, F.least(F.lit(HOLD), F.size("items") - 1))).otherwise(F.slice("items", 1, 0)))
+        grouped = grouped.withColumn("items", F.slice("items", F.size("held") + 1, F.size("items")))
+        folded = grouped.select(*head, "groups", "held", F.expr(_FOLD.format(seed=seed)).alias("f")).select(
+            *head, "groups", F.col("f.done").alias("done"), F.col("f.r").alias("rem"), F.expr("concat(transform(held, i -> " + _ITEM.format("i", "i.p") + "), array(f.r))").alias("open")
         )
         folded = common.cut(folded, f"mix-level{level}")
-        root = folded.filter("groups = 1").withColumn("miss", F.lit(0.0))
+        root = folded.filter("groups = 1")
         parts.append(root.select(*head, F.explode(F.expr(_SETTLE)).alias("d")))
         inner = folded.filter("groups > 1")
         parts.append(inner.select(*head, F.explode("done").alias("d")))
         if groups <= 1:
             break
-        open_ = inner.select("rem.doc_id", "rem.row", "rem.size", "rem.p", *head)
+        open_ = inner.select(F.explode("open").alias("o"), *head).select("o.doc_id", "o.row", "o.size", "o.p", *head)
         level += 1
     out = parts[0]
     for part in parts[1:]:
