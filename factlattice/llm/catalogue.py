@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import byte_bpe, exact_dedup, mixing
 
 QUERIES = {
+    "op7_byte_bpe": byte_bpe.query,
     "op1_mix_sources": mixing.query,
     "op6_exact_dedup": exact_dedup.query,
 }

@@ -23,7 +23,11 @@ from . import common
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+#: Memory is bounded for all stores of an executor together, and stores take no disk in advance.
+_ROCKS_CONF = {
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Copies of one text that one salt of the byte check takes.
 SALT_ROWS = 256
 
@@ -40,9 +44,10 @@ def _state_of(spool: str, spark, max_bytes: int):
     """Run the stream over the spool to its end and return the state as a table:
     digest, first (struct doc_id, row), group_size."""
     shared = common.new_path(spark, "dedup-state")
-    before = {k: spark.conf.get(k, None) for k in (_PROVIDER, _BOUNDED)}
-    spark.conf.set(_PROVIDER, _ROCKS)
-    spark.conf.set(_BOUNDED, "true")
+    conf = {_PROVIDER: _ROCKS, **_ROCKS_CONF}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
     try:
         schema = spark.read.parquet(spool).schema
         stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes)).parquet(spool)
