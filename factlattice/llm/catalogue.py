@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, mixing
+from . import byte_bpe, exact_dedup, mixing, near_dedup
 
 QUERIES = {
+    "op2_near_dedup": near_dedup.query,
     "op7_byte_bpe": byte_bpe.query,
     "op1_mix_sources": mixing.query,
     "op6_exact_dedup": exact_dedup.query,
 }
 ORACLE = {
+    "op2_near_dedup": near_dedup.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
