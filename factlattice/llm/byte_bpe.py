@@ -164,9 +164,11 @@ def digests(text: Column, name: str = VOCABULARY) -> Column:
 
 def with_ids(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """``docs`` with one more column ``bpe``: n_tokens, ids, ids_sha256, decoded_sha256."""
+    common.ship(docs.sparkSession)
     return docs.withColumn("bpe", encoded(common.text_of(), name))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    common.ship(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", digests(common.text_of()).alias("e")).select("doc_id", "e.*")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, mixing, near_dedup
+from . import byte_bpe, exact_dedup, mixing, near_dedup, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.query,
     "op2_near_dedup": near_dedup.query,
     "op7_byte_bpe": byte_bpe.query,
     "op1_mix_sources": mixing.query,

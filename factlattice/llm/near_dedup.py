@@ -7,8 +7,9 @@
 3. Pairs of a bucket are verified on their full sets: shared * 100 >= 80 * union. A bucket is not
    expanded into all its pairs: in each of a few rounds one member (chosen by hash) is compared with
    the members of other components, then components are joined. Buckets whose members are all in one
-   component are done. What is left after the rounds, pairs of different components, is verified in
-   full, so no link that could join two components is lost.
+   component are done, and so are classes too few of whose shingles occur in other components. What
+   is left after the rounds, pairs of different components, is verified in full, so no link that could
+   join two components is lost.
 4. Components take the smallest doc_id by label propagation with pointer jumping.
 
 Every exchange moves one row per document, band or pair, or the texts of pairs; no group is gathered
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from . import common, shingles
 
 BANDS, ROWS = 48, 6
-#: Rounds that compare one member of each bucket with the others before what is left is verified.
-ROUNDS = 4
+#: Rounds that compare one member of each bucket with the others before what is left is verified; the
+#: first PRUNE take a member by chance, the others the one whose shingles are the most common.
+ROUNDS, PRUNE = 4, 2
 
 
 def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
@@ -81,6 +83,45 @@ def _verifier(k: int, percent: int):
     return run
 
 
+def _shingle_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _texts(batch.column("text"))
+            for start, end in shingles.runs(texts):
+                found = shingles.sets(texts[start:end], k)
+                at = np.repeat(np.arange(start, end), [len(s) for s in found])
+                columns = [batch.column(c).take(pa.array(at)) for c in ("rep", "n", "comp", "block")]
+                flat = np.concatenate(found) if len(at) else np.empty(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(flat.view(np.int64))], names=["rep", "n", "comp", "block", "shingle"])
+
+    return run
+
+
+def _undecided(open_: DataFrame) -> DataFrame:
+    """The buckets whose members lie in several components."""
+    split = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    return common.cut(open_.join(split, "key").select("key", "rep", "n", "c", "w", "comp"), "near-buckets")
+
+
+def _able(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The open buckets with c, how many of a set's shingles occur in another component of its block
+    (classes that buckets connect), without the classes that can't be linked any more. Two sets share
+    at most the smaller c; a link needs (100 + percent) * shared >= percent * (n + m), so c alone shows
+    for most pairs that they aren't linked. Exact, and found without looking at pairs. w, how often a
+    class's shingles occur in its block, is largest for the text that a family of copies stems from."""
+    low = open_.groupBy("key").agg(F.min("rep").alias("a"))
+    block = components(open_.join(low, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    members = open_.select("rep", "n", "comp").distinct().join(block.toDF("rep", "block"), "rep")
+    members = common.cut(members.select("rep", "n", "comp", "block"), "near-members")
+    texts = docs.join(common.small(members, members.count()), F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id"])
+    kind = "rep long, n long, comp long, block long, shingle long"
+    rows = common.cut(texts.select("rep", "n", "comp", "block", "text").mapInArrow(_shingle_rows(k), kind), "near-shingles")
+    across = rows.groupBy("block", "shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("in")).filter("lo < hi").select("block", "shingle", "in")
+    able = rows.join(across, ["block", "shingle"]).groupBy("rep", "n").agg(F.count(F.lit(1)).alias("c"), F.sum("in").cast("double").alias("w"))
+    able = able.filter(100 * F.col("c") >= percent * F.col("n"))
+    return _undecided(open_.drop("c", "w").join(able.select("rep", "c", "w"), "rep"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts' full sets are similar enough. Moves texts of pairs only."""
     ids = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
@@ -109,6 +150,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    common.ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     sketched = common.cut(
         docs.mapInArrow(_sketcher(k, n_bands, rows), "doc_id long, n_shingles long, set_id binary, bands array<long>"), "near-sketches"
@@ -119,20 +161,22 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int = BA
     )
     buckets = classes.filter("rep IS NOT NULL").select("rep", "n", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
-    open_ = common.cut(buckets.join(shared, "key").select("key", "rep", "n", F.col("rep").alias("comp")), "near-buckets")
+    open_ = common.cut(buckets.join(shared, "key").select("key", "rep", "n", F.col("n").alias("c"), F.lit(0.0).alias("w"), F.col("rep").alias("comp")), "near-buckets")
     label = None  # class -> component, for classes with a link
     tested = None
     for r in range(rounds + 1):
         if not open_.limit(1).count():
             break
-        x = open_.select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+        x = open_.select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c").alias("mx"), F.col("comp").alias("cx"))
+        may = (100 + percent) * F.least("mx", "my") >= percent * (F.col("nx") + F.col("ny"))
         if r < rounds:  # one member against the others
-            hub = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), "rep", "n", "comp")).alias("hub"))
-            hub = hub.select("key", F.col("hub.rep").alias("y"), F.col("hub.n").alias("ny"), F.col("hub.comp").alias("cy"))
-            pairs = x.join(hub, "key").filter("cx <> cy")
+            chance = F.pmod(F.xxhash64("rep", F.lit(r)), F.lit(1 << 20)) / float(1 << 20)
+            order = F.when(F.col("w") == 0, chance).otherwise(-F.col("w") * (1 + 0.1 * (r - PRUNE) * chance))
+            hub = open_.groupBy("key").agg(F.min(F.struct(order.alias("h"), "rep", "n", "c", "comp")).alias("hub"))
+            hub = hub.select("key", F.col("hub.rep").alias("y"), F.col("hub.n").alias("ny"), F.col("hub.c").alias("my"), F.col("hub.comp").alias("cy"))
+            pairs = x.join(hub, "key").filter((F.col("cx") != F.col("cy")) & may)
         else:  # every pair of different components that is left
-            pairs = x.join(x.toDF("key", "y", "ny", "cy"), "key").filter("cx < cy")
-        pairs = pairs.filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+            pairs = x.join(x.toDF("key", "y", "ny", "my", "cy"), "key").filter((F.col("cx") < F.col("cy")) & may)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -156,8 +200,9 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int = BA
         if r == rounds:
             break
         now = open_.drop("comp").join(label.toDF("rep", "l"), "rep", "left").withColumn("comp", F.coalesce("l", "rep")).drop("l")
-        split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        open_ = common.cut(now.join(split, "key").select("key", "rep", "n", "comp"), "near-buckets")
+        open_ = _undecided(now)
+        if r == PRUNE - 1 and open_.limit(1).count():
+            open_ = _able(open_, docs, k, percent)
     found = classes.select("set_id", "rep")
     if label is not None:
         found = found.join(label.toDF("rep", "l"), "rep", "left").select("set_id", F.coalesce("l", "rep").alias("c"))
