@@ -166,7 +166,7 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         stems[w[:k]] += n
             sums[toxic].update(["", *("=" + w for w in words if len(w) >= HEAD), *("^" + g for g, n in stems.items() if n > 1)])
     grams = sorted({*sums[0], *sums[1]})
-    yield pd.DataFrame({"gram": grams, "n1": [sums[1][g] for g in grams], "n0": [sums[0][g] for g in grams]})
+    yield pd.DataFrame({"gram": pd.Series(grams, dtype=object), "n1": [sums[1][g] for g in grams], "n0": [sums[0][g] for g in grams]})
 
 
 def word_voters(counts: pd.DataFrame, least: float, surprise: float = 20.0, ratio: float = 10.0, most: int = 200) -> Voters:
