@@ -183,9 +183,12 @@ def word_voters(counts: pd.DataFrame, least: float, surprise: float = 20.0, rati
     good = ~listed & (counts.gram != "") & (counts.n1 >= least) & (rate1 >= ratio * (rate0 + 0.5 / n0)) & (told >= surprise)
     words: list[str] = []
     stems: list[str] = []
-    for gram in counts.assign(told=told)[good].sort_values(["told", "gram"], ascending=[False, True]).gram:
+    ranked = counts.assign(told=told, length=counts.gram.str.len())[good]
+    for gram in ranked.sort_values(["told", "length", "gram"], ascending=[False, False, True]).gram:
         if len(words) + len(stems) >= most:
             break
+        if any(w.startswith(gram[1:]) for w in _FIXED):
+            continue
         if any(gram[1:].startswith(g) or g.startswith(gram[1:]) for g in (*words, *stems)):
             continue
         (words if gram[0] == "=" else stems).append(gram[1:])
