@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, mixing, near_dedup, toxicity
+from . import byte_bpe, exact_dedup, language_id, mixing, near_dedup, toxicity
 
 QUERIES = {
+    "op5_language_id": language_id.query,
     "op3_toxicity": toxicity.query,
     "op2_near_dedup": near_dedup.query,
     "op7_byte_bpe": byte_bpe.query,

@@ -105,13 +105,13 @@ def _undecided(open_: DataFrame) -> DataFrame:
 
 def _able(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The open buckets with c, how many of a set's shingles occur in another component of its block
-    (classes that buckets connect), without the classes that can't be linked any more. Two sets share
+    (components that buckets connect), without the classes that can't be linked any more. Two sets share
     at most the smaller c; a link needs (100 + percent) * shared >= percent * (n + m), so c alone shows
     for most pairs that they aren't linked. Exact, and found without looking at pairs. w, how often a
     class's shingles occur in its block, is largest for the text that a family of copies stems from."""
-    low = open_.groupBy("key").agg(F.min("rep").alias("a"))
-    block = components(open_.join(low, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct())
-    members = open_.select("rep", "n", "comp").distinct().join(block.toDF("rep", "block"), "rep")
+    low = open_.groupBy("key").agg(F.min("comp").alias("a"))
+    block = components(open_.join(low, "key").filter("comp <> a").select("a", F.col("comp").alias("b")).distinct())
+    members = open_.select("rep", "n", "comp").distinct().join(block.toDF("comp", "block"), "comp")
     members = common.cut(members.select("rep", "n", "comp", "block"), "near-members")
     texts = docs.join(common.small(members, members.count()), F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id"])
     kind = "rep long, n long, comp long, block long, shingle long"
