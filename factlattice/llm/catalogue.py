@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, mixing, near_dedup, toxicity
+from . import byte_bpe, exact_dedup, language_id, lattice_lm, mixing, near_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op4_token_counts": token_counts.query,
+    "op9_lattice_lm": lattice_lm.query,
     "op5_language_id": language_id.query,
     "op3_toxicity": toxicity.query,
     "op2_near_dedup": near_dedup.query,
