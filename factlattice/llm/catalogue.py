@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, lattice_lm, mixing, near_dedup, token_counts, toxicity, vector_search
+from . import byte_bpe, exact_dedup, language_id, lattice_lm, mixing, near_dedup, page_text, token_counts, toxicity, vector_search
 
 QUERIES = {
+    "op10_page_text": page_text.query,
     "op8_vector_search": vector_search.query,
     "op4_token_counts": token_counts.query,
     "op9_lattice_lm": lattice_lm.query,
