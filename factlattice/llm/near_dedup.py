@@ -35,6 +35,8 @@ BANDS, ROWS = 48, 6
 #: Rounds that compare one member of each bucket with the others before what is left is verified; the
 #: first PRUNE take a member by chance, the others the one whose shingles are the most common.
 ROUNDS, PRUNE = 4, 2
+#: Pairs whose sets a worker holds at a time.
+PAIRS = 500
 
 
 def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
@@ -67,16 +69,18 @@ def _sketcher(k: int, n_bands: int, rows: int):
 def _verifier(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = _texts(batch.column("text_a")), _texts(batch.column("text_b"))
-            linked = np.zeros(len(a), dtype=bool)
-            for start, end in shingles.runs([(x or b"") + (y or b"") for x, y in zip(ta, tb)], 4 << 20):
-                texts = dict(zip(a[start:end], ta[start:end])) | dict(zip(b[start:end], tb[start:end]))
-                of = dict(zip(texts, shingles.sets(list(texts.values()), k)))
-                for i in range(start, end):
-                    x, y = of[a[i]], of[b[i]]
-                    shared = shingles.overlap(x, y)
-                    linked[i] = shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
+            linked = np.zeros(batch.num_rows, dtype=bool)
+            for start in range(0, batch.num_rows, PAIRS):
+                a, b, ta, tb = (c.slice(start, PAIRS) for c in (batch.column(n) for n in ("a", "b", "text_a", "text_b")))
+                a, b, ta, tb = a.to_pylist(), b.to_pylist(), _texts(ta), _texts(tb)
+                texts = dict(zip(a, ta)) | dict(zip(b, tb))
+                ids, own = list(texts), list(texts.values())
+                of: dict[int, np.ndarray] = {}
+                for lo, hi in shingles.runs(own, 1 << 19):
+                    of.update(zip(ids[lo:hi], shingles.sets(own[lo:hi], k)))
+                for i, (x, y) in enumerate(zip(a, b), start):
+                    shared = shingles.overlap(of[x], of[y])
+                    linked[i] = shared > 0 and 100 * shared >= percent * (len(of[x]) + len(of[y]) - shared)
             keep = pa.array(linked)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 

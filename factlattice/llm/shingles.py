@@ -31,7 +31,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         inverse = pow(_BASE, -1, 2**64)
         for name, base in (("up", _BASE), ("down", inverse)):
             steps = np.full(size, base, dtype=np.uint64)
@@ -40,7 +40,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def runs(texts: list[bytes | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def runs(texts: list[bytes | None], size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``size`` bytes; a longer text is a run of its own."""
     start = total = 0
     for i, t in enumerate(texts):
