@@ -121,7 +121,7 @@ def normalised_name_join(spark, sf_dir):
 def asof_best_order(spark, sf_dir):
     o = table(spark, sf_dir, "orders").filter("o_orderdate <= TIMESTAMP '1997-01-01'")
     rank = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    best = F.min_by("o_orderkey", F.struct(rank, -F.unix_micros("o_orderdate"), "o_orderkey"))
+    best = F.min_by("o_orderkey", F.struct(rank, -F.unix_micros(F.col("o_orderdate").cast("timestamp")), "o_orderkey"))
     return o.groupBy("o_custkey").agg(best.alias("o_orderkey"))
 
 
