@@ -8,8 +8,8 @@
    expanded into all its pairs: in each of a few rounds one member (chosen by hash) is compared with
    the members of other components, then components are joined. Buckets whose members are all in one
    component are done, and so are classes too few of whose shingles occur in other components. What
-   is left after the rounds, pairs of different components, is verified in full, so no link that could
-   join two components is lost.
+   is left after the rounds, pairs of different components, is found by an exact bound (see ``_rest``)
+   and verified, so no link that could join two components is lost.
 4. Components take the smallest doc_id by label propagation with pointer jumping.
 
 Every exchange moves one row per document, band or pair, or the texts of pairs; no group is gathered
@@ -35,6 +35,9 @@ BANDS, ROWS = 48, 6
 #: Rounds that compare one member of each bucket with the others before what is left is verified; the
 #: first PRUNE take a member by chance, the others the one whose shingles are the most common.
 ROUNDS, PRUNE = 4, 2
+#: After the rounds: a shingle of more than RARE members of a block counts as one that the block's
+#: texts have in common; those are counted in PARTS parts by hash.
+RARE, PARTS = 64, 32
 #: Pairs whose sets a worker holds at a time.
 PAIRS = 500
 
@@ -107,12 +110,13 @@ def _undecided(open_: DataFrame) -> DataFrame:
     return common.cut(open_.join(split, "key").select("key", "rep", "n", "c", "w", "comp"), "near-buckets")
 
 
-def _able(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _able(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The open buckets with c, how many of a set's shingles occur in another component of its block
     (components that buckets connect), without the classes that can't be linked any more. Two sets share
     at most the smaller c; a link needs (100 + percent) * shared >= percent * (n + m), so c alone shows
     for most pairs that they aren't linked. Exact, and found without looking at pairs. w, how often a
-    class's shingles occur in its block, is largest for the text that a family of copies stems from."""
+    class's shingles occur in its block, is largest for the text that a family of copies stems from.
+    Returns the open buckets and the shingles (rep, n, block, shingle) of their members."""
     low = open_.groupBy("key").agg(F.min("comp").alias("a"))
     block = components(open_.join(low, "key").filter("comp <> a").select("a", F.col("comp").alias("b")).distinct())
     members = open_.select("rep", "n", "comp").distinct().join(block.toDF("comp", "block"), "comp")
@@ -123,7 +127,44 @@ def _able(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     across = rows.groupBy("block", "shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("in")).filter("lo < hi").select("block", "shingle", "in")
     able = rows.join(across, ["block", "shingle"]).groupBy("rep", "n").agg(F.count(F.lit(1)).alias("c"), F.sum("in").cast("double").alias("w"))
     able = able.filter(100 * F.col("c") >= percent * F.col("n"))
-    return _undecided(open_.drop("c", "w").join(able.select("rep", "c", "w"), "rep"))
+    return _undecided(open_.drop("c", "w").join(able.select("rep", "c", "w"), "rep")), rows.drop("comp")
+
+
+def _rest(open_: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) of different components left to verify: every one that may be linked, few others.
+
+    Call a shingle common if more than RARE members of its block have it. Two sets share at most the sum,
+    over PARTS parts of the common shingles, of the smaller of their two counts there, and the rare
+    shingles that both have. So a linked pair passes the bound by common shingles alone, or shares a rare
+    shingle; pairs of the second kind are at most RARE times the rows of rare shingles, whatever a
+    family's size. Exact for any choice of RARE and PARTS."""
+    members = common.cut(open_.select("rep", "comp").distinct(), "near-members")
+    rows = rows.join(common.small(members, members.count()), "rep")
+    many = rows.groupBy("block", "shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("in")).filter("lo < hi")
+    rows = common.cut(rows.join(many.select("block", "shingle", (F.col("in") > RARE).alias("shared")), ["block", "shingle"]), "near-shared")
+    part = F.pmod(F.xxhash64("shingle", F.lit(1)), F.lit(PARTS))
+    counts = [F.count(F.when(part == g, 1)).cast("short") for g in range(PARTS)]
+    t = rows.filter("shared").groupBy("rep").agg(F.count(F.lit(1)).alias("t"), F.array(*counts).alias("p"))
+    t = common.cut(t, "near-common")
+
+    # pairs that their common shingles don't rule out, among the members of a bucket
+    able = open_.select("key", "rep", "n", "comp").join(t, "rep")
+    least = able.groupBy("key").agg(F.min("n").alias("least"))
+    able = able.join(least, "key").filter((100 + percent) * F.col("t") >= percent * (F.col("n") + F.col("least"))).drop("least")
+    split = able.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    able = common.cut(able.join(split, "key").select("key", "rep", "n", "comp", "t", "p"), "near-able")
+    x, y = able.toDF("key", "x", "nx", "cx", "tx", "px"), able.toDF("key", "y", "ny", "cy", "ty", "py")
+    need = percent * (F.col("nx") + F.col("ny"))
+    most = F.aggregate(F.zip_with("px", "py", lambda a, b: F.least(a, b).cast("int")), F.lit(0), lambda total, v: total + v)
+    near = (F.col("cx") < F.col("cy")) & ((100 + percent) * F.least("tx", "ty") >= need)
+    alike = x.join(y, (x["key"] == y["key"]) & near & ((100 + percent) * most >= need)).select("x", "y")
+
+    # pairs that share rare shingles
+    rare = rows.filter("NOT shared").join(t.select("rep", "t"), "rep", "left").select("block", "shingle", "rep", "n", "comp", F.coalesce("t", F.lit(0)).alias("t"))
+    x, y = rare.toDF("block", "shingle", "x", "nx", "cx", "tx"), rare.toDF("block", "shingle", "y", "ny", "cy", "ty")
+    both = x.join(y, ["block", "shingle"]).filter("cx < cy").groupBy("x", "y", "nx", "ny", "tx", "ty").agg(F.count(F.lit(1)).alias("both"))
+    both = both.filter((100 + percent) * (F.least("tx", "ty") + F.col("both")) >= need)
+    return alike.union(both.select("x", "y"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -153,7 +194,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept. ``rounds`` is 1 or more."""
     common.ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     sketched = common.cut(
@@ -179,8 +220,8 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int = BA
             hub = open_.groupBy("key").agg(F.min(F.struct(order.alias("h"), "rep", "n", "c", "comp")).alias("hub"))
             hub = hub.select("key", F.col("hub.rep").alias("y"), F.col("hub.n").alias("ny"), F.col("hub.c").alias("my"), F.col("hub.comp").alias("cy"))
             pairs = x.join(hub, "key").filter((F.col("cx") != F.col("cy")) & may)
-        else:  # every pair of different components that is left
-            pairs = x.join(x.toDF("key", "y", "ny", "my", "cy"), "key").filter((F.col("cx") < F.col("cy")) & may)
+        else:  # the pairs of different components that are left
+            pairs = _rest(open_, rest, percent)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -205,8 +246,8 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int = BA
             break
         now = open_.drop("comp").join(label.toDF("rep", "l"), "rep", "left").withColumn("comp", F.coalesce("l", "rep")).drop("l")
         open_ = _undecided(now)
-        if r == PRUNE - 1 and open_.limit(1).count():
-            open_ = _able(open_, docs, k, percent)
+        if r == min(PRUNE, rounds) - 1 and open_.limit(1).count():
+            open_, rest = _able(open_, docs, k, percent)
     found = classes.select("set_id", "rep")
     if label is not None:
         found = found.join(label.toDF("rep", "l"), "rep", "left").select("set_id", F.coalesce("l", "rep").alias("c"))

@@ -67,6 +67,21 @@ def test_mixing(spark):
     assert mixing.mixed_rows(d).count() == found.copies.sum()
 
 
+def similar_groups(texts):
+    """Brute force: each text's set of two-word shingles, and the smallest index it reaches."""
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 2]) for i in range(len(w) - 1)} or ({tuple(w)} if w else set()))
+    comp = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = comp[i], comp[j]
+                comp = [min(x, y) if c in (x, y) else c for c in comp]
+    return sets, comp
+
+
 def test_near_dedup_by_brute_force(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(300)]
@@ -78,21 +93,34 @@ def test_near_dedup_by_brute_force(spark):
             for _ in range(rng.randint(0, 5)):
                 t[rng.randrange(len(t))] = rng.choice(vocabulary)
             texts.append(" ".join(t))
-    sets = []
-    for t in texts:
-        w = (t or "").split()
-        sets.append({tuple(w[i : i + 2]) for i in range(len(w) - 1)} or ({tuple(w)} if w else set()))
-    comp = list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
-                x, y = comp[i], comp[j]
-                comp = [min(x, y) if c in (x, y) else c for c in comp]
+    sets, comp = similar_groups(texts)
     got = {r.doc_id: r for r in near_dedup.near_dedup(docs(spark, texts), k=2).collect()}
     for i, s in enumerate(sets):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(s), comp[i], comp[i] == i)
 
 
+@pytest.mark.parametrize("rare", [1, 64])
+def test_near_dedup_of_a_large_family(spark, monkeypatch, rare):
+    """Many edited copies of one text, a part of them linked to nothing or only to each other."""
+    monkeypatch.setattr(near_dedup, "RARE", rare)
+    rng = random.Random(rare)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(160):
+        t = list(base)
+        for _ in range(rng.choice([0, 2, 5, 6, 7, 8, 10])):
+            t[rng.randrange(len(t))] = rng.choice([f"x{rng.randrange(12)}", "of"])
+        texts.append(" ".join(t))
+        if i % 16 == 0:  # a pair far from the base that is linked to each other
+            t[3] = "of"
+            texts.append(" ".join(t))
+    sets, comp = similar_groups(texts)
+    assert len(set(comp)) > 10
+    got = {r.doc_id: r for r in near_dedup.near_dedup(docs(spark, texts), k=2, rounds=1).collect()}
+    for i, s in enumerate(sets):
+        assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(s), comp[i], comp[i] == i)
+
+
 def test_sketch_estimates_jaccard():
     a = np.unique(np.random.default_rng(1).integers(0, 2**63, 500, dtype=np.uint64))
     b = np.concatenate([a[:400], np.random.default_rng(2).integers(0, 2**63, 100, dtype=np.uint64)])
