@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Rows up to which a table of narrow rows (ids, hashes) may be broadcast: about 64 MB.
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch while ``cut`` writes: whole texts go to Python a few MB at a time.
+ARROW_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +52,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: later stages survive lost executors, and the
     plan restarts from a table whose size Spark knows."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path, spark, batch = new_path(df.sparkSession, name), df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(batch, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -26,6 +26,7 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 #: Memory is bounded for all stores of an executor together, and stores take no disk in advance.
 _ROCKS_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Copies of one text that one salt of the byte check takes.
