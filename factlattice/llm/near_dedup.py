@@ -1,7 +1,8 @@
 """Near-duplicate detection: fast similarity sketches, banding, exact verification, components.
 
-1. Each text becomes its set of word shingles and a sketch of ``bands * rows`` coordinates (Arrow
-   batches). Texts with the same set form one class; its smallest doc_id stands for it.
+1. Rows are written once with a key of their own. Each text becomes its set of word shingles and a
+   sketch of ``bands * rows`` coordinates (Arrow batches). Texts with the same set form one class; the
+   row of its smallest doc_id stands for it.
 2. Classes that agree on a band share a bucket. With 48 bands of 6 rows a pair at similarity 0.8 is
    missed with probability (1 - 0.8**6)**48 < 5e-7, a likelier one with far less.
 3. Pairs of a bucket are verified on their full sets: shared * 100 >= 80 * union. A bucket is not
@@ -10,13 +11,14 @@
    component are done, and so are classes too few of whose shingles occur in other components. What
    is left after the rounds, pairs of different components, is found by an exact bound (see ``_rest``)
    and verified, so no link that could join two components is lost.
-4. Components take the smallest doc_id by label propagation with pointer jumping.
+4. Components are found by label propagation with pointer jumping; the smallest doc_id names each.
 
 Every exchange moves one row per document, band or pair, or the texts of pairs; no group is gathered
 in one task. Defined results: null text or no words: empty set, linked with nothing; fewer words than
-a shingle: one shingle; repeated rows and equal texts are one class; a null doc_id never stands for a
-class that has another id; an empty table gives an empty result; other columns are ignored by
-``near_dedup`` and carried by ``drop_near_copies``.
+a shingle: one shingle; repeated rows and equal texts are one class; rows that share a doc_id or have
+none are compared as documents of their own; of each component one row is kept, of its smallest doc_id
+(null last); an empty table gives an empty result; other columns are ignored by ``near_dedup`` and
+carried by ``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -58,12 +60,13 @@ def _sketcher(k: int, n_bands: int, rows: int):
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, n_bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        batch.column("row").slice(start, end - start),
                         batch.column("doc_id").slice(start, end - start),
                         pa.array(sizes),
                         pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in found], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed.view(np.int64).ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "set_id", "bands"],
+                    names=["row", "doc_id", "n_shingles", "set_id", "bands"],
                 )
 
     return run
@@ -121,7 +124,7 @@ def _able(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[Data
     block = components(open_.join(low, "key").filter("comp <> a").select("a", F.col("comp").alias("b")).distinct())
     members = open_.select("rep", "n", "comp").distinct().join(block.toDF("comp", "block"), "comp")
     members = common.cut(members.select("rep", "n", "comp", "block"), "near-members")
-    texts = docs.join(common.small(members, members.count()), F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id"])
+    texts = docs.join(common.small(members, members.count()), F.col("row") == F.col("rep"))
     kind = "rep long, n long, comp long, block long, shingle long"
     rows = common.cut(texts.select("rep", "n", "comp", "block", "text").mapInArrow(_shingle_rows(k), kind), "near-shingles")
     across = rows.groupBy("block", "shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("in")).filter("lo < hi").select("block", "shingle", "in")
@@ -169,11 +172,11 @@ def _rest(open_: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts' full sets are similar enough. Moves texts of pairs only."""
-    ids = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    texts = docs.join(common.small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = common.cut(texts.select("doc_id", "text"), "near-texts")
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    ids = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "near-ids")
+    texts = docs.join(common.small(ids, ids.count()), "row", "left_semi")
+    texts = common.cut(texts.select("row", "text"), "near-texts")
+    a = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_verifier(k, percent), "a long, b long")
 
@@ -193,18 +196,28 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
-def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept. ``rounds`` is 1 or more."""
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written with a key of each row."""
+    return common.cut(docs.withColumn("__fl_row", F.monotonically_increasing_id()), "near-rows")
+
+
+def near_dedup(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    return _decided(_numbered(docs.select("doc_id", "text")), **options).drop("row")
+
+
+def _decided(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept for ``_numbered`` docs. ``rounds`` is 1 or more."""
     common.ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
+    docs = docs.select(F.col("__fl_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     sketched = common.cut(
-        docs.mapInArrow(_sketcher(k, n_bands, rows), "doc_id long, n_shingles long, set_id binary, bands array<long>"), "near-sketches"
-    )
-    classes = common.cut(
-        sketched.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")),
-        "near-classes",
+        docs.mapInArrow(_sketcher(k, n_bands, rows), "row long, doc_id long, n_shingles long, set_id binary, bands array<long>"), "near-sketches"
     )
-    buckets = classes.filter("rep IS NOT NULL").select("rep", "n", F.explode("bands").alias("key"))
+    docs = docs.select("row", "text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    classes = sketched.filter("set_id IS NOT NULL").groupBy("set_id").agg(first.alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
+    classes = common.cut(classes.withColumn("rep", F.col("first.row")), "near-classes")
+    buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
     open_ = common.cut(buckets.join(shared, "key").select("key", "rep", "n", F.col("n").alias("c"), F.lit(0.0).alias("w"), F.col("rep").alias("comp")), "near-buckets")
     label = None  # class -> component, for classes with a link
@@ -248,21 +261,24 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int = BA
         open_ = _undecided(now)
         if r == min(PRUNE, rounds) - 1 and open_.limit(1).count():
             open_, rest = _able(open_, docs, k, percent)
-    found = classes.select("set_id", "rep")
+    found = classes.select("set_id", "rep", "first")
     if label is not None:
-        found = found.join(label.toDF("rep", "l"), "rep", "left").select("set_id", F.coalesce("l", "rep").alias("c"))
-    else:
-        found = found.select("set_id", F.col("rep").alias("c"))
-    out = sketched.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
+        linked = label.join(classes.select("rep", "first"), F.col("node") == F.col("rep")).select("node", "label", "first")
+        lead = linked.groupBy("label").agg(F.min("first").alias("lead"))
+        linked = linked.drop("first").join(lead, "label").select("node", "lead")
+        found = found.join(linked, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("lead", "first").alias("first"))
+    found = found.select("set_id", F.col("first.doc_id").alias("c"), F.col("first.row").alias("stays"))
+    out = sketched.select("row", "doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
     out = out.withColumn("component_id", F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.coalesce("stays", "row")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group (the smallest doc_id), all columns kept."""
-    gone = near_dedup(docs.select("doc_id", "text"), **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__fl_id"))
+    """``docs`` with one row of each group (of the smallest doc_id), all columns kept."""
+    rows = _numbered(docs)
+    gone = _decided(rows, **options).filter(~F.col("kept")).select(F.col("row").alias("__fl_row"))
     gone = common.cut(gone, "near-gone")
-    return docs.join(common.small(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("__fl_id")), "left_anti")
+    return rows.join(common.small(gone, gone.count()), "__fl_row", "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

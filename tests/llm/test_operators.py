@@ -99,6 +99,24 @@ def test_near_dedup_by_brute_force(spark):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(s), comp[i], comp[i] == i)
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    base = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [
+        (1, base[0]), (None, base[0].upper()),  # a copy without an id goes, and no other row without one
+        (None, "unlike all the others"), (None, ""), (None, None),
+        (None, base[1]), (None, base[1] + " z"),  # near copies without ids: one stays
+        (5, base[2]), (5, base[3]), (4, base[3] + " z"), (6, base[2] + " z"),  # each text of a repeated id has its own copies
+        (8, base[4]), (8, base[4]),
+    ]
+    d = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    out = near_dedup.drop_near_copies(d, k=2)
+    stay = {r.row for r in out.collect()}
+    assert out.columns == d.columns and stay - {5, 6, 11, 12} == {0, 2, 3, 4, 7, 9} and len(stay & {5, 6}) == len(stay & {11, 12}) == 1
+    found = near_dedup.near_dedup(d, k=2).collect()
+    assert sorted(r.component_id for r in found if r.doc_id is not None) == [1, 4, 4, 5, 5, 8, 8]
+    assert len(found) == len(rows) and sum(r.kept for r in found) == len(stay)
+
+
 @pytest.mark.parametrize("rare", [1, 64])
 def test_near_dedup_of_a_large_family(spark, monkeypatch, rare):
     """Many edited copies of one text, a part of them linked to nothing or only to each other."""
