@@ -99,12 +99,12 @@ aggregate(array_sort(concat(done, array({_ITEM.format('rem', 'double(round(rem.p
 """
 
 
-def mix(docs: DataFrame, max_repeat: int = 3, cycle: int = 3, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source): doc_id, size, source, source_size, target,
-    copies, taken."""
+def mix(docs: DataFrame, max_repeat: int = 3, cycle: int = 3, seed: int = SEED, row: Column | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, source): doc_id, row, size, source, source_size, target,
+    copies, taken. ``row`` is a key of the rows, a number of their own unless given."""
+    row = F.monotonically_increasing_id() if row is None else row
     sized = common.cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"))
-        .withColumn("row", F.monotonically_increasing_id()),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), row.alias("row")),
         "mix-sizes",
     )
     by_source = common.cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), max_repeat, cycle), "mix-targets")
@@ -150,10 +150,10 @@ def mix(docs: DataFrame, max_repeat: int = 3, cycle: int = 3, seed: int = SEED)
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it (0 to max_repeat times)."""
-    found = mix(docs.select("doc_id", "text", "source"), **options)
-    plan = found.groupBy("doc_id").agg(F.max("copies").alias("__fl_copies")).withColumnRenamed("doc_id", "__fl_id")
-    plan = common.cut(plan.filter("__fl_copies <> 1"), "mix-copies")
-    joined = docs.join(common.small(plan, plan.count()), F.col("doc_id").eqNullSafe(F.col("__fl_id")), "left")
+    rows = common.cut(docs.withColumn("__fl_row", F.monotonically_increasing_id()), "mix-rows")
+    found = mix(rows, row=F.col("__fl_row"), **options).filter("copies <> 1")
+    plan = common.cut(found.select(F.col("row").alias("__fl_row"), F.col("copies").alias("__fl_copies")), "mix-copies")
+    joined = rows.join(common.small(plan, plan.count()), "__fl_row", "left")
     repeated = joined.withColumn("__fl_copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("__fl_copies", F.lit(1)))))
     return repeated.select(*docs.columns)
 

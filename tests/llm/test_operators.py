@@ -67,6 +67,18 @@ def test_mixing(spark):
     assert mixing.mixed_rows(d).count() == found.copies.sum()
 
 
+def test_mixed_rows_with_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"t{i} " + "w " * rng.randint(1, 30), rng.choice("aaabc")) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    took = {s: (taken, target) for s, taken, target in mixing.mix(d).groupBy("source").agg(F.sum("taken"), F.first("target")).collect()}
+    got = [r.asDict() for r in mixing.mixed_rows(d).collect()]
+    for s, (taken, target) in took.items():
+        mine = [len(r["text"].split()) for r in got if r["source"] == s]
+        assert sum(mine) == taken and abs(taken - target) <= 31
+    assert max(Counter(r["text"] for r in got).values()) <= 3
+
+
 def similar_groups(texts):
     """Brute force: each text's set of two-word shingles, and the smallest index it reaches."""
     sets = []
