@@ -10,14 +10,17 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Element names (fixed values of the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video head title textarea select".split())
+RAW = frozenset("script style noscript template iframe canvas audio video title textarea select".split())
 #: Raw elements whose content isn't parsed as markup; of the others in RAW the parsed content is left out.
 OPAQUE = frozenset("script style textarea title noscript iframe".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math object q ruby rt rp s samp small span strike strong sub sup svg time tt u var wbr img".split())
 #: Start tags that end an open paragraph, and items that end an open item of the same kind.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table div section article main body".split())
+#: Elements of HTML that end an open svg or math; all others in there are inline.
+BLOCK = ENDS_P | SCOPE | frozenset(ITEMS) | frozenset("html tbody thead tfoot caption colgroup center button dialog legend listing optgroup summary".split())
+_RAW_TAG = re.compile(rf"<(?:{'|'.join(sorted(RAW - OPAQUE))})\b", re.I)
 
 
 @dataclass(eq=False)
@@ -36,13 +39,54 @@ def _attr_text(raw: str) -> str:
     return " ".join(v1 or v2 or v3 or "" for name, v1, v2, v3 in _ATTR.findall(raw) if name.lower() in ("class", "id", "role", "itemprop", "aria-label"))
 
 
+def _after(page: str, tag: str, at: int) -> int:
+    """Where an opaque element that starts before ``at`` ends."""
+    end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _closed(page: str) -> dict[int, int]:
+    """For the raw elements that have an end tag before the element around them ends: from the end of
+    the start tag to the end of the end tag."""
+    out: dict[int, int] = {}
+    if not _RAW_TAG.search(page):
+        return out
+    stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}
+    at = 0
+    while token := _TOKEN.search(page, at):
+        at = token.end()
+        tag = (token.group(1) or token.group(2) or "").lower()
+        if not tag or tag in INLINE or tag in VOID:
+            continue
+        if token.group(2):
+            if tag in OPAQUE:
+                at = _after(page, tag, at)
+            elif not token.group(3).rstrip().endswith("/"):
+                stack.append((tag, at))
+                opened[tag] = opened.get(tag, 0) + 1
+        elif opened.get(tag):
+            while True:
+                top, start = stack.pop()
+                opened[top] -= 1
+                if top == tag:
+                    break
+            if tag in RAW:
+                out[start] = at
+    return out
+
+
 def parse(page: str) -> Node:
     """The tree of block elements. Inline elements dissolve into the block they stand in, except that
-    the text of links is marked on it (see ``links``)."""
+    the text of links is marked on it (see ``links``). The text of svg, math and object is inline. A
+    head has no text of its own: what isn't head content belongs to the body, whose tag is optional. A
+    raw element without an end tag ends at the next block or with the element it stands in."""
     root = Node("#root")
     root.link_chars = 0
     here, at, place = root, 0, 0
-    skip: list[str] = []  # open elements whose text is left out
+    skip = ""  # the unclosed raw element whose text is left out
+    foreign = 0  # open svg and math elements
+    closed = _closed(page)
     buffer: list[str] = []
     linked = 0
 
@@ -73,19 +117,25 @@ def parse(page: str) -> Node:
         if open_:
             tag = open_.lower()
             if tag in OPAQUE:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else size
+                at = _after(page, tag, at)
                 continue
             if tag in RAW:
-                if tag == "head":
-                    flush()
-                if not raw.rstrip().endswith("/"):
-                    skip.append(tag)
+                if at in closed:
+                    at = closed[at]
+                elif not raw.rstrip().endswith("/"):
+                    skip = tag
+                continue
+            if tag == "head":
+                flush()
                 continue
-            if skip:
-                if tag == "body":
-                    skip.clear()
-                else:
+            if skip == "select" and tag in ("option", "optgroup"):
+                continue
+            if tag in ("svg", "math"):
+                foreign += not raw.rstrip().endswith("/")
+            elif foreign and tag not in BLOCK:
+                if tag == "text":  # a label of a drawing
+                    put(" ")
+                if tag != "a":
                     continue
             if tag == "br":
                 buffer.append("\n")
@@ -97,6 +147,7 @@ def parse(page: str) -> Node:
                     flush()
                 continue
             flush()
+            skip, foreign = "", 0
             if tag in ENDS_P:
                 up = here
                 while up.parent is not None and up.tag not in SCOPE and up.tag != "p":
@@ -117,13 +168,17 @@ def parse(page: str) -> Node:
                 here = node
         elif close:
             tag = close.lower()
-            if skip:
-                if tag in skip:
-                    del skip[skip.index(tag) :]
+            if tag == skip:
+                skip = ""
+                continue
+            if tag == "head":
+                flush()
                 continue
             if tag == "a":
                 linked = max(0, linked - 1)
                 continue
+            if tag in ("svg", "math"):
+                foreign = max(0, foreign - 1)
             if tag in INLINE or tag in VOID:
                 continue
             up = here
@@ -132,6 +187,6 @@ def parse(page: str) -> Node:
             if up.parent is not None:
                 flush()
                 here = up.parent
-                linked = 0
+                linked, skip, foreign = 0, "", 0
     flush()
     return root

@@ -263,3 +263,27 @@ def test_page_text_on_unseen_layouts(spark):
     assert right >= 140
     rows = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, None, "<article><p>a &amp; b\n c.</p><p>d</article>")], "page_id long, url string, html string")
     assert [r.text for r in page_text.texts_of(rows).orderBy("page_id").collect()] == ["", "", "a & b c.\nd"]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>T</title><meta charset=x><article><p>one two.<p>three</article>", ["one two.", "three"]),
+        ("<head><title>T</title>one<p>two", ["one", "two"]),
+        ("<head><title>T</title><script>x<p></script></head><body><p>one", ["one"]),
+        ("<article><p>one<select><option>a<option>b<p>two</article>", ["one", "two"]),
+        ("<article><div>one<video src=x>no</div><p>two</p><video><p>no</p></video><p>three</article>", ["one", "two", "three"]),
+        ("<article><p>one <select><option>a</select>two <canvas><p>no</p></canvas>three</p></article>", ["one two three"]),
+        ("<article><p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <svg><g><text>up</text><text>down</text></g></svg> <object>as text</object></p>", ["let x=1 up down as text"]),
+        ("<article><p>a <math><mi>x</mi><p>one</p><svg><path d=x><p>two</p><object data=y><p>three", ["a x", "one", "two", "three"]),
+    ],
+)
+def test_page_text_of_open_heads_and_raw_elements(page, want):
+    nodes = page_text.nodes_of(page_text.parse(page))
+    assert [t for _, t in sorted(b for n in nodes for b in n.blocks)] == want
+
+
+def test_page_text_keeps_an_article_after_an_open_head():
+    prose = "Rivers carry stones, sand and mud, and they leave them where the water is slow. " * 4
+    page = f"<!DOCTYPE html><html><head><title>T</title><article><p>{prose}</p><p>{prose}</p></article>"
+    assert page_text.extract(page_text.trained(), [page]) == [f"{prose.strip()}\n{prose.strip()}"]
