@@ -62,6 +62,7 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
             s = [a + b for a, b in zip(s, info[id(child)])]
         info[id(node)] = s
     total = max(1.0, sum(len(t) for n in nodes for _, t in n.blocks))
+    places = {id(child): i for node in (root, *nodes) for i, child in enumerate(node.children)}
     above: dict[int, tuple] = {id(root): (0, 0, 0, 0, 0)}
     rows = []
     for node in nodes:
@@ -73,7 +74,7 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
         which = _WHICH.get(node.tag, -1)
         chars, link, count, marks, paragraphs, blocks = info[id(node)]
         kin = parent.children
-        place = next((i for i, c in enumerate(kin) if c is node), 0) if len(kin) < 64 else 32
+        place = places.get(id(node), 0)
         own = sum(len(t) for _, t in node.blocks)
         rows.append(
             [

@@ -287,3 +287,9 @@ def test_page_text_keeps_an_article_after_an_open_head():
     prose = "Rivers carry stones, sand and mud, and they leave them where the water is slow. " * 4
     page = f"<!DOCTYPE html><html><head><title>T</title><article><p>{prose}</p><p>{prose}</p></article>"
     assert page_text.extract(page_text.trained(), [page]) == [f"{prose.strip()}\n{prose.strip()}"]
+
+
+def test_page_features_tell_the_places_of_many_siblings():
+    for n in (63, 64, 200):
+        _, x = page_text.features(page_text.parse("<article>" + "<p>a b.</p>" * n + "</article>"))
+        assert x[1:, 19].tolist() == list(range(n)) and np.allclose(x[1:, 21], [(i + 1) / (n + 1) for i in range(n)])
