@@ -71,8 +71,10 @@ class Voters:
         self.heads = {w[:HEAD] for w in (*self.lexicon, *self.stems)}
         insult = "|".join(sorted(LEXICONS["insult_en"].split()))
         self.patterns = [re.compile(p.replace("{insult}", insult)) for p in PATTERNS.values()]
-        #: Something that must be in a lower-cased text for the pattern to match at all; spares most texts the search.
-        self.hints = [("you", " u "), ("shut", "hell", "drop", "lost", "screw", "hate"), ("!!!",), ("*", "@", "#", "!", "$"), ()]
+        #: Something that must be in a lower-cased text for the pattern to match at all; spares most texts the
+        #: search. The first pattern needs one of ``insults`` among the words instead.
+        self.insults = frozenset(LEXICONS["insult_en"].split())
+        self.hints = [(), ("shut", "hell", "drop", "lost", "screw", "hate"), ("!!!",), ("*", "@", "#", "!", "$"), ()]
         self.names = [f"{g}>={n}" for g in self.groups for n in (1, 2)] + [f"all>={n}" for n in (1, 2, 3, 5, 8)] + ["kinds>=2", "kinds>=3", "dense", *PATTERNS]
 
     def of(self, text: str | None) -> list[int]:
@@ -89,7 +91,7 @@ class Voters:
         out += [int(total >= n) for n in (1, 2, 3, 5, 8)]
         out += [int(kinds >= 2), int(kinds >= 3), int(total >= 2 and total * 50 >= len(words))]
         for name, pattern, hint in zip(PATTERNS, self.patterns, self.hints):
-            found = not hint or any(h in low for h in hint)
+            found = not self.insults.isdisjoint(words) if name == "addressed" else not hint or any(h in low for h in hint)
             out.append(int(found and pattern.search(text if name == "shout" else low) is not None))
         return out
 

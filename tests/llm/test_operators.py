@@ -293,3 +293,10 @@ def test_page_features_tell_the_places_of_many_siblings():
     for n in (63, 64, 200):
         _, x = page_text.features(page_text.parse("<article>" + "<p>a b.</p>" * n + "</article>"))
         assert x[1:, 19].tolist() == list(range(n)) and np.allclose(x[1:, 21], [(i + 1) / (n + 1) for i in range(n)])
+
+
+@pytest.mark.parametrize("text", ["u are an idiot", "well\nu are an idiot", "'u idiot'", "(U r such an idiot)", "you're an idiot"])
+def test_addressed_wherever_u_stands(text):
+    voters = toxicity.Voters()
+    assert voters.of(text)[voters.names.index("addressed")] == 1
+    assert voters.of("an idiot and u")[voters.names.index("addressed")] == 0
