@@ -82,6 +82,9 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+LANGUAGES = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
+
+
 class Model:
     """Log probabilities of a byte class after the two before it, per language."""
 
@@ -96,16 +99,21 @@ class Model:
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         """Texts in lower case -> languages and scores; a run of texts at a time."""
+        return self.mixture(texts)[:2]
+
+    def mixture(self, texts: list[bytes | None]) -> tuple[list[str], list[float], list[list[dict]]]:
+        """As ``predict``, and each text's set of languages with their shares, the largest first."""
         n = len(texts)
         langs, scores = ["und"] * n, [0.0] * n
+        sets: list[list[dict]] = [[] for _ in texts]
         if not self.langs:
-            return langs, scores
+            return langs, scores, sets
         codes, begins = _codes(texts)
         letter = codes > 0
         edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
         starts, ends = edge[0::2], edge[1::2]
         if not len(starts):
-            return langs, scores
+            return langs, scores, sets
         grams = _trigrams(codes)  # grams[i] ends at place i + 1
         bounds = np.column_stack([starts - 1, ends]).ravel()  # with the separator after the word
         ll = np.add.reduceat(self.table[grams], np.minimum(bounds, len(grams) - 1), axis=0, dtype=np.float64)[0::2]
@@ -134,10 +142,11 @@ class Model:
         weight = size / (size + 2.0)
         score = weight * share[np.arange(len(full)), best] + (1 - weight) * alone[np.arange(len(full)), best]
         readable = self._has_letter(texts)
-        for i, b, s in zip(full.tolist(), best.tolist(), score.tolist()):
+        for i, b, s, shares in zip(full.tolist(), best.tolist(), score.tolist(), share.tolist()):
             if readable[i]:
                 langs[i], scores[i] = self.langs[b], float(min(1.0, max(0.0, s)))
-        return langs, scores
+                sets[i] = [{"lang": self.langs[j], "share": shares[j]} for j in sorted(range(k), key=lambda j: -shares[j]) if shares[j] > 0]
+        return langs, scores, sets
 
     @staticmethod
     def _has_letter(texts: list[bytes | None]) -> list[bool]:
@@ -175,7 +184,9 @@ def fit(docs: DataFrame) -> Model:
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score for ``docs`` (doc_id, text)."""
+    """doc_id, lang_pred, score, languages for ``docs`` (doc_id, text). languages: the penalised set of
+    a document's languages and their shares of its words, which add up to 1, the largest first; empty
+    where lang_pred is und."""
     common.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # size fixed by languages x trigram classes
 
@@ -185,14 +196,17 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
             texts = _lower(batch.column("text"))
             langs: list[str] = []
             scores: list[float] = []
+            sets: list[list[dict]] = []
             for start, end in runs(texts, 1 << 19):
-                a, b = own.predict(texts[start:end])
+                a, b, c = own.mixture(texts[start:end])
                 langs += a
                 scores += b
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                sets += c
+            columns = [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, LANGUAGES)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "languages"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<struct<lang: string, share: double>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -300,3 +300,13 @@ def test_addressed_wherever_u_stands(text):
     voters = toxicity.Voters()
     assert voters.of(text)[voters.names.index("addressed")] == 1
     assert voters.of("an idiot and u")[voters.names.index("addressed")] == 0
+
+
+def test_language_shares(spark):
+    en, de = ["the house with the thing and that"] * 20, ["das haus mit dem ding und der"] * 20
+    model = language_id.fit(spark.createDataFrame([*((t, "en") for t in en), *((t, "de") for t in de)], "text string, lang string"))
+    texts = ["the house with the thing and that " * 9 + "das haus mit dem ding und der " * 3, "that thing with the", None, "12 34 !"]
+    ask = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    both, one, *none = [r.languages for r in language_id.predicted(ask, model).orderBy("doc_id").collect()]
+    assert [x.lang for x in both] == ["en", "de"] and math.isclose(both[0].share + both[1].share, 1) and abs(both[0].share - 0.75) < 0.1
+    assert [(x.lang, x.share) for x in one] == [("en", 1.0)] and none == [[], []]
