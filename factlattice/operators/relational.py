@@ -7,6 +7,7 @@ is one row per task), with windows only where whole rows are ranked.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,19 +73,30 @@ def pivot_values(df: DataFrame, keys: Sequence[str], name: str, value: str, name
     return wide.select(*keys, *(F.coalesce(F.col(n), F.lit(default)).alias(n) for n in names))
 
 
-def ancestors(edges: DataFrame, child: str, parent: str, depth: int = 32) -> DataFrame:
+def _saved(df: DataFrame) -> DataFrame:
+    """``df`` written to spark.checkpoint.dir; only where that is unset (one machine) to a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="factlattice-"))
+    return df.checkpoint()
+
+
+def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """Closure of a parent relation (a DAG): node, ancestor, itself included. Breadth first with
-    distinct pairs; ends with the longest path."""
+    distinct pairs; ends with the longest path. A cycle is an error."""
     nodes = edges.select(F.col(child).alias("node")).union(edges.select(F.col(parent))).distinct()
     up = edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct()
     out = nodes.select("node", F.col("node").alias("ancestor"))
     front = out
-    for _ in range(depth):
+    while True:
         front = front.join(up, front.ancestor == up.c).select("node", F.col("p").alias("ancestor")).distinct()
-        if not front.limit(1).count():
-            break
-        out = out.union(front).distinct()
-    return out
+        front = _saved(front)
+        pairs, loops = front.agg(F.count(F.lit(1)), F.count_if(F.col("node") == F.col("ancestor"))).first()
+        if loops:
+            raise ValueError(f"{parent} of {child} has a cycle")
+        if not pairs:
+            return out.distinct()
+        out = out.union(front)
 
 
 def dnf_match(tokens: DataFrame, rules: DataFrame, key: str) -> DataFrame:
