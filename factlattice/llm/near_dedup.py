@@ -1,29 +1,31 @@
 """Near-duplicate detection: fast similarity sketches, banding, exact verification, components.
 
 1. Rows are written once with a key of their own. Each text becomes its set of word shingles and a
-   sketch of ``bands * rows`` coordinates (Arrow batches). Texts with the same set form one class; the
-   row of its smallest doc_id stands for it.
+   sketch of ``bands * rows`` coordinates (Arrow batches). Texts with the same sequence of words (a
+   128-bit digest) form one class; the row of its smallest doc_id stands for it.
 2. Classes that agree on a band share a bucket. With 48 bands of 6 rows a pair at similarity 0.8 is
    missed with probability (1 - 0.8**6)**48 < 5e-7, a likelier one with far less.
-3. Pairs of a bucket are verified on their full sets: shared * 100 >= 80 * union. A bucket is not
-   expanded into all its pairs: in each of a few rounds one member (chosen by hash) is compared with
-   the members of other components, then components are joined. Buckets whose members are all in one
-   component are done, and so are classes too few of whose shingles occur in other components. What
-   is left after the rounds, pairs of different components, is found by an exact bound (see ``_rest``)
-   and verified, so no link that could join two components is lost.
+3. Pairs of a bucket are verified on their full sets: shared * 100 >= 80 * union, first on hashes of
+   shingles, and what passes on the words themselves. A bucket is not expanded into all its pairs: in
+   each of a few rounds one member (chosen by hash) is compared with the members of other components,
+   then components are joined. Buckets whose members are all in one component are done, and so are
+   classes too few of whose shingles occur in other components. What is left after the rounds, pairs
+   of different components, is found by an exact bound (see ``_rest``) and verified, so no link that
+   could join two components is lost.
 4. Components are found by label propagation with pointer jumping; the smallest doc_id names each.
 
 Every exchange moves one row per document, band or pair, or the texts of pairs; no group is gathered
-in one task. Defined results: null text or no words: empty set, linked with nothing; fewer words than
-a shingle: one shingle; repeated rows and equal texts are one class; rows that share a doc_id or have
-none are compared as documents of their own; of each component one row is kept, of its smallest doc_id
-(null last); an empty table gives an empty result; other columns are ignored by ``near_dedup`` and
+in one task. Buckets and their chosen members are written tables, so that Spark splits a hot bucket's
+join; a text that many pairs need is sent to salts (``common.lookup``). Defined results: null text or
+no words: empty set, linked with nothing; fewer words than a shingle: one shingle; repeated rows and
+equal texts are one class; rows that share a doc_id or have none are compared as documents of their
+own; of each component one row is kept, of its smallest doc_id (null last); texts of any length are
+read whole; an empty table gives an empty result; other columns are ignored by ``near_dedup`` and
 carried by ``drop_near_copies``.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +42,8 @@ ROUNDS, PRUNE = 4, 2
 #: After the rounds: a shingle of more than RARE members of a block counts as one that the block's
 #: texts have in common; those are counted in PARTS parts by hash.
 RARE, PARTS = 64, 32
-#: Pairs whose sets a worker holds at a time.
-PAIRS = 500
+#: Bytes of texts whose sets a worker holds at a time (a longer text alone).
+RUN = 1 << 19
 
 
 def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
@@ -52,8 +54,9 @@ def _sketcher(k: int, n_bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _texts(batch.column("text"))
-            for start, end in shingles.runs(texts):
-                found = shingles.sets(texts[start:end], k)
+            for start, end in shingles.runs(texts, RUN):
+                words = [shingles.words_of(t) for t in texts[start:end]]
+                found = shingles.sets(words, k)
                 full = [s for s in found if len(s)]
                 hashed = shingles.bands(np.stack([shingles.sketch(s, n_bands * rows) for s in full]), rows) if full else np.empty((0, n_bands), np.uint64)
                 sizes = np.array([len(s) for s in found], dtype=np.int64)
@@ -63,54 +66,55 @@ def _sketcher(k: int, n_bands: int, rows: int):
                         batch.column("row").slice(start, end - start),
                         batch.column("doc_id").slice(start, end - start),
                         pa.array(sizes),
-                        pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in found], pa.binary()),
+                        pa.array([shingles.same(w) if w else None for w in words], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed.view(np.int64).ravel())),
                     ],
-                    names=["row", "doc_id", "n_shingles", "set_id", "bands"],
+                    names=["row", "doc_id", "n_shingles", "same", "bands"],
                 )
 
-    return run
+    return common.tidy(run)
 
 
 def _verifier(k: int, percent: int):
+    def near(n: int, m: int, shared: int) -> bool:
+        return shared > 0 and 100 * shared >= percent * (n + m - shared)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = np.zeros(batch.num_rows, dtype=bool)
-            for start in range(0, batch.num_rows, PAIRS):
-                a, b, ta, tb = (c.slice(start, PAIRS) for c in (batch.column(n) for n in ("a", "b", "text_a", "text_b")))
-                a, b, ta, tb = a.to_pylist(), b.to_pylist(), _texts(ta), _texts(tb)
-                texts = dict(zip(a, ta)) | dict(zip(b, tb))
-                ids, own = list(texts), list(texts.values())
-                of: dict[int, np.ndarray] = {}
-                for lo, hi in shingles.runs(own, 1 << 19):
-                    of.update(zip(ids[lo:hi], shingles.sets(own[lo:hi], k)))
-                for i, (x, y) in enumerate(zip(a, b), start):
-                    shared = shingles.overlap(of[x], of[y])
-                    linked[i] = shared > 0 and 100 * shared >= percent * (len(of[x]) + len(of[y]) - shared)
+            ids_a, ids_b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            texts_a, texts_b = _texts(batch.column("text_a")), _texts(batch.column("text_b"))
+            for start, end in shingles.runs([max(x or b"", y or b"", key=len) for x, y in zip(texts_a, texts_b)], RUN):
+                own = dict(zip(ids_a[start:end], texts_a[start:end])) | dict(zip(ids_b[start:end], texts_b[start:end]))
+                words = dict(zip(own, map(shingles.words_of, own.values())))
+                of = dict(zip(words, shingles.sets(list(words.values()), k)))
+                for i, (x, y) in enumerate(zip(ids_a[start:end], ids_b[start:end]), start):
+                    linked[i] = near(len(of[x]), len(of[y]), shingles.overlap(of[x], of[y])) and near(*shingles.exact(words[x], words[y], k))
             keep = pa.array(linked)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return run
+    return common.tidy(run)
 
 
 def _shingle_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _texts(batch.column("text"))
-            for start, end in shingles.runs(texts):
-                found = shingles.sets(texts[start:end], k)
+            for start, end in shingles.runs(texts, RUN):
+                found = shingles.sets([shingles.words_of(t) for t in texts[start:end]], k)
                 at = np.repeat(np.arange(start, end), [len(s) for s in found])
                 columns = [batch.column(c).take(pa.array(at)) for c in ("rep", "n", "comp", "block")]
                 flat = np.concatenate(found) if len(at) else np.empty(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(flat.view(np.int64))], names=["rep", "n", "comp", "block", "shingle"])
 
-    return run
+    return common.tidy(run)
 
 
 def _undecided(open_: DataFrame) -> DataFrame:
     """The buckets whose members lie in several components."""
     split = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    return common.cut(open_.join(split, "key").select("key", "rep", "n", "c", "w", "comp"), "near-buckets")
+    split = common.cut(split, "near-open")
+    return common.cut(open_.join(common.small(split, split.count()), "key").select("key", "rep", "n", "c", "w", "comp"), "near-buckets")
 
 
 def _able(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +181,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     texts = common.cut(texts.select("row", "text"), "near-texts")
     a = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+    both = common.lookup(common.lookup(pairs.select("a", "b"), b, "b", "a"), a, "a", "b", like=pairs).select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_verifier(k, percent), "a long, b long")
 
 
@@ -196,26 +200,27 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` written with a key of each row."""
-    return common.cut(docs.withColumn("__fl_row", F.monotonically_increasing_id()), "near-rows")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written with a key of each row, and the key's name."""
+    (key,) = common.free(docs.columns, "__fl_row")
+    return common.cut(docs.withColumn(key, F.monotonically_increasing_id()), "near-rows"), key
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    return _decided(_numbered(docs.select("doc_id", "text")), **options).drop("row")
+    return _decided(*_numbered(docs.select("doc_id", "text")), **options).drop("row")
 
 
-def _decided(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+def _decided(docs: DataFrame, key: str, k: int = 5, percent: int = 80, n_bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """row, doc_id, n_shingles, component_id, kept for ``_numbered`` docs. ``rounds`` is 1 or more."""
     common.ship(docs.sparkSession)
-    docs = docs.select(F.col("__fl_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
+    docs = docs.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     sketched = common.cut(
-        docs.mapInArrow(_sketcher(k, n_bands, rows), "row long, doc_id long, n_shingles long, set_id binary, bands array<long>"), "near-sketches"
+        docs.mapInArrow(_sketcher(k, n_bands, rows), "row long, doc_id long, n_shingles long, same binary, bands array<long>"), "near-sketches"
     )
     docs = docs.select("row", "text")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    classes = sketched.filter("set_id IS NOT NULL").groupBy("set_id").agg(first.alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
+    classes = sketched.filter("same IS NOT NULL").groupBy("same").agg(first.alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     classes = common.cut(classes.withColumn("rep", F.col("first.row")), "near-classes")
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
@@ -231,7 +236,7 @@ def _decided(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int = BAND
             chance = F.pmod(F.xxhash64("rep", F.lit(r)), F.lit(1 << 20)) / float(1 << 20)
             order = F.when(F.col("w") == 0, chance).otherwise(-F.col("w") * (1 + 0.1 * (r - PRUNE) * chance))
             hub = open_.groupBy("key").agg(F.min(F.struct(order.alias("h"), "rep", "n", "c", "comp")).alias("hub"))
-            hub = hub.select("key", F.col("hub.rep").alias("y"), F.col("hub.n").alias("ny"), F.col("hub.c").alias("my"), F.col("hub.comp").alias("cy"))
+            hub = common.cut(hub.select("key", F.col("hub.rep").alias("y"), F.col("hub.n").alias("ny"), F.col("hub.c").alias("my"), F.col("hub.comp").alias("cy")), "near-hubs")
             pairs = x.join(hub, "key").filter((F.col("cx") != F.col("cy")) & may)
         else:  # the pairs of different components that are left
             pairs = _rest(open_, rest, percent)
@@ -261,24 +266,25 @@ def _decided(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int = BAND
         open_ = _undecided(now)
         if r == min(PRUNE, rounds) - 1 and open_.limit(1).count():
             open_, rest = _able(open_, docs, k, percent)
-    found = classes.select("set_id", "rep", "first")
+    found = classes.select("same", "rep", "first")
     if label is not None:
         linked = label.join(classes.select("rep", "first"), F.col("node") == F.col("rep")).select("node", "label", "first")
         lead = linked.groupBy("label").agg(F.min("first").alias("lead"))
         linked = linked.drop("first").join(lead, "label").select("node", "lead")
-        found = found.join(linked, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("lead", "first").alias("first"))
-    found = found.select("set_id", F.col("first.doc_id").alias("c"), F.col("first.row").alias("stays"))
-    out = sketched.select("row", "doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
-    out = out.withColumn("component_id", F.coalesce("c", "doc_id"))
-    return out.select("row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.coalesce("stays", "row")).alias("kept"))
+        found = found.join(linked, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("lead", "first").alias("first"))
+    found = common.cut(found.select("same", F.col("first.doc_id").alias("c"), F.col("first.row").alias("stays")), "near-found")
+    plain = sketched.select("row", "doc_id", "n_shingles", "same")
+    out = plain.join(found, "same").select("row", "doc_id", "n_shingles", F.col("c").alias("component_id"), (F.col("row") == F.col("stays")).alias("kept"))
+    empty = plain.filter("same IS NULL").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(empty)
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group (of the smallest doc_id), all columns kept."""
-    rows = _numbered(docs)
-    gone = _decided(rows, **options).filter(~F.col("kept")).select(F.col("row").alias("__fl_row"))
+    rows, key = _numbered(docs)
+    gone = _decided(rows, key, **options).filter(~F.col("kept")).select(F.col("row").alias(key))
     gone = common.cut(gone, "near-gone")
-    return rows.join(common.small(gone, gone.count()), "__fl_row", "left_anti").select(*docs.columns)
+    return rows.join(common.small(gone, gone.count()), key, "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

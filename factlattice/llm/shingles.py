@@ -1,21 +1,32 @@
 """Word shingle sets and fast similarity sketches, vectorised over runs of documents with numpy.
 
-A shingle is a 64-bit hash of k consecutive lower-cased words; with n shingles in two sets the chance
-that any two different ones collide is below n * n / 2**64.
+A word is known by 64 bits of a keyed BLAKE2 digest, a shingle by a mix of its k words' digests. They
+propose links and count shingles; links are confirmed on the words themselves (``exact``).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
 _U = np.uint64
 _rng = np.random.default_rng(7_919)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _SEEDS = _rng.integers(1, 2**63, 4096, dtype=np.uint64)
-_powers: dict[str, np.ndarray] = {}
+_KEY = b"word shingles"
+#: Words whose digests a worker remembers; beyond it the memory is emptied.
+REMEMBER = 200_000
+
+
+class _Digests(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little")
+        return h
+
+
+_digests = _Digests()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -28,20 +39,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        inverse = pow(_BASE, -1, 2**64)
-        for name, base in (("up", _BASE), ("down", inverse)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
-def runs(texts: list[bytes | None], size: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``size`` bytes; a longer text is a run of its own."""
+def runs(texts: list[bytes | str | None], size: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``size`` bytes (characters); a longer text is a run of its own."""
     start = total = 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
@@ -53,20 +52,22 @@ def runs(texts: list[bytes | None], size: int = 1 << 19) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
-def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z lowered, split at ASCII white space), and where each text's begin."""
-    joined = b"\n".join([b"", *[t or b"" for t in texts], b""]).lower()
-    raw = np.frombuffer(joined, dtype=np.uint8)
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    starts, ends = edge[0::2], edge[1::2]
-    up, down = _power(len(raw))
-    total = np.cumsum(_BYTE[raw] * up, dtype=np.uint64)
-    h = (total[ends - 1] - total[starts - 1]) * down[starts]
-    h ^= (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
-    lengths = np.fromiter((len(t) if t else 0 for t in texts), dtype=np.int64, count=len(texts))
-    begins = np.concatenate([[1], 1 + np.cumsum(lengths + 1)])
-    return mix(h), np.searchsorted(starts, begins)
+def words_of(text: bytes | None) -> list[bytes]:
+    """A-Z lowered, split at ASCII white space: what bytes.lower and bytes.split do."""
+    return text.lower().split() if text else []
+
+
+def same(words: list[bytes]) -> bytes:
+    """A 128-bit digest of a sequence of words."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def word_hashes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each text's begin."""
+    if len(_digests) > REMEMBER:
+        _digests.clear()
+    begin = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+    return np.fromiter(map(_digests.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(begin[-1])), begin
 
 
 def _chain(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -76,8 +77,9 @@ def _chain(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
-    """Per text the sorted distinct shingles; fewer than k words make one shingle, none an empty set."""
+def sets(texts: list[list[bytes]], k: int) -> list[np.ndarray]:
+    """Per text (its words) the sorted distinct shingles; fewer than k words make one shingle, none an
+    empty set."""
     words, begin = word_hashes(texts)
     counts = np.diff(begin)
     out: list[np.ndarray] = [np.empty(0, dtype=np.uint64)] * len(texts)
@@ -141,3 +143,17 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int((b[at] == a).sum())
+
+
+def exact(a: list[bytes], b: list[bytes], k: int) -> tuple[int, int, int]:
+    """Sizes of two texts' sets of k-word shingles and of their intersection, on the words themselves:
+    words are numbered, and shingles by their words' numbers, both texts together."""
+    if len(a) < k or len(b) < k:
+        return max(bool(a), len(set(zip(*(a[i:] for i in range(k)))))), max(bool(b), len(set(zip(*(b[i:] for i in range(k)))))), int(a == b and len(a) > 0)
+    number: dict[bytes, int] = {}
+    words = np.fromiter((number.setdefault(w, len(number)) for w in chain(a, b)), dtype=np.int64, count=len(a) + len(b))
+    at = words
+    for j in range(1, k):
+        at = np.unique((at[:-1] << 32) | words[j:], return_inverse=True)[1]
+    x, y = np.unique(at[: len(a) - k + 1]), np.unique(at[len(a) :])
+    return len(x), len(y), overlap(x, y)
