@@ -1,22 +1,28 @@
 """Exact deduplication by a stateful stream.
 
-A batch pass writes one narrow row per document (digest, doc_id, row) to a spool in the shared
-folder. A Structured Streaming query reads the spool into keyed state that never expires, kept on
-disk by RocksDB and checkpointed to the shared folder: per digest the stable identifier (smallest
-doc_id), the locator of the row that stays and the number of copies. Map-side partial aggregation
-comes before the only exchange, so a digest with a third of all rows arrives as one row per task.
-The state is read back as a table with Spark's state data source. A hit (a digest seen before) is
-then checked on the full normalised bytes against the row that stays.
+A batch pass appends one narrow row per document (digest, doc_id, batch, row) to a spool in a folder. A
+Structured Streaming query reads the spool into keyed state that never expires, kept on disk by RocksDB
+and checkpointed to the folder: per digest the stable identifier (smallest doc_id), the content locator
+(batch and row) of the row that stays and the number of copies. Map-side partial aggregation comes
+before the only exchange, so a digest with a third of all rows arrives as one row per task. The state is
+read back as a table with Spark's state data source. A hit (a digest seen before) is then checked on
+the full normalised bytes against the row that stays.
+
+The folder is ``state``, or a new one in the shared folder. With ``state`` given, later batches meet
+earlier ones: the stream goes on where it stopped, and the texts of the rows that stay are kept in the
+folder by their locator, so that a hit on an earlier batch is checked on its bytes too.
 
 Defined results: null text counts as empty; texts that differ only in runs of ASCII white space are
-equal; rows that repeat a doc_id and its text are copies of which one stays; a null doc_id sorts
-last; an empty table gives an empty result; other columns are ignored by ``exact_dedup`` and carried
-unchanged by ``drop_exact_copies``.
+equal; texts of any length are compared whole; rows that repeat a doc_id and its text are copies of
+which one stays (``drop_exact_copies``: the first by a digest of all columns); a null doc_id sorts last;
+an empty table gives an empty result; other columns are ignored by ``exact_dedup`` and carried unchanged
+by ``drop_exact_copies``. A result tells about all batches up to its own: a later batch may bring a
+smaller doc_id, which then stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -26,47 +32,54 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 #: Memory is bounded for all stores of an executor together, and stores take no disk in advance.
 _ROCKS_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Copies of one text that one salt of the byte check takes.
 SALT_ROWS = 256
+_SPOOL = "digest binary, doc_id long, batch int, row long"
+_GROUPS = "digest binary, keep_id long, keep_batch int, keep_row long, group_size long"
 
 
 def normalised(text: str = "text") -> Column:
     return F.regexp_replace(common.text_of(text), f"[{common.SPACE}]++", " ")
 
 
-def sha_of(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def _state_of(spool: str, spark, max_bytes: int):
-    """Run the stream over the spool to its end and return the state as a table:
-    digest, first (struct doc_id, row), group_size."""
-    shared = common.new_path(spark, "dedup-state")
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the folder, empty if there is none yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _state_of(home: str, spark: SparkSession, max_bytes: int) -> DataFrame:
+    """Run the stream over the spool to its end and return the state as a table."""
     conf = {_PROVIDER: _ROCKS, **_ROCKS_CONF}
     before = {k: spark.conf.get(k, None) for k in conf}
     for key, value in conf.items():
         spark.conf.set(key, value)
     try:
-        schema = spark.read.parquet(spool).schema
-        stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes)).parquet(spool)
+        stream = spark.readStream.schema(_SPOOL).option("maxBytesPerTrigger", str(max_bytes)).parquet(f"{home}/spool")
         state = stream.groupBy("digest").agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "batch", "row")).alias("first"),
             F.count(F.lit(1)).alias("group_size"),
         )
         query = (
             state.writeStream.format("noop")
             .outputMode("update")
-            .option("checkpointLocation", shared)
+            .option("checkpointLocation", f"{home}/stream")
             .trigger(availableNow=True)
             .start()
         )
         query.awaitTermination()
         if query.lastProgress is None:
-            return spark.createDataFrame([], "digest string, keep_id long, keep_row long, group_size long")
-        rows = spark.read.format("statestore").load(shared)
+            return spark.createDataFrame([], _GROUPS)
+        rows = spark.read.format("statestore").load(f"{home}/stream")
     finally:
         for key, value in before.items():
             if value is None:
@@ -77,87 +90,115 @@ def _state_of(spool: str, spark, max_bytes: int):
     return rows.select(
         F.col("key.digest").alias("digest"),
         first.getField("doc_id").alias("keep_id"),
+        first.getField("batch").alias("keep_batch"),
         first.getField("row").alias("keep_row"),
         size.alias("group_size"),
     )
 
 
-def exact_dedup(docs: DataFrame, digest: Column | None = None, max_bytes: int = 64 << 30) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, row, keep_id, group_size, kept, digest.
+def exact_dedup(docs: DataFrame, digest: Column | None = None, max_bytes: int = 64 << 30, state: str | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, digest.
 
-    ``digest`` may name another digest of the column ``norm`` (tests use a weak one, so that
-    different texts meet in one state entry); ``max_bytes`` bounds what one micro-batch reads.
+    ``state`` is a folder that driver and executors share; batches with the same folder are deduplicated
+    against each other. ``digest`` may name another digest of the column ``norm`` (tests use a weak one,
+    so that different texts meet in one state entry); ``max_bytes`` bounds what one micro-batch reads.
     """
     spark = docs.sparkSession
-    norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm"))
-    digest = sha_of(F.col("norm")) if digest is None else digest
-    path = common.new_path(spark, "dedup-spool")
-    norm.select(digest.alias("digest"), "doc_id", F.monotonically_increasing_id().alias("row")).write.parquet(path)
-    spool = spark.read.schema("digest string, doc_id long, row long").parquet(path)
-    groups = common.cut(_state_of(path, spark, max_bytes), "dedup-groups")
-    bad = _unequal(norm, digest, groups)
-    out = spool.join(groups, "digest").select(
-        "doc_id", "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest"
+    home = state.rstrip("/") if state else common.new_path(spark, "dedup")
+    spool = _read(spark, f"{home}/spool", _SPOOL)
+    batch = (spool.agg(F.max("batch")).first()[0] or 0) + 1 if state else 1
+    digest = (digest_of(F.col("norm")) if digest is None else digest).cast("binary")
+    norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm")).withColumn("digest", digest)
+    if state:  # the rows' numbers are locators: they must be those of the texts that are kept
+        norm = common.cut(norm.withColumn("row", F.monotonically_increasing_id()), "dedup-texts")
+    else:
+        norm = norm.withColumn("row", F.monotonically_increasing_id())
+    norm.select("digest", "doc_id", F.lit(batch).alias("batch"), "row").write.mode("append").parquet(f"{home}/spool")
+    rows = _read(spark, f"{home}/spool", _SPOOL).filter(F.col("batch") == batch)
+    groups = common.cut(_state_of(home, spark, max_bytes), "dedup-groups")
+    kept = F.col("keep_batch") == batch
+    if state:
+        stays = norm.join(groups.filter(kept).select("digest", F.col("keep_row").alias("row")), ["digest", "row"])
+        stays.select("digest", F.lit(batch).alias("batch"), "row", "norm").write.mode("append").parquet(f"{home}/texts")
+    bad = _unequal(norm.drop("row"), groups, f"{home}/texts" if state else None)
+
+    # Of groups of one row all is known. Groups of more than one HOT-th of all rows are fewer than HOT: they
+    # are broadcast, so that no task of the other groups' join gets many rows of one key.
+    many = groups.filter("group_size > 1")
+    n, total = groups.agg(F.count_if(F.col("group_size") > 1), F.coalesce(F.sum("group_size"), F.lit(0))).first()
+    is_hot = F.col("group_size") > max(SALT_ROWS, total // common.HOT)
+    if n * 128 <= common.BROADCAST_BYTES:
+        found = rows.join(F.broadcast(many), "digest", "left")
+    else:
+        hot = many.filter(is_hot)
+        apart = rows.join(F.broadcast(hot), "digest")
+        found = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(many.filter(~is_hot), "digest", "left").unionByName(apart)
+    single = F.col("group_size").isNull()
+    out = found.select(
+        "doc_id",
+        F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (single | ((F.col("row") == F.col("keep_row")) & kept)).alias("kept"),
+        "digest",
     )
     if bad is None:
         return out
     # Digests that different texts share (a collision): these alone are grouped by their bytes.
-    apart = norm.withColumn("digest", digest).join(F.broadcast(bad), "digest", "left_semi")
-    by_text = apart.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    exact = (
-        apart.join(by_text, ["digest", "norm"])
-        .withColumn("row", F.monotonically_increasing_id())
-        .select("doc_id", "row", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    bad = common.small(bad, bad.count())
+    apart = norm.withColumn("row", F.monotonically_increasing_id()).join(bad, "digest", "left_semi")
+    apart = common.cut(apart, "dedup-apart")
+    by_text = apart.groupBy("digest", "norm").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    exact = apart.join(by_text, ["digest", "norm"]).select(
+        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "digest"
     )
-    return out.join(F.broadcast(bad), "digest", "left_anti").select(*exact.columns).unionByName(exact)
+    return out.join(bad, "digest", "left_anti").unionByName(exact)
 
 
-def _unequal(norm: DataFrame, digest: Column, groups: DataFrame) -> DataFrame | None:
-    """The digests under which two different texts lie, or None. Only texts that hit are moved;
-    copies of one text are spread over salts, to each of which the text that stays is sent."""
-    many = groups.filter("group_size > 1").select(
-        "digest", "keep_id", F.ceil(F.col("group_size") / SALT_ROWS).cast("int").alias("salts")
-    )
+def _unequal(norm: DataFrame, groups: DataFrame, texts: str | None) -> DataFrame | None:
+    """The digests under which two different texts lie, or None. Only texts that hit are moved; copies
+    of one text are spread over salts, to each of which the text that stays is sent. ``texts``: the
+    folder with the texts of rows that stay; without it they are among ``norm``."""
+    many = groups.filter("group_size > 1").withColumn("salts", F.ceil(F.col("group_size") / SALT_ROWS).cast("int"))
     n = many.count()
     if not n:
         return None
-    hits = norm.withColumn("digest", digest).join(common.small(many, n), "digest")
-    hits = common.cut(hits.select("digest", "doc_id", "keep_id", "salts", "norm"), "dedup-hits")
-    stay = (
-        hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .dropDuplicates(["digest"])
-        .select("digest", F.col("norm").alias("stay"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    )
-    salted = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    bad = (
-        salted.join(stay, ["digest", "salt"])
-        .filter(F.col("norm").cast("binary") != F.col("stay").cast("binary"))
-        .select("digest")
-        .distinct()
-    )
+    many = common.small(many.select("digest", "keep_id", "keep_batch", "keep_row", "salts"), n)
+    hits = norm.join(many, "digest").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts")).cast("int"))
+    hits = common.cut(hits, "dedup-hits")
+    if texts is None:
+        of = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"])
+    else:
+        own = _read(norm.sparkSession, texts, "digest binary, batch int, row long, norm string").toDF("digest", "keep_batch", "keep_row", "norm")
+        of = own.join(many, ["digest", "keep_batch", "keep_row"])
+    stay = of.select("digest", F.col("norm").alias("stay"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    bad = hits.join(stay, ["digest", "salt"]).filter(F.col("norm").cast("binary") != F.col("stay").cast("binary")).select("digest").distinct()
     bad = common.cut(bad, "dedup-unequal")
     return bad if bad.limit(1).count() else None
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, state: str | None = None) -> DataFrame:
     """``docs`` without the copies, all columns kept. What goes is looked up by (doc_id, digest)."""
-    mark = "__fl_digest"
-    found = exact_dedup(docs.select("doc_id", "text"))
-    gone = common.cut(found.filter(~F.col("kept")).select("doc_id", "keep_id", F.col("digest").alias(mark)), "dedup-gone")
-    n, again = gone.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").eqNullSafe(F.col("keep_id")))).first()
-    marked = docs.withColumn(mark, sha_of(normalised()))
-    if again:  # rows that repeat a doc_id and its text: one of each stays
-        marked = marked.dropDuplicates(["doc_id", mark])
-    keys = gone.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__fl_id"), F.col(mark).alias("__fl_d"))
-    rest = marked.join(
-        common.small(keys, n), F.col("doc_id").eqNullSafe(F.col("__fl_id")) & (F.col(mark) == F.col("__fl_d")), "left_anti"
-    )
-    return rest.drop(mark)
+    own, its, other = common.free(docs.columns, "__fl_digest", "__fl_id", "__fl_of")
+    found = exact_dedup(docs.select("doc_id", "text"), state=state)
+    # Rows that repeat a doc_id and its text: ``twice`` where one of them stays.
+    gone = found.groupBy("doc_id", "digest").agg(F.max("kept").alias("twice"), F.count_if(~F.col("kept")).alias("rows")).filter("rows > 0")
+    gone = common.cut(gone.drop("rows"), "dedup-gone")
+    n, again = gone.agg(F.count(F.lit(1)), F.count_if("twice")).first()
+    marked = docs.withColumn(own, digest_of(normalised()))
+    keys = gone.select(F.col("doc_id").alias(its), F.col("digest").alias(other), "twice")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(its)) & (F.col(own) == F.col(other))
+    rest = marked.join(common.small(keys.drop("twice"), n), same, "left_anti").drop(own)
+    if not again:
+        return rest
+    one = marked.join(common.small(keys.filter("twice").drop("twice"), again), same, "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = one.groupBy("doc_id", own).agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("r"))
+    return rest.unionByName(one.select("r.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 ORACLE = r"""
