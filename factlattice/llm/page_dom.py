@@ -6,7 +6,12 @@ import html
 import re
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Comments, sections, declarations, end tags, start tags, and start tags with a quote that nothing closes.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
+    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>|\Z)|[^>]*(?:>|\Z))",
+    re.S,
+)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Element names (fixed values of the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,6 +38,11 @@ class Node:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
+def _bare(raw: str) -> str:
+    """A start tag's inside after its name, without the end."""
+    return raw.removesuffix(">").rstrip()
+
+
 def _attr_text(raw: str) -> str:
     if "=" not in raw:
         return ""
@@ -62,7 +72,7 @@ def _closed(page: str) -> dict[int, int]:
         if token.group(2):
             if tag in OPAQUE:
                 at = _after(page, tag, at)
-            elif not token.group(3).rstrip().endswith("/"):
+            elif not _bare(token.group(3)).endswith("/"):
                 stack.append((tag, at))
                 opened[tag] = opened.get(tag, 0) + 1
         elif opened.get(tag):
@@ -113,7 +123,7 @@ def parse(page: str) -> Node:
             break
         put(page[at : token.start()])
         at = token.end()
-        close, open_, raw = token.group(1), token.group(2), token.group(3)
+        close, open_, raw = token.group(1), token.group(2), _bare(token.group(3) or "")
         if open_:
             tag = open_.lower()
             if tag in OPAQUE:
@@ -122,7 +132,7 @@ def parse(page: str) -> Node:
             if tag in RAW:
                 if at in closed:
                     at = closed[at]
-                elif not raw.rstrip().endswith("/"):
+                elif not raw.endswith("/"):
                     skip = tag
                 continue
             if tag == "head":
@@ -131,7 +141,7 @@ def parse(page: str) -> Node:
             if skip == "select" and tag in ("option", "optgroup"):
                 continue
             if tag in ("svg", "math"):
-                foreign += not raw.rstrip().endswith("/")
+                foreign += not raw.endswith("/")
             elif foreign and tag not in BLOCK:
                 if tag == "text":  # a label of a drawing
                     put(" ")
@@ -164,7 +174,7 @@ def parse(page: str) -> Node:
             node = Node(tag, _attr_text(raw), here)
             node.link_chars = 0
             here.children.append(node)
-            if not raw.rstrip().endswith("/"):
+            if not raw.endswith("/"):
                 here = node
         elif close:
             tag = close.lower()

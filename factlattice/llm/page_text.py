@@ -9,8 +9,9 @@ descendant.
 
 The trees are trained here, on generated pages whose layouts vary (containers, class names, menus,
 sidebars, notices, adverts, forms, comments, unclosed tags): a fixed number of them, from a fixed seed.
-Defined results: null html counts as empty; a page without main text gives the empty text; repeated
-rows are read each; an empty table gives an empty result; other columns are ignored.
+Defined results: null html counts as empty; a page without main text gives the empty text; pages of any
+length and depth are read whole; repeated rows are read each; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .page_dom import Node, parse
+from .shingles import runs
 
 PAGES, TREES, DEPTH, RATE = 500, 40, 4, 0.3
 #: Attribute tokens that speak for a boilerplate or a content element, and groups of tags (fixed values).
@@ -223,6 +225,19 @@ def training_page(r: random.Random) -> str:
         text = MARK + prose()
         if r.random() < 0.1:
             return "<ul>" + "".join(f"<li>{MARK}{sentence()}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
+        if r.random() < 0.08:  # an article's own lists of links, on their own or after words
+            lead = r.choice(["", "", f"{MARK}{words(1, 5)}: "])
+            item = lambda: r.choice([f'{MARK}<a href="/{word()}">{words(1, 5)}</a>', f'{lead}<a href="/{word()}">{words(1, 4)}</a> {sentence()}' if lead else f'{MARK}<a href="x">{words(1, 3)}</a>, {words(1, 8)}'])
+            tag = r.choice(["ul", "ul", "ol"])
+            return f"<{tag}>" + "".join(f"<li>{item()}</li>" for _ in range(r.randint(1, 6))) + f"</{tag}>"
+        if r.random() < 0.04:
+            return f'<figure><img src="x.png"><figcaption>{MARK}{r.choice([sentence(), prose()])}</figcaption></figure>'
+        if r.random() < 0.04:
+            return "<dl>" + "".join(f"<dt>{MARK}{words(1, 3)}</dt><dd>{MARK}{sentence()}</dd>" for _ in range(r.randint(1, 4))) + "</dl>"
+        if r.random() < 0.04:
+            return f"<section><h3>{MARK}{words(1, 5)}</h3><p>{text}</p></section>"
+        if r.random() < 0.03:
+            return f'<p>{MARK}<a href="/x">{words(1, 6)}</a></p>'
         if r.random() < 0.05:
             return "<table>" + "".join(f"<tr><td>{MARK}{words(1, 3)}</td><td>{MARK}{words(1, 3)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>"
         if r.random() < 0.1:
@@ -269,12 +284,12 @@ def texts_of(pages: DataFrame) -> DataFrame:
         for batch in batches:
             html_ = batch.column("html").to_pylist()
             texts: list[str] = []
-            for i in range(0, len(html_), 200):
-                texts += extract(model, html_[i : i + 200])
+            for start, end in runs(html_, 1 << 20):
+                texts += extract(model, html_[start:end])
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(common.tidy(run), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
