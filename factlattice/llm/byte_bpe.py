@@ -2,15 +2,15 @@
 
 The ranks file becomes a tokenizers BPE model: bytes are mapped to printable characters (the byte
 table), and each way to split a token into two tokens is a merge with the rank of the whole token. The
-pre-token pattern cuts a text into pieces; each distinct piece is encoded once per batch (pieces that
-were seen lately come from a bounded cache), and a text's ids are its pieces' ids in order. Decoding
+pre-token pattern cuts a text into pieces; each distinct piece is encoded once per batch (short pieces
+that were seen lately come from a bounded cache), and a text's ids are its pieces' ids in order. Decoding
 looks ids up in the reversed byte table and joins bytes, so a character that is split over several ids
-comes back whole.
+comes back whole. An id's offsets are the characters that its bytes touch.
 
 Defined results: null text counts as empty; an empty text has no ids and no bytes; texts may be of any
-length (memory is bounded by the batch, which ``encoded`` slices by bytes); an empty table gives an
-empty result; repeated rows are encoded each; other columns are ignored by the query and carried by
-``with_ids``.
+length (Arrow batches are bounded by bytes, a longer text comes alone); an empty table gives an empty
+result; repeated rows are encoded each; other columns are ignored by the query and carried by
+``with_ids``, whose own column gets underscores until its name is free.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Distinct pieces whose ids a worker remembers; beyond it the memory is emptied.
-CACHE = 300_000
+#: Distinct pieces, of up to so many characters, whose ids a worker remembers; beyond it the memory is emptied.
+CACHE, SHORT = 150_000, 64
 
 
 def byte_table() -> list[str]:
@@ -50,7 +50,7 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         import regex
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         ranks = read_ranks(path)
         chars = byte_table()
@@ -63,23 +63,19 @@ class Codec:
         ]
         vocab = {as_chars(token): rank for token, rank in ranks.items()}
         self.pieces = regex.compile(pattern).findall
-        self.pieces_at = regex.compile(pattern).finditer
-        self._model = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
+        self._model = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True, cache_capacity=0))
         self._model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self._offsets = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
-        self._offsets.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split(Regex(pattern), behavior="isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
         back = {c: b for b, c in enumerate(chars)}
         self.bytes_of = {rank: bytes(back[c] for c in token) for token, rank in vocab.items()}
         self._cache: dict[str, bytes] = {}
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode pieces as one pretokenized sequence: the model sees each on its own."""
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces, encoded as one pretokenized sequence: the model sees each on its own."""
         fresh = [p for p in pieces if p not in self._cache]
         if len(self._cache) + len(fresh) > CACHE:
             self._cache = {}
             fresh = list(pieces)
+        long_ones: dict[str, bytes] = {}
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
             enc = self._model.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -87,25 +83,33 @@ class Codec:
             ends = np.searchsorted(np.asarray(enc.word_ids, dtype=np.int64), np.arange(len(part)), side="right")
             start = 0
             for piece, end in zip(part, ends.tolist()):
-                self._cache[piece] = ids[start:end].tobytes()
+                (self._cache if len(piece) <= SHORT else long_ones)[piece] = ids[start:end].tobytes()
                 start = end
+        return long_ones
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         for start, end in _slices(texts):
             cut = [self.pieces(t) if t else [] for t in texts[start:end]]
-            self._learn({p for pieces in cut for p in pieces})
+            long_ones = self._learn({p for pieces in cut for p in pieces})
             of = self._cache.__getitem__
             for pieces in cut:
-                yield b"".join(map(of, pieces))
+                if long_ones:
+                    yield b"".join(long_ones[p] if p in long_ones else of(p) for p in pieces)
+                else:
+                    yield b"".join(map(of, pieces))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
-    def encode_with_offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids and, for each, the characters of the text it touches."""
-        enc = self._offsets.encode(text, add_special_tokens=False)
-        return enc.ids, enc.offsets
+    def offsets(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """For each id the first character its bytes touch, and the one after the last."""
+        points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        first = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+        sizes = [len(self.bytes_of[i]) for i in np.frombuffer(ids, dtype="<u4").tolist()]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        starts = np.searchsorted(first, ends - sizes, side="right") - 1
+        return starts.astype(np.int32), np.searchsorted(first, ends, side="left").astype(np.int32)
 
 
 def _slices(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -129,43 +133,46 @@ def codec(name: str = VOCABULARY) -> Codec:
     return Codec(public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
-def encoded(text: Column, name: str = VOCABULARY) -> Column:
-    """Column struct(n_tokens, ids, ids_sha256, decoded_sha256) for a text column."""
-
-    @F.pandas_udf("n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _udf(text: Column, kind: str, rows: Callable[[Codec, list[str | None]], pd.DataFrame], name: str) -> Column:
+    def every(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(name)
         for batch in batches:
-            ids = list(own.encode(batch.tolist()))
-            yield pd.DataFrame(
-                {
-                    "n_tokens": [len(x) // 4 for x in ids],
-                    "ids": ids,
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(own.decode(x)).hexdigest() for x in ids],
-                }
-            )
+            yield rows(own, batch.tolist())
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return common.tidy(every)(batches)
 
     return run(text)
 
 
-def digests(text: Column, name: str = VOCABULARY) -> Column:
-    """Like ``encoded`` without the ids themselves."""
+def _frame(own: Codec, coded: list[bytes], **more) -> pd.DataFrame:
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return pd.DataFrame({"n_tokens": [len(x) // 4 for x in coded], **more, "ids_sha256": [sha(x) for x in coded], "decoded_sha256": [sha(own.decode(x)) for x in coded]})
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = codec(name)
-        for batch in batches:
-            rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(own.decode(x)).hexdigest()) for x in own.encode(batch.tolist())]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return run(text)
+def encoded(text: Column, name: str = VOCABULARY, offsets: bool = False) -> Column:
+    """Column struct(n_tokens, ids, ids_sha256, decoded_sha256) for a text column, with ``offsets`` also
+    starts and ends: the characters that each id touches."""
+
+    def rows(own: Codec, texts: list[str | None]) -> pd.DataFrame:
+        ids = list(own.encode(texts))
+        spans = [own.offsets(t or "", x) for t, x in zip(texts, ids)] if offsets else []
+        return _frame(own, ids, ids=ids, **({"starts": [s for s, _ in spans], "ends": [e for _, e in spans]} if offsets else {}))
+
+    return _udf(text, "n_tokens long, ids binary, " + "starts array<int>, ends array<int>, " * offsets + "ids_sha256 string, decoded_sha256 string", rows, name)
+
+
+def digests(text: Column, name: str = VOCABULARY) -> Column:
+    """Like ``encoded`` without the ids themselves."""
+    return _udf(text, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda own, texts: _frame(own, list(own.encode(texts))), name)
 
 
-def with_ids(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
-    """``docs`` with one more column ``bpe``: n_tokens, ids, ids_sha256, decoded_sha256."""
+def with_ids(docs: DataFrame, name: str = VOCABULARY, offsets: bool = False) -> DataFrame:
+    """``docs`` with one more column ``bpe``: n_tokens, ids, (starts, ends,) ids_sha256, decoded_sha256."""
     common.ship(docs.sparkSession)
-    return docs.withColumn("bpe", encoded(common.text_of(), name))
+    (to,) = common.free(docs.columns, "bpe")
+    return docs.withColumn(to, encoded(common.text_of(), name, offsets))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
