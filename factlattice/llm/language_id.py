@@ -1,16 +1,18 @@
 """Language identification as multilingual mixture inference.
 
 Per language a byte trigram model (with backing off to pairs) is learned from all training documents:
-one pass counts trigrams in Arrow batches, and only sums per language and trigram class, whose number
-is fixed, reach the driver. A document is a mixture: each of its words was written in one language.
-Expectation-maximisation over its words estimates the languages' shares; then languages leave the set
-as long as the penalised likelihood (half a log of the word count per language) gains by it. The
+one pass counts trigrams in Arrow batches, each language's table (1 MB, its size is fixed) is made where
+its sums meet, and the tables reach the driver. A document is a mixture: each of its words was written in one language.
+Expectation-maximisation over its words estimates the languages' shares; then languages leave the set,
+the smallest share first, as long as the penalised likelihood (half a log of the word count per
+language) gains by it. The
 prediction is the language with the largest share in the set; the score is that share, for short
 texts drawn towards its posterior.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without training
 documents every text is ``und``; ties go to the language first in code point order; repeated rows get
-the same prediction; an empty table gives an empty result; other columns are ignored.
+the same prediction; texts of any length are read whole; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +31,8 @@ from .shingles import runs
 #: Classes of bytes: 0 for what is no letter, 1-26 the letters, 27-63 shared by the bytes from 0x80 on.
 CLASSES = 64
 STEPS = 12
-#: A language below this share of a document leaves its set.
-LEAST_SHARE = 0.02
+#: Languages whose counts a worker holds at a time.
+HELD = 16
 
 
 def _classes() -> np.ndarray:
@@ -62,6 +65,13 @@ def _lower(column: pa.Array) -> list[bytes | None]:
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, total in sums.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "gram": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
+        sums.clear()
+
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         texts = _lower(batch.column("text"))
@@ -69,33 +79,40 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, t in zip(langs, texts):
             by.setdefault(lang, []).append(t)
         for lang, own in by.items():
+            if lang not in sums and len(sums) == HELD:
+                yield from flush()
             total = sums.setdefault(lang, np.zeros(CLASSES**3, dtype=np.int64))
             for start, end in runs(own):
                 codes, _ = _codes(own[start:end])
                 grams = _trigrams(codes)
                 grams = grams[grams % (CLASSES * CLASSES) != 0]  # a separator after a separator says nothing
                 total += np.bincount(grams, minlength=CLASSES**3)
-    for lang, total in sums.items():
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict(
-            {"lang": pa.array([lang] * len(at), pa.string()), "gram": pa.array(at.astype(np.int32)), "n": pa.array(total[at])}
-        )
+    yield from flush()
 
 
 LANGUAGES = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
 
+def _table(lang: str, grams: pd.DataFrame) -> pd.DataFrame:
+    """A language's log probabilities of a byte class after the two before it."""
+    c3 = np.zeros(CLASSES**3)
+    c3[grams.gram.to_numpy()] = grams.n.to_numpy()
+    c3 = c3.reshape(CLASSES, CLASSES, CLASSES)
+    c2 = c3.sum(0)
+    p1 = (c2.sum(0) + 0.5) / (c2.sum() + 0.5 * CLASSES)
+    p2 = (c2 + 4 * p1[None, :]) / (c2.sum(1, keepdims=True) + 4)
+    p3 = (c3 + 4 * p2[None, :, :]) / (c3.sum(2, keepdims=True) + 4)
+    return pd.DataFrame({"lang": [lang], "logs": [np.log(p3).astype(np.float32).tobytes()]})
+
+
 class Model:
     """Log probabilities of a byte class after the two before it, per language."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray):
+    def __init__(self, langs: list[str], logs: list[bytes]):
         self.langs = langs
-        c3 = counts.reshape(len(langs), CLASSES, CLASSES, CLASSES).astype(float)
-        c2 = c3.sum(1)
-        p1 = (c2.sum(1) + 0.5) / (c2.sum((1, 2))[:, None] + 0.5 * CLASSES)
-        p2 = (c2 + 4 * p1[:, None, :]) / (c2.sum(2, keepdims=True) + 4)
-        p3 = (c3 + 4 * p2[:, None, :, :]) / (c3.sum(3, keepdims=True) + 4)
-        self.table = np.log(p3).reshape(len(langs), CLASSES**3).T.astype(np.float32).copy()
+        self.table = np.empty((CLASSES**3, len(langs)), dtype=np.float32)
+        for i, own in enumerate(logs):
+            self.table[:, i] = np.frombuffer(own, dtype=np.float32)
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         """Texts in lower case -> languages and scores; a run of texts at a time."""
@@ -131,8 +148,6 @@ class Model:
             r = like * share[doc]
             r /= r.sum(1, keepdims=True) + 1e-300
             share = total(r) / size[:, None]
-        share = np.where(share < LEAST_SHARE, 0.0, share)
-        share /= share.sum(1, keepdims=True)
         share = self._penalised(like, doc, total, share, size)
         best = share.argmax(1)
         # Posterior of the best language alone against the others alone: sure for all but short texts.
@@ -158,7 +173,7 @@ class Model:
         open_ = (share > 0).sum(1) > 1
         now = fit(share) if open_.any() else None
         while open_.any():
-            smallest = np.where(share > 0, share, np.inf).argmin(1)
+            smallest = share.shape[1] - 1 - np.where(share > 0, share, np.inf)[:, ::-1].argmin(1)  # of equal ones the last
             fewer = share.copy()
             fewer[np.arange(len(share)), smallest] = 0.0
             left = fewer.sum(1, keepdims=True)
@@ -175,12 +190,10 @@ def fit(docs: DataFrame) -> Model:
     """The model from all rows of ``docs`` (text, lang) whose lang isn't null."""
     common.ship(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.mapInArrow(_counter, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()
-    langs = sorted(found.lang.unique())
-    table = np.zeros((len(langs), CLASSES**3), dtype=np.int64)
-    table[np.searchsorted(np.array(langs, dtype=object), found.lang.to_numpy(dtype=object)), found.gram.to_numpy()] = found.n.to_numpy()
-    return Model(langs, table)
+    counts = rows.mapInArrow(common.tidy(_counter), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    tables = counts.groupBy("lang").applyInPandas(lambda key, grams: _table(key[0], grams), "lang string, logs binary").collect()
+    tables = sorted(tables, key=lambda r: r.lang)  # a row per language
+    return Model([r.lang for r in tables], [r.logs for r in tables])
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
@@ -206,7 +219,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "languages"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<struct<lang: string, share: double>>")
+    return rows.mapInArrow(common.tidy(run), "doc_id long, lang_pred string, score double, languages array<struct<lang: string, share: double>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
