@@ -9,9 +9,11 @@ every text.
 The model is fitted on at most ``max_labelled`` labelled rows, chosen by a hash of the id: a documented
 bound. Only votes and word counts of that sample reach the driver. Scoring covers every whole text.
 
-Defined results: null and empty texts get the score of a text on which no voter fires; repeated rows
-get the same score; without labelled rows of both kinds the voters' fixed prior rates are used instead
-of estimated ones; an empty table gives an empty result; other columns are never inputs, they are
+Defined results: null and empty texts get the score of a text on which no voter fires; texts of any
+length are read whole; repeated rows get the same score; a doc_id that is labelled twice is toxic if one
+label says so, and all rows with that doc_id are labelled; labels other than 0 and 1 and labels without a
+doc_id are left out; with fewer than ``LEAST`` labelled rows of either kind the voters' fixed prior
+rates are used instead of estimated ones; an empty table gives an empty result; other columns are never inputs, they are
 ignored by the query and carried by ``drop_toxic``.
 """
 
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_LABELLED = 12_000
-#: Letters that are looked up first; no list word is shorter. Lengths of mined stems.
+MAX_LABELLED, LEAST = 12_000, 8
+#: Letters of a word that are looked up first (a shorter word whole). Lengths of mined stems.
 HEAD, STEMS = 4, (4, 5, 6, 7)
 THRESHOLD = 0.3
 #: Word lists of the voters (fixed values, lower case).
@@ -166,15 +168,15 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for k in STEMS:
                     if len(w) >= k:
                         stems[w[:k]] += n
-            sums[toxic].update(["", *("=" + w for w in words if len(w) >= HEAD), *("^" + g for g, n in stems.items() if n > 1)])
+            sums[toxic].update(["", *("=" + w for w in words), *("^" + g for g, n in stems.items() if n > 1)])
     grams = sorted({*sums[0], *sums[1]})
     yield pd.DataFrame({"gram": pd.Series(grams, dtype=object), "n1": [sums[1][g] for g in grams], "n0": [sums[0][g] for g in grams]})
 
 
-def word_voters(counts: pd.DataFrame, least: float, surprise: float = 20.0, ratio: float = 10.0, most: int = 200) -> Voters:
+def word_voters(counts: pd.DataFrame, least: float, surprise: float = 20.0, ratio: float = 10.0) -> Voters:
     """counts: gram, n1 toxic rows and n0 other rows with it; the totals under ''. Mined: grams in at
     least ``least`` toxic rows, ``ratio`` times as common there as elsewhere, with a log-likelihood ratio
-    of at least ``surprise``; of grams that contain one another the most telling, ``most`` in all.
+    of at least ``surprise``; of grams that contain one another the most telling.
     Unfit: list words in at least 5 rows and not twice as common in toxic ones."""
     n1, n0 = (max(int(x), 1) for x in counts.loc[counts.gram == "", ["n1", "n0"]].iloc[0])
     rate1, rate0 = counts.n1 / n1, counts.n0 / n0
@@ -187,8 +189,6 @@ def word_voters(counts: pd.DataFrame, least: float, surprise: float = 20.0, rati
     stems: list[str] = []
     ranked = counts.assign(told=told, length=counts.gram.str.len())[good]
     for gram in ranked.sort_values(["told", "length", "gram"], ascending=[False, False, True]).gram:
-        if len(words) + len(stems) >= most:
-            break
         if any(w.startswith(gram[1:]) for w in _FIXED):
             continue
         if any(gram[1:].startswith(g) or g.startswith(gram[1:]) for g in (*words, *stems)):
@@ -211,8 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).join(common.small(chosen, min(n, 2 * max_labelled)), "doc_id")
     sample = common.cut(sample, "toxic-sample")
 
-    toxic = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0))).first()[0]
-    if not toxic:
+    rows, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if min(toxic, rows - toxic) < LEAST:
         return _prior_model()
     counts = sample.select("text", "toxic").mapInPandas(_grams, "gram string, n1 long, n0 long")
     counts = counts.groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
@@ -226,17 +226,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         return pd.Series([voters.of(t) for t in texts])
 
     rows = sample.select("doc_id", "toxic", votes("text").alias("v")).toPandas().sort_values(["doc_id", "toxic"])
-    if rows.toxic.nunique() < 2:
-        return _prior_model()
     x, y = np.array(rows.v.tolist()), rows.toxic.to_numpy()
     weights, bias = linear_classifier(x, label_model(x, y))
     return Model(voters, weights, bias)
 
 
 def score(text: Column, model: Model) -> Column:
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(model.score(texts.tolist()))
+
     @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(texts.tolist()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return common.tidy(scores)(batches)
 
     return run(text)
 
@@ -249,7 +251,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents whose score reaches the threshold, all columns kept."""
     model = fit(training_rows(docs.select("doc_id", "text")), labels)
-    return docs.withColumn("__fl_toxic", score(common.text_of(), model)).filter(F.col("__fl_toxic") < threshold).drop("__fl_toxic")
+    (mark,) = common.free(docs.columns, "__fl_toxic")
+    return docs.withColumn(mark, score(common.text_of(), model)).filter(F.col(mark) < threshold).drop(mark)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
