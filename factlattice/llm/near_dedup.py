@@ -15,8 +15,8 @@
 4. Components are found by label propagation with pointer jumping; the smallest doc_id names each.
 
 Every exchange moves one row per document, band or pair, or the texts of pairs; no group is gathered
-in one task. Buckets and their chosen members are written tables, so that Spark splits a hot bucket's
-join; a text that many pairs need is sent to salts (``common.lookup``). Defined results: null text or
+in one task. Buckets and their chosen members are written tables: the latter are broadcast if they are
+few, else Spark splits a hot bucket's join; a text that many pairs need is sent to salts (``common.lookup``). Defined results: null text or
 no words: empty set, linked with nothing; fewer words than a shingle: one shingle; repeated rows and
 equal texts are one class; rows that share a doc_id or have none are compared as documents of their
 own; of each component one row is kept, of its smallest doc_id (null last); texts of any length are
@@ -55,8 +55,7 @@ def _sketcher(k: int, n_bands: int, rows: int):
         for batch in batches:
             texts = _texts(batch.column("text"))
             for start, end in shingles.runs(texts, RUN):
-                words = [shingles.words_of(t) for t in texts[start:end]]
-                found = shingles.sets(words, k)
+                found = shingles.sets(texts[start:end], k)
                 full = [s for s in found if len(s)]
                 hashed = shingles.bands(np.stack([shingles.sketch(s, n_bands * rows) for s in full]), rows) if full else np.empty((0, n_bands), np.uint64)
                 sizes = np.array([len(s) for s in found], dtype=np.int64)
@@ -66,7 +65,7 @@ def _sketcher(k: int, n_bands: int, rows: int):
                         batch.column("row").slice(start, end - start),
                         batch.column("doc_id").slice(start, end - start),
                         pa.array(sizes),
-                        pa.array([shingles.same(w) if w else None for w in words], pa.binary()),
+                        pa.array([shingles.same(shingles.words_of(t)) if n else None for t, n in zip(texts[start:end], sizes)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed.view(np.int64).ravel())),
                     ],
                     names=["row", "doc_id", "n_shingles", "same", "bands"],
@@ -86,10 +85,10 @@ def _verifier(k: int, percent: int):
             texts_a, texts_b = _texts(batch.column("text_a")), _texts(batch.column("text_b"))
             for start, end in shingles.runs([max(x or b"", y or b"", key=len) for x, y in zip(texts_a, texts_b)], RUN):
                 own = dict(zip(ids_a[start:end], texts_a[start:end])) | dict(zip(ids_b[start:end], texts_b[start:end]))
-                words = dict(zip(own, map(shingles.words_of, own.values())))
-                of = dict(zip(words, shingles.sets(list(words.values()), k)))
+                of = dict(zip(own, shingles.sets(list(own.values()), k)))
                 for i, (x, y) in enumerate(zip(ids_a[start:end], ids_b[start:end]), start):
-                    linked[i] = near(len(of[x]), len(of[y]), shingles.overlap(of[x], of[y])) and near(*shingles.exact(words[x], words[y], k))
+                    if near(len(of[x]), len(of[y]), shingles.overlap(of[x], of[y])):
+                        linked[i] = near(*shingles.exact(shingles.words_of(own[x]), shingles.words_of(own[y]), k))
             keep = pa.array(linked)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
@@ -101,7 +100,7 @@ def _shingle_rows(k: int):
         for batch in batches:
             texts = _texts(batch.column("text"))
             for start, end in shingles.runs(texts, RUN):
-                found = shingles.sets([shingles.words_of(t) for t in texts[start:end]], k)
+                found = shingles.sets(texts[start:end], k)
                 at = np.repeat(np.arange(start, end), [len(s) for s in found])
                 columns = [batch.column(c).take(pa.array(at)) for c in ("rep", "n", "comp", "block")]
                 flat = np.concatenate(found) if len(at) else np.empty(0, np.uint64)
@@ -237,7 +236,7 @@ def _decided(docs: DataFrame, key: str, k: int = 5, percent: int = 80, n_bands:
             order = F.when(F.col("w") == 0, chance).otherwise(-F.col("w") * (1 + 0.1 * (r - PRUNE) * chance))
             hub = open_.groupBy("key").agg(F.min(F.struct(order.alias("h"), "rep", "n", "c", "comp")).alias("hub"))
             hub = common.cut(hub.select("key", F.col("hub.rep").alias("y"), F.col("hub.n").alias("ny"), F.col("hub.c").alias("my"), F.col("hub.comp").alias("cy")), "near-hubs")
-            pairs = x.join(hub, "key").filter((F.col("cx") != F.col("cy")) & may)
+            pairs = x.join(common.small(hub, hub.count()), "key").filter((F.col("cx") != F.col("cy")) & may)
         else:  # the pairs of different components that are left
             pairs = _rest(open_, rest, percent)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -252,7 +252,7 @@ def test_links_are_confirmed_on_words(monkeypatch):
     """With a hash under which all words look alike, only texts that share their words are linked."""
     import pyarrow as pa
 
-    monkeypatch.setattr(shingles, "word_hashes", lambda words: (np.ones(sum(map(len, words)), np.uint64), np.concatenate([[0], np.cumsum([len(w) for w in words])])))
+    monkeypatch.setattr(shingles, "word_hashes", lambda texts: (np.ones(sum(len(t.split()) for t in texts), np.uint64), np.concatenate([[0], np.cumsum([len(t.split()) for t in texts])])))
     texts = ["a b c d e f g h", "s t u v w x y z", "a b c d e f g h h"]
     pairs = [(0, 1), (0, 2), (1, 2)]
     batch = pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "text_a": [texts[a] for a, _ in pairs], "text_b": [texts[b] for _, b in pairs]})
@@ -260,6 +260,19 @@ def test_links_are_confirmed_on_words(monkeypatch):
     assert out.to_pydict() == {"a": [0], "b": [2]}
 
 
+def test_word_hashes():
+    rng = random.Random(9)
+    words = [b"", b"a", b"A", b"ab", b"x" * 8, b"x" * 9, b"x" * 255, b"x" * 256, b"X" * 3000, "é日".encode(), *(bytes(rng.choices(b"ab", k=rng.randint(1, 40))) for _ in range(300))]
+    texts = [None, b" \n", *words, b"\x0b".join(words)]
+    h, begin = shingles.word_hashes(texts)
+    of = [h[b:e].tolist() for b, e in zip(begin, begin[1:])]
+    assert of[:3] == [[], [], []] and [x for y in of[3:-1] for x in y] == of[-1]
+    same = {}
+    for w, x in zip(words[1:], of[-1]):
+        assert same.setdefault(w.lower(), x) == x
+    assert len(set(same.values())) == len(same)
+
+
 def test_exact_set_sizes():
     rng = random.Random(4)
     for _ in range(200):
