@@ -154,11 +154,13 @@ def _rest(open_: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     t = common.cut(t, "near-common")
 
     # pairs that their common shingles don't rule out, among the members of a bucket
-    able = open_.select("key", "rep", "n", "comp").join(t, "rep")
-    least = able.groupBy("key").agg(F.min("n").alias("least"))
-    able = able.join(least, "key").filter((100 + percent) * F.col("t") >= percent * (F.col("n") + F.col("least"))).drop("least")
+    able = common.cut(open_.select("key", "rep", "n", "comp").join(t, "rep"), "near-able")
+    least = common.cut(able.groupBy("key").agg(F.min("n").alias("least")), "near-least")
+    able = able.join(common.small(least, least.count()), "key").filter((100 + percent) * F.col("t") >= percent * (F.col("n") + F.col("least"))).drop("least")
+    able = common.cut(able, "near-able")
     split = able.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    able = common.cut(able.join(split, "key").select("key", "rep", "n", "comp", "t", "p"), "near-able")
+    split = common.cut(split, "near-open")
+    able = common.cut(able.join(common.small(split, split.count()), "key").select("key", "rep", "n", "comp", "t", "p"), "near-able")
     x, y = able.toDF("key", "x", "nx", "cx", "tx", "px"), able.toDF("key", "y", "ny", "cy", "ty", "py")
     need = percent * (F.col("nx") + F.col("ny"))
     most = F.aggregate(F.zip_with("px", "py", lambda a, b: F.least(a, b).cast("int")), F.lit(0), lambda total, v: total + v)
