@@ -210,7 +210,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, shard: int = SHARD) -> Da
     n = classes.count()
     shards = math.ceil(n / min(shard, max(1, SHARD_BYTES // (8 * sizes["size"]))))
     points = classes.select("rep", "vec", F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(shards)).cast("int").alias("shard"))
-    graphs = common.cut(points.groupBy("shard").applyInPandas(_build, "shard int, " + _PACKED), "ann-graphs")
+    graphs = common.cut(points.repartition(4 * shards, "shard").groupBy("shard").applyInPandas(_build, "shard int, " + _PACKED), "ann-graphs")
     queries = rows.filter(is_query)
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(blocks)).cast("int"))
