@@ -49,3 +49,33 @@ def is_present(status: Column, wide: bool = False) -> Column:
     """Present now; ``wide`` counts FUTURE and OFFSITE too (as scoring does). PAST never counts."""
     names = ["PRESENT", "PRESENT_AND_FUTURE"] + (["FUTURE", "OFFSITE"] if wide else [])
     return F.coalesce(status.isin(*names), F.lit(False))
+
+
+#: Rank of a status where one process gets several within a document (fixed values); the join isn't made there.
+RANK = {"PAST": 1, "OFFSITE": 2, "FUTURE": 3, "PRESENT": 4}
+#: Words that say a unit stands elsewhere, lower case with underscores (fixed values).
+OFFSITE_WORDS = ("off_site", "third_party", "offsite")
+
+
+def rank(status: Column) -> Column:
+    out = F.lit(0)
+    for name, value in RANK.items():
+        out = F.when(status == name, F.lit(value)).otherwise(out)
+    return out
+
+
+def of_implementation(implementation: Column, location: Column, offsite: tuple[str, ...] = OFFSITE_WORDS) -> Column:
+    """The status of an item that says when and where: a present unit elsewhere is OFFSITE, a planned or
+    past one elsewhere has none; NULL where nothing is said."""
+    said = lambda c: F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "-", "_")
+    when, elsewhere = said(implementation), said(location).isin(*offsite)
+    return (
+        F.when(when.isin(*offsite) | ((when == "present") & elsewhere), "OFFSITE")
+        .when(when.isin("present", "future", "past") & ~elsewhere, F.upper(when))
+        .otherwise(F.lit(None).cast("string"))
+    )
+
+
+def best(status: Column) -> Column:
+    """Aggregate: the status of the highest rank, NULL if there is none."""
+    return F.max_by(status, F.when(rank(status) > 0, rank(status)))

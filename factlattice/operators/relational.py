@@ -14,6 +14,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A broadcast hint if the table has at most ``most`` rows, which is counted; else Spark shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def best_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """One whole row per key, the first by ``order``, taken with an aggregate: partial before the exchange, so
+    a hot key is one row per task. Column types must be comparable in a struct."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    first = df.groupBy(*keys).agg(F.min_by(row, F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))).alias("__r"))
+    return first.select("__r.*")
+
+
+def with_suffix(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", suffix: str = "_right") -> DataFrame:
+    """A join on several keys; columns of ``right`` that ``left`` has too get a suffix."""
+    named = right.select(*on, *(F.col(c).alias(c + suffix if c in left.columns else c) for c in right.columns if c not in on))
+    return left.join(named, list(on), how)
+
+
+def pair_semi(df: DataFrame, pairs: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows whose combination of keys occurs in ``pairs``."""
+    return df.join(pairs.select(*on).distinct(), list(on), "left_semi")
+
+
+def aligned(labels: DataFrame, found: DataFrame, key: str, fill: dict[str, Column]) -> DataFrame:
+    """``found`` laid out over the keys of ``labels``: keys that it lacks get ``fill``, others go."""
+    have = found.withColumn("__have", F.lit(True))
+    joined = labels.select(key).distinct().join(have, key, "left")
+    filled = [F.when(F.col("__have").isNull(), fill[c]).otherwise(F.col(c)).alias(c) if c in fill else F.col(c) for c in found.columns]
+    return joined.select(*filled)
+
+
+def common_keys(left: DataFrame, right: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables cut to the keys they share, one row per key in each: the first by ``order``."""
+    shared = left.select(key).filter(F.col(key).isNotNull()).intersect(right.select(key))
+    return tuple(pick(df.join(shared, key, "left_semi"), [key], [F.col(order)]) for df in (left, right))
+
+
+def in_ranges(df: DataFrame, ranges: DataFrame, value: Column, low: str, high: str) -> DataFrame:
+    """Each row with the ranges [low, high) that hold its value; a NULL bound is open. ``ranges`` is a table
+    of bounded size (a curve's segments, bins); a row outside all of them is left out."""
+    inside = (F.col(low).isNull() | (value >= F.col(low))) & (F.col(high).isNull() | (value < F.col(high)))
+    return df.join(small(ranges), inside)
+
+
+def blank_last(*columns: str) -> list[Column]:
+    """Sort keys: lower-cased, blank and NULL after all others."""
+    return [k for c in columns for k in (F.coalesce(F.trim(c) == "", F.lit(True)).asc(), F.lower(c).asc())]
+
+
+def in_order(column: str, order: Sequence[str]) -> Column:
+    """A sort key: the place in an explicit list, others after it."""
+    out = F.lit(len(order))
+    for i, name in enumerate(order):
+        out = F.when(F.col(column) == name, F.lit(i)).otherwise(out)
+    return out
+
+
 def pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One whole row per key: the first by ``order``. All columns are kept."""
     names = df.columns
@@ -102,14 +160,16 @@ def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
 def dnf_match(tokens: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """Rules in disjunctive normal form: a conjunct (rule, conjunct, token) matches a key that has all
     of its tokens; a rule matches by any conjunct. tokens: key, token."""
-    need = rules.groupBy("rule", "conjunct").agg(F.count_distinct("token").alias("need"))
-    have = tokens.select(key, "token").distinct().join(F.broadcast(rules), "token").groupBy(key, "rule", "conjunct").agg(F.count_distinct("token").alias("have"))
-    return have.join(F.broadcast(need), ["rule", "conjunct"]).filter("have = need").select(key, "rule").distinct()
+    sized = rules.select("rule", "conjunct", "token").distinct()
+    sized = sized.join(sized.groupBy("rule", "conjunct").agg(F.count(F.lit(1)).alias("need")), ["rule", "conjunct"])
+    have = tokens.select(key, "token").distinct().join(small(sized), "token").groupBy(key, "rule", "conjunct", "need").agg(F.count(F.lit(1)).alias("have"))
+    return have.filter("have = need").select(key, "rule").distinct()
 
 
 def budgeted(df: DataFrame, key: str, rank: str, order: str, size: str, max_rows: int, max_size: int, by: str) -> DataFrame:
-    """Rank-interleaved selection per ``by``: all first ranks before any second; a key counts once; it
-    stops before the first row that would pass either cap."""
+    """Rank-interleaved selection per ``by``: all first ranks (in the order of their queries) before any
+    second; a key counts once, at its first place; it stops before the first row that would pass either
+    cap, and takes nothing after it."""
     names = df.columns
     once = pick(df, [by, key], [F.col(rank), F.col(order)])
     w = Window.partitionBy(by).orderBy(F.col(rank), F.col(order), F.col(key))
