@@ -132,10 +132,14 @@ def pivot_values(df: DataFrame, keys: Sequence[str], name: str, value: str, name
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir; only where that is unset (one machine) to a temporary folder."""
+    """``df`` written to spark.checkpoint.dir; only where that is unset and all runs in one process to a
+    temporary folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="factlattice-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="factlattice-"))
     return df.checkpoint()
 
 
@@ -175,3 +179,58 @@ def budgeted(df: DataFrame, key: str, rank: str, order: str, size: str, max_rows
     w = Window.partitionBy(by).orderBy(F.col(rank), F.col(order), F.col(key))
     run = once.withColumn("__n", F.row_number().over(w)).withColumn("__s", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return run.filter((F.col("__n") <= max_rows) & (F.col("__s") <= max_size)).select(*names)
+
+
+def quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
+    """The exact quantile per key, between two values in proportion. Equal values are counted first and summed
+    up by key and value, so no task holds a key's values; it streams over the distinct ones."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    run = counted.withColumn("__to", F.sum("__n").over(upto))
+    total = run.groupBy(*keys).agg(F.max("__to").alias("__all"))
+    at = (F.col("__all") - 1) * F.lit(float(q))
+    both = run.join(total, list(keys)).withColumn("__lo", F.floor(at)).withColumn("__hi", F.ceil(at)).withColumn("__part", at - F.floor(at))
+    holds = lambda i: F.max(F.when((F.col(i) >= F.col("__to") - F.col("__n")) & (F.col(i) < F.col("__to")), F.col("__v")))
+    out = both.groupBy(*keys, "__part").agg(holds("__lo").alias("__a"), holds("__hi").alias("__b"))
+    return out.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")).alias(name))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1_000) -> DataFrame:
+    """query_id, rank, row_id, score: the k rows of the largest cosine with each query, by looking at all. Queries
+    (id, vec) are a stated set; they are sent to the rows in blocks of ``block``, so what is broadcast is bounded."""
+    unit = lambda v: F.transform(v, lambda e: e.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
+    rows = rows.select(F.col("id").alias("row_id"), unit(F.col("vec")).alias("r"))
+    place = F.row_number().over(Window.orderBy("id")) - 1
+    asked = queries.select(F.col("id").alias("query_id"), unit(F.col("vec")).alias("q"), F.floor(place / block).alias("__block"))
+    out = None
+    for (b,) in asked.select("__block").distinct().orderBy("__block").collect():
+        score = F.aggregate(F.zip_with("q", "r", lambda a, c: a * c), F.lit(0.0), lambda s, x: s + x)
+        pairs = rows.join(F.broadcast(asked.filter(F.col("__block") == b).drop("__block")), F.col("query_id") != F.col("row_id"))
+        top = pairs.select("query_id", "row_id", score.alias("score"))
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
+        top = top.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+def containing(df: DataFrame, key: str, text: str, other: DataFrame, other_key: str, other_text: str) -> DataFrame:
+    """Pairs (key, other_key) where either text contains the other. Texts are joined by their trigrams of
+    letters: the shorter one's rarest trigram must occur in the longer one. Texts of fewer than three
+    characters are compared with all (they are few and short: their distinct values are broadcast)."""
+    def grams(d: DataFrame, k: str, t: str) -> DataFrame:
+        own = d.select(F.col(k).alias("k"), F.col(t).alias("t")).filter("t IS NOT NULL")
+        return own.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 2, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(3))))))
+
+    a, b = grams(df, key, text), grams(other, other_key, other_text)
+
+    def inside(short: DataFrame, long: DataFrame) -> DataFrame:
+        often = long.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        rarest = short.join(often, "g", "left").groupBy("k", "t").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m"))
+        asked = rarest.filter("length(t) >= 3 AND m.n > 0").select(F.col("k").alias("s"), F.col("t").alias("ts"), F.col("m.g").alias("g"))
+        found = asked.join(long.withColumnRenamed("k", "l").withColumnRenamed("t", "tl"), "g").filter(F.contains("tl", F.col("ts"))).select("s", "l")
+        tiny = short.filter("length(t) < 3").select(F.col("k").alias("s"), F.col("t").alias("ts")).distinct()
+        every = long.select(F.col("k").alias("l"), F.col("t").alias("tl")).distinct()
+        return found.unionByName(every.join(small(tiny), F.contains("tl", F.col("ts"))).select("s", "l"))
+
+    one = inside(a, b).toDF(key, other_key)
+    return one.unionByName(inside(b, a).toDF(other_key, key)).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlattice.functions import status as st
+from factlattice.functions import text as tx
 from factlattice.operators import relational as rel
 from factlattice.session import table
 
@@ -48,12 +49,11 @@ def _tokens(text="text"):
 
 @query("SELECT source, process, " + _DECODE.format("mask") + " AS status FROM (SELECT source, process, bit_or(bit) AS mask FROM (" + " UNION ALL ".join(f"SELECT source, '{p}' AS process, CASE WHEN n_chars > 2000 THEN 8 ELSE 4 END AS bit FROM documents WHERE " + " OR ".join(f"contains({_TOKEN_SQL}, ' {w} ')" for w in words) for p, words in TAXONOMY.items()) + ") GROUP BY 1, 2)")
 def facility_status_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword presence per document, merged over the lattice per facility (source) and process. All
-    terms are tested in one pass over the text; hits are exploded, merged with a partial bit_or."""
+    """Keyword presence per document, merged over the lattice per facility (source) and process. Few terms:
+    a compiled test each (a taxonomy's many are found at once by ``keywords.search``); hits are exploded,
+    merged with a partial bit_or."""
     docs = table(spark, sf_dir, "documents").select("source", "n_chars", _tokens().alias("t"))
-    hits = F.filter(
-        F.array(*(F.when(F.exists(F.array(*(F.lit(f" {w} ") for w in words)), lambda w: F.contains(F.col("t"), w)), F.lit(p)) for p, words in TAXONOMY.items())), lambda p: p.isNotNull()
-    )
+    hits = F.array_compact(F.array(*(F.when(tx.contains_any(F.col("t"), [f" {w} " for w in words]), F.lit(p)) for p, words in TAXONOMY.items())))
     rows = docs.select("source", F.explode(hits).alias("process"), F.when(F.col("n_chars") > 2000, 8).otherwise(4).alias("bit"))
     return rows.groupBy("source", "process").agg(F.bit_or("bit").alias("mask")).select("source", "process", st.decode(F.col("mask")).alias("status"))
 
@@ -110,13 +110,6 @@ def containment_join(spark, sf_dir):
     return a.join(b, ["p_brand", "p_size"]).filter((F.col("a") < F.col("b")) & within).select("a", "b")
 
 
-@query("SELECT r_name, n_name FROM region LEFT JOIN nation ON upper(trim(substr(r_name, 1, 1))) = upper(trim(substr(n_name, 1, 1)))")
-def normalised_name_join(spark, sf_dir):
-    r = table(spark, sf_dir, "region").select("r_name", F.upper(F.trim(F.substring("r_name", 1, 1))).alias("k"))
-    n = table(spark, sf_dir, "nation").select("n_name", F.upper(F.trim(F.substring("n_name", 1, 1))).alias("k"))
-    return r.join(n, "k", "left").select("r_name", "n_name")
-
-
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey) AS rn FROM orders WHERE o_orderdate <= TIMESTAMP '1997-01-01') WHERE rn = 1")
 def asof_best_order(spark, sf_dir):
     o = table(spark, sf_dir, "orders").filter("o_orderdate <= TIMESTAMP '1997-01-01'")
@@ -206,7 +199,8 @@ def weighted_cost(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median_price FROM lineitem GROUP BY 1")
 def quantile_factor(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.5), 4).alias("median_price"))
+    out = rel.quantile(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.5, "median_price")
+    return out.select("l_returnflag", F.round("median_price", 4).alias("median_price"))
 
 
 @query("SELECT user_id FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = 5")
@@ -244,12 +238,6 @@ def mode_ranking_by_bin(spark, sf_dir):
     return t.withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("n"), "p_size")))
 
 
-@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER w AS rn, sum(length(text)) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE rn <= 12 AND s <= 2000")
-def interleaved_budget(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("size", F.length("text"))
-    return rel.budgeted(c, "turn", "turn", "turn", "size", 12, 2000, "conv_id").select("conv_id", "turn")
-
-
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 50")
 def multi_key_sort_topk(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(50).select("l_orderkey", "l_linenumber", "l_extendedprice")
@@ -293,11 +281,6 @@ def page_marker_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_count(html, F.lit("<p>")).cast("long").alias("paragraphs"), F.regexp_extract(F.coalesce("url", F.lit("")), "page=([0-9]+)", 1).alias("page_no"))
 
 
-@query("SELECT year(o_orderdate) AS y, count(*) AS n, count(try_cast(o_orderpriority AS DATE)) AS dates FROM orders GROUP BY 1")
-def date_coercion(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.count(F.try_to_date("o_orderpriority")).alias("dates"))
-
-
 @query("SELECT l_linestatus, round(sum(CASE WHEN l_quantity <= 10 THEN 5 + 2 * l_quantity WHEN l_quantity <= 30 THEN 3 * pow(l_quantity, 0.9) ELSE 100 END), 2) AS cost FROM lineitem GROUP BY 1")
 def cost_curve(spark, sf_dir):
     q = F.col("l_quantity")
@@ -378,14 +361,6 @@ def multi_rule_counts(spark, sf_dir):
     return g.filter("u BETWEEN 1 AND 3").select("conv_id")
 
 
-@query("WITH u AS (SELECT DISTINCT user_id, event_type FROM events), w AS (SELECT user_id FROM u GROUP BY 1 HAVING max(CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END) = 0) SELECT user_id, min_by(event_type, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END) AS filled FROM u JOIN w USING (user_id) GROUP BY 1")
-def secondary_backfill(spark, sf_dir):
-    u = table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
-    rank = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(3)
-    g = u.groupBy("user_id").agg(F.max(F.col("event_type").isin("purchase", "signup")).alias("has"), F.min_by("event_type", rank).alias("filled"))
-    return g.filter(~F.col("has")).select("user_id", "filled")
-
-
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_items(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factlattice.functions import status as st
 from factlattice.operators import relational as rel
-from factlattice.plans import catalogue
+from factlattice.plans import domain as catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
