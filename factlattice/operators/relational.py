@@ -131,7 +131,7 @@ def pivot_values(df: DataFrame, keys: Sequence[str], name: str, value: str, name
     return wide.select(*keys, *(F.coalesce(F.col(n), F.lit(default)).alias(n) for n in names))
 
 
-def _saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
     """``df`` written to spark.checkpoint.dir; only where that is unset and all runs in one process to a
     temporary folder."""
     sc = df.sparkSession.sparkContext
@@ -152,7 +152,7 @@ def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
     front = out
     while True:
         front = front.join(up, front.ancestor == up.c).select("node", F.col("p").alias("ancestor")).distinct()
-        front = _saved(front)
+        front = saved(front)
         pairs, loops = front.agg(F.count(F.lit(1)), F.count_if(F.col("node") == F.col("ancestor"))).first()
         if loops:
             raise ValueError(f"{parent} of {child} has a cycle")

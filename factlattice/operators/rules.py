@@ -2,7 +2,8 @@
 
 Tables: ``items`` (keys, Equipment, Process, Role, Substance: arrays, Implementation, Location), ``up`` (node,
 ancestor: the closure of a class hierarchy, see ``relational.ancestors``), ``does`` (equipment, process: what
-a class does by itself). All of it is joins of long tables; nothing is looked up per row.
+a class does by itself). All of it is joins of long tables; nothing is looked up per row. What several
+steps read (components, matches, pruned rows) is written to the checkpoint folder once.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from factlattice.functions import status as st
 from factlattice.functions import text as tx
 
 from . import priority
-from .relational import small
+from .relational import saved, small
 
 KINDS = ("Process", "Role", "Equipment", "Substance")
 
@@ -90,16 +91,17 @@ def exclusions(parts: DataFrame, keys: Sequence[str], taxonomy: DataFrame) -> Da
     return parts.join(small(tokens), ["kind", "label"]).select(*keys, F.col("leaf").alias("process")).distinct()
 
 
-def item_processes(items: DataFrame, keys: Sequence[str], taxonomy: DataFrame, up: DataFrame, does: DataFrame) -> DataFrame:
-    """keys, process: what each item shows, after rules, exclusions, pruning in three stages and backfill."""
-    parts = components(items, keys, up, does)
+def item_processes(items: DataFrame, keys: Sequence[str], taxonomy: DataFrame, up: DataFrame, does: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """keys, process: what each item shows, after rules, exclusions, pruning in three stages and backfill.
+    ``parts``: the items' components, if they are at hand."""
+    parts = saved(components(items, keys, up, does)) if parts is None else parts
     leaf = taxonomy.select(F.col("leaf").alias("label"))
     direct = parts.filter("kind = 'Process'").join(small(leaf), "label", "left_semi").select(*keys, F.col("label").alias("process"))
-    ungated = matches(parts, keys, taxonomy)
-    present = direct.unionByName(gated(ungated, keys, taxonomy)).distinct()
+    ungated = saved(matches(parts, keys, taxonomy))
+    present = saved(direct.unionByName(gated(ungated, keys, taxonomy)).distinct())
     out = exclusions(parts, keys, taxonomy).join(present, [*keys, "process"], "left_semi")
     rows = present.join(out, [*keys, "process"], "left_anti").withColumn("status", F.lit("PRESENT"))
-    rows = priority.three_stages(rows, keys, taxonomy)
+    rows = saved(priority.three_stages(rows, keys, taxonomy))
     rows = priority.backfill(rows, keys, taxonomy, matched=ungated, excluded=out)
     return rows.filter("status = 'PRESENT'").select(*keys, "process")
 
@@ -120,19 +122,20 @@ def _multi(taxonomy: DataFrame) -> tuple[list, list, list]:
     return rules, equipment, bounds
 
 
-def facility_processes(items: DataFrame, document: str, item: str, taxonomy: DataFrame, up: DataFrame, does: DataFrame) -> DataFrame:
+def facility_processes(items: DataFrame, document: str, item: str, taxonomy: DataFrame, up: DataFrame, does: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """document, process, status by rules over all items of a document: items with one of the rule's
     equipment classes match; the counts of roles in them (as written) must lie within the rule's bounds;
     a component of a matching item that excludes the leaf cancels the rule; the status is the best of
     the matching items'."""
     spark, keys = items.sparkSession, [document, item]
-    rules, equipment, bounds = (
-        spark.createDataFrame(rows, kind)
-        for rows, kind in zip(_multi(taxonomy), ("rule int, leaf string, n_bounds int", "rule int, label string", "rule int, role string, low int, high int"))
-    )
-    parts = components(items, keys, up, does)
+    listed = _multi(taxonomy)
+    kinds = ("rule int, leaf string, n_bounds int", "rule int, label string", "rule int, role string, low int, high int")
+    rules, equipment, bounds = (spark.createDataFrame(rows, kind) for rows, kind in zip(listed, kinds))
+    if not listed[0]:
+        return items.select(document).limit(0).select(document, F.lit("").alias("process"), F.lit("").alias("status"))
+    parts = saved(components(items, keys, up, does)) if parts is None else parts
     matching = parts.filter("kind = 'Equipment'").join(F.broadcast(equipment), "label").select(*keys, "rule").distinct()  # a taxonomy's rules
-    matching = matching.join(F.broadcast(rules), "rule")
+    matching = saved(matching.join(F.broadcast(rules), "rule"))
     cancelled = matching.join(exclusions(parts, keys, taxonomy), [*keys]).filter("leaf = process").select(document, "rule").distinct()
     with_items = matching.join(items.select(*keys, "Role", "Implementation", "Location"), keys).join(cancelled, [document, "rule"], "left_anti")
     status = with_items.groupBy(document, "rule", "leaf", "n_bounds").agg(st.best(st.of_implementation(F.col("Implementation"), F.col("Location"))).alias("status"))
@@ -147,10 +150,11 @@ def facility_processes(items: DataFrame, document: str, item: str, taxonomy: Dat
 def document_statuses(items: DataFrame, document: str, item: str, taxonomy: DataFrame, up: DataFrame, does: DataFrame) -> DataFrame:
     """document, process, status: the best status of the items that show a process, and of the rules over
     all items. Within a document statuses are ranked, not joined."""
-    shown = item_processes(items, [document, item], taxonomy, up, does)
+    parts = saved(components(items, [document, item], up, does))
+    shown = item_processes(items, [document, item], taxonomy, up, does, parts)
     when = items.select(document, item, st.of_implementation(F.col("Implementation"), F.col("Location")).alias("status"))
     rows = shown.join(when, [document, item]).select(document, "process", "status")
-    rows = rows.unionByName(facility_processes(items, document, item, taxonomy, up, does))
+    rows = rows.unionByName(facility_processes(items, document, item, taxonomy, up, does, parts))
     return rows.groupBy(document, "process").agg(st.best(F.col("status")).alias("status")).filter("status IS NOT NULL")
 
 
