@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Bytes up to which a table may be broadcast: its counted rows times the bytes of a row in a hash table.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of a row of a few numbers in such a table.
+ROW_BYTES = 128
 #: Bytes of an Arrow batch: whole texts go to Python a few MB at a time, in whatever plan they are read.
 ARROW_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -101,11 +103,20 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int, row_bytes: int = 128) -> DataFrame:
+def small(df: DataFrame, rows: int, row_bytes: int = ROW_BYTES) -> DataFrame:
     """A broadcast hint if ``rows``, counted before, are within the bound; else Spark shuffles."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def bounded(df: DataFrame, most: int, name: str) -> DataFrame:
+    """``small`` for a table of at most ``most`` rows: where even so many may be broadcast it isn't written
+    first to be counted."""
+    if most * ROW_BYTES <= BROADCAST_BYTES:
+        return F.broadcast(df)
+    df = cut(df, name)
+    return small(df, df.count())
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, spread: str, like: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has one row per ``key``, perhaps a large one. A hot key's rows
     in ``left`` are dealt by ``spread`` to salts, and its row of ``right`` goes to each of them. The table

@@ -109,14 +109,14 @@ def _shingle_rows(k: int):
     return common.tidy(run)
 
 
-def _undecided(open_: DataFrame) -> DataFrame:
-    """The buckets whose members lie in several components."""
+def _undecided(open_: DataFrame, n: int) -> DataFrame:
+    """The buckets whose members lie in several components; ``open_`` has at most ``n`` rows, so half as many
+    such buckets."""
     split = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    split = common.cut(split, "near-open")
-    return common.cut(open_.join(common.small(split, split.count()), "key").select("key", "rep", "n", "c", "w", "comp"), "near-buckets")
+    return common.cut(open_.join(common.bounded(split, n // 2, "near-open"), "key").select("key", "rep", "n", "c", "w", "comp"), "near-buckets")
 
 
-def _able(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _able(open_: DataFrame, size: int, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The open buckets with c, how many of a set's shingles occur in another component of its block
     (components that buckets connect), without the classes that can't be linked any more. Two sets share
     at most the smaller c; a link needs (100 + percent) * shared >= percent * (n + m), so c alone shows
@@ -133,7 +133,7 @@ def _able(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[Data
     across = rows.groupBy("block", "shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("in")).filter("lo < hi").select("block", "shingle", "in")
     able = rows.join(across, ["block", "shingle"]).groupBy("rep", "n").agg(F.count(F.lit(1)).alias("c"), F.sum("in").cast("double").alias("w"))
     able = able.filter(100 * F.col("c") >= percent * F.col("n"))
-    return _undecided(open_.drop("c", "w").join(able.select("rep", "c", "w"), "rep")), rows.drop("comp")
+    return _undecided(open_.drop("c", "w").join(able.select("rep", "c", "w"), "rep"), size), rows.drop("comp")
 
 
 def _rest(open_: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -175,10 +175,10 @@ def _rest(open_: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return alike.union(both.select("x", "y"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts' full sets are similar enough. Moves texts of pairs only."""
-    ids = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "near-ids")
-    texts = docs.join(common.small(ids, ids.count()), "row", "left_semi")
+def verified(pairs: DataFrame, n: int, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b), ``n`` of them, whose texts' full sets are similar enough. Moves texts of pairs only."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    texts = docs.join(common.bounded(ids, 2 * n, "near-ids"), "row", "left_semi")
     texts = common.cut(texts.select("row", "text"), "near-texts")
     a = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
@@ -189,7 +189,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node that each node of the edges (a, b) reaches."""
     both = common.cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "near-graph")
-    labels = common.cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "near-labels")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
     while True:
         around = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
         lower = labels.join(around, F.col("node") == F.col("n")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -229,7 +229,8 @@ def _decided(docs: DataFrame, key: str, k: int = 5, percent: int = 80, n_bands:
     label = None  # class -> component, for classes with a link
     tested = None
     for r in range(rounds + 1):
-        if not open_.limit(1).count():
+        size = open_.count()
+        if not size:
             break
         x = open_.select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c").alias("mx"), F.col("comp").alias("cx"))
         may = (100 + percent) * F.least("mx", "my") >= percent * (F.col("nx") + F.col("ny"))
@@ -237,16 +238,23 @@ def _decided(docs: DataFrame, key: str, k: int = 5, percent: int = 80, n_bands:
             chance = F.pmod(F.xxhash64("rep", F.lit(r)), F.lit(1 << 20)) / float(1 << 20)
             order = F.when(F.col("w") == 0, chance).otherwise(-F.col("w") * (1 + 0.1 * (r - PRUNE) * chance))
             hub = open_.groupBy("key").agg(F.min(F.struct(order.alias("h"), "rep", "n", "c", "comp")).alias("hub"))
-            hub = common.cut(hub.select("key", F.col("hub.rep").alias("y"), F.col("hub.n").alias("ny"), F.col("hub.c").alias("my"), F.col("hub.comp").alias("cy")), "near-hubs")
-            pairs = x.join(common.small(hub, hub.count()), "key").filter((F.col("cx") != F.col("cy")) & may)
+            hub = hub.select("key", F.col("hub.rep").alias("y"), F.col("hub.n").alias("ny"), F.col("hub.c").alias("my"), F.col("hub.comp").alias("cy"))
+            pairs = x.join(common.bounded(hub, size // 2, "near-hubs"), "key").filter((F.col("cx") != F.col("cy")) & may)
         else:  # the pairs of different components that are left
             pairs = _rest(open_, rest, percent)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = common.cut(pairs, "near-pairs")
+        n = pairs.count()
+        if not n:  # nothing new to look at in this round
+            if r == rounds:
+                break
+            if r == min(PRUNE, rounds) - 1:
+                open_, rest = _able(open_, size, docs, k, percent)
+            continue
         tested = pairs if tested is None else tested.union(pairs)
-        edges = common.cut(verified(pairs, docs, k, percent), "near-links")
+        edges = common.cut(verified(pairs, n, docs, k, percent), "near-links")
         if label is not None:
             comp = label.select("node", "label")
             edges = (
@@ -264,9 +272,9 @@ def _decided(docs: DataFrame, key: str, k: int = 5, percent: int = 80, n_bands:
         if r == rounds:
             break
         now = open_.drop("comp").join(label.toDF("rep", "l"), "rep", "left").withColumn("comp", F.coalesce("l", "rep")).drop("l")
-        open_ = _undecided(now)
+        open_ = _undecided(now, size)
         if r == min(PRUNE, rounds) - 1 and open_.limit(1).count():
-            open_, rest = _able(open_, docs, k, percent)
+            open_, rest = _able(open_, size, docs, k, percent)
     found = classes.select("same", "rep", "first")
     if label is not None:
         linked = label.join(classes.select("rep", "first"), F.col("node") == F.col("rep")).select("node", "label", "first")
