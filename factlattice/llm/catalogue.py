@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, lattice_lm, mixing, near_dedup, page_text, token_counts, toxicity, vector_search
+from . import byte_bpe, exact_dedup, filter_audit, language_id, lattice_lm, mixing, near_dedup, page_text, spelling, token_counts, toxicity, vector_search
 
 QUERIES = {
     "op10_page_text": page_text.query,
@@ -15,8 +15,12 @@ QUERIES = {
     "op7_byte_bpe": byte_bpe.query,
     "op1_mix_sources": mixing.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op11_spelling_variants": spelling.query,
+    "op12_filter_audit": filter_audit.query,
 }
 ORACLE = {
     "op2_near_dedup": near_dedup.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
