@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, filter_audit, language_id, lattice_lm, mixing, near_dedup, page_text, spelling, token_counts, toxicity, vector_search
+from . import byte_bpe, exact_dedup, filter_audit, language_id, lattice_lm, mixing, near_dedup, page_text, personal_data, spelling, token_counts, toxicity, vector_search
 
 QUERIES = {
     "op10_page_text": page_text.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op11_spelling_variants": spelling.query,
     "op12_filter_audit": filter_audit.query,
+    "op13_personal_data": personal_data.query,
 }
 ORACLE = {
     "op2_near_dedup": near_dedup.ORACLE,
