@@ -36,6 +36,24 @@ class Node:
     children: list[Node] = field(default_factory=list)
     #: Text blocks directly in this element, with their place in page order.
     blocks: list[tuple[int, str]] = field(default_factory=list)
+    #: Characters of links directly in this element.
+    link_chars: int = 0
+    #: The nearest open paragraph and, by end-giving start tag, the nearest open item, this element included,
+    #: up to the next element of SCOPE. Shared with the parent where they are the same.
+    open_p: Node | None = None
+    open_items: dict[str, Node] = field(default_factory=dict)
+
+    def child(self, tag: str, attrs: str) -> Node:
+        """A new last child; what it needs to know of its ancestors is handed down, never looked up."""
+        scope = tag in SCOPE
+        node = Node(tag, attrs, self, open_p=None if scope else self.open_p, open_items={} if scope else self.open_items)
+        if tag == "p":
+            node.open_p = node
+        ended = [by for by, ends in ITEMS.items() if tag in ends]
+        if ended:
+            node.open_items = node.open_items | dict.fromkeys(ended, node)
+        self.children.append(node)
+        return node
 
 
 def _bare(raw: str) -> str:
@@ -92,7 +110,7 @@ def parse(page: str) -> Node:
     head has no text of its own: what isn't head content belongs to the body, whose tag is optional. A
     raw element without an end tag ends at the next block or with the element it stands in."""
     root = Node("#root")
-    root.link_chars = 0
+    opened: dict[str, int] = {}  # how many elements of a tag are open: an end tag of none costs nothing
     here, at, place = root, 0, 0
     skip = ""  # the unclosed raw element whose text is left out
     foreign = 0  # open svg and math elements
@@ -115,6 +133,15 @@ def parse(page: str) -> Node:
             if linked:
                 here.link_chars += len(text.strip())
 
+    def leave(node: Node) -> None:
+        """Close all up to and with ``node``, an open element."""
+        nonlocal here
+        while True:
+            opened[here.tag] -= 1
+            last, here = here, here.parent
+            if last is node:
+                return
+
     size = len(page)
     while at < size:
         token = _TOKEN.search(page, at)
@@ -159,23 +186,15 @@ def parse(page: str) -> Node:
             flush()
             skip, foreign = "", 0
             if tag in ENDS_P:
-                up = here
-                while up.parent is not None and up.tag not in SCOPE and up.tag != "p":
-                    up = up.parent
-                if up.tag == "p":
-                    here = up.parent
-            elif tag in ITEMS:
-                up = here
-                while up.parent is not None and up.tag not in ITEMS[tag] and up.tag not in SCOPE:
-                    up = up.parent
-                if up.tag in ITEMS[tag]:
-                    here = up.parent
+                if here.open_p is not None:
+                    leave(here.open_p)
+            elif tag in here.open_items:
+                leave(here.open_items[tag])
             linked = 0
-            node = Node(tag, _attr_text(raw), here)
-            node.link_chars = 0
-            here.children.append(node)
+            node = here.child(tag, _attr_text(raw))
             if not raw.endswith("/"):
                 here = node
+                opened[tag] = opened.get(tag, 0) + 1
         elif close:
             tag = close.lower()
             if tag == skip:
@@ -191,12 +210,12 @@ def parse(page: str) -> Node:
                 foreign = max(0, foreign - 1)
             if tag in INLINE or tag in VOID:
                 continue
-            up = here
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
+            if opened.get(tag):
                 flush()
-                here = up.parent
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                leave(up)
                 linked, skip, foreign = 0, "", 0
     flush()
     return root

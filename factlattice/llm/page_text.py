@@ -31,12 +31,14 @@ from . import common
 from .page_dom import Node, parse
 from .shingles import runs
 
-PAGES, TREES, DEPTH, RATE = 500, 40, 4, 0.3
+PAGES, TREES, DEPTH, RATE = 800, 60, 4, 0.3
 #: Attribute tokens that speak for a boilerplate or a content element, and groups of tags (fixed values).
 SIDE = frozenset("nav navbar navigation menu menubar footer foot header masthead topbar sidebar side aside rail ad ads advert advertisement adverts banner sponsor sponsored promo promotion cookie cookies consent notice gdpr alert comment comments respond reply discussion disqus related recommended share sharing social breadcrumb breadcrumbs newsletter subscribe signup popup modal overlay legal copyright pagination pager widget login search toolbar tags toc hidden skip contentinfo complementary form".split())
 MAIN = frozenset("article content post entry main body story text page prose markdown articlebody maincontent document".split())
 TAGS = [("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "button", "dialog"), ("article", "main"), ("p", "blockquote", "pre"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("table", "tr", "td", "th", "tbody", "thead"), ("div", "section", "center")]
 _WHICH = {tag: i for i, group in enumerate(TAGS) for tag in group}
+#: First words of names that only file a page under something, as blog software gives its articles (fixed values).
+FILED = frozenset("tag category cat topic term label format status type author".split())
 _TOKENS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -52,43 +54,58 @@ def nodes_of(root: Node) -> list[Node]:
     return out
 
 
+def _named(attrs: str) -> tuple[int, int, int, int]:
+    """Of an element's names (of class, id and role): how many of their words are side words, how many main words;
+    how many names are side words throughout, and how many end with one (``ad-banner``, not ``ad-policy``).
+    Names that file the page under something count for nothing beside others."""
+    names = [_TOKENS.findall(_CAMEL.sub(" ", name).lower()) for name in attrs.split()]
+    names = [n for n in names if n and not (len(n) > 1 and n[0] in FILED)]
+    sides = [[t in SIDE for t in n] for n in names]
+    return sum(map(sum, sides)), sum(t in MAIN for n in names for t in n), sum(map(all, sides)), sum(s[-1] for s in sides)
+
+
+#: Features of a node beside its tag's group.
+_MORE = 23
+
+
 def features(root: Node) -> tuple[list[Node], np.ndarray]:
     """All nodes, parents first, and a row of features for each."""
     nodes = nodes_of(root)
     info: dict[int, list[float]] = {}
+    own_chars: dict[int, int] = {}
     for node in reversed(nodes):  # children come before their parents
-        chars = sum(len(t) for _, t in node.blocks)
-        marks = sum(t.count(",") + t.count(".") for _, t in node.blocks)
-        s = [chars, node.link_chars, 1.0, marks, float(node.tag == "p"), float(len(node.blocks))]
+        chars = marks = 0
+        for _, t in node.blocks:
+            chars += len(t)
+            marks += t.count(",") + t.count(".")
+        s = [chars, node.link_chars, 1.0, marks, float(node.tag == "p"), float(len(node.blocks)), float(node.tag in ("h1", "h2"))]
         for child in node.children:
             s = [a + b for a, b in zip(s, info[id(child)])]
         info[id(node)] = s
-    total = max(1.0, sum(len(t) for n in nodes for _, t in n.blocks))
+        own_chars[id(node)] = chars
+    total = max(1.0, sum(own_chars.values()))
     places = {id(child): i for node in (root, *nodes) for i, child in enumerate(node.children)}
     above: dict[int, tuple] = {id(root): (0, 0, 0, 0, 0)}
-    rows = []
-    for node in nodes:
+    x = np.zeros((len(nodes), len(TAGS) + _MORE))
+    for row, node in zip(x, nodes):
         parent = node.parent if node.parent is not None else node
         depth, side, main, boxed, article = above.get(id(parent), (0, 0, 0, 0, 0))
-        tokens = _TOKENS.findall(_CAMEL.sub(" ", node.attrs).lower()) if node.attrs else ()
-        own_side = sum(t in SIDE for t in tokens)
-        own_main = sum(t in MAIN for t in tokens)
+        own_side, own_main, whole, last = _named(node.attrs) if node.attrs else (0, 0, 0, 0)
         which = _WHICH.get(node.tag, -1)
-        chars, link, count, marks, paragraphs, blocks = info[id(node)]
+        chars, link, count, marks, paragraphs, blocks, heads = info[id(node)]
         kin = parent.children
         place = places.get(id(node), 0)
-        own = sum(len(t) for _, t in node.blocks)
-        rows.append(
-            [
-                *(float(which == i) for i in range(len(TAGS))),
-                float(own_side), float(own_main), float(side), float(main), float(boxed), float(article),
-                float(depth), float(place), float(len(kin)), (place + 1) / (len(kin) + 1),
-                math.log1p(chars), link / (chars + 1.0), chars / count, marks / (chars + 1.0), paragraphs, count, chars / total,
-                math.log1p(own), chars / (blocks + 1.0),
-            ]
+        own = own_chars[id(node)]
+        if which >= 0:
+            row[which] = 1.0
+        row[len(TAGS) :] = (
+            own_side, own_main, side, main, boxed, article, depth, place, len(kin), (place + 1) / (len(kin) + 1),
+            math.log1p(chars), link / (chars + 1.0), chars / count, marks / (chars + 1.0), paragraphs, count, chars / total,
+            math.log1p(own), chars / (blocks + 1.0), whole, last, heads, chars / max(1.0, info[id(parent)][0] if id(parent) in info else total),
         )
-        above[id(node)] = (depth + 1, side + own_side, main + own_main, boxed + (which in range(5)), article + (which == 5))
-    return nodes, np.array(rows).reshape(len(nodes), len(TAGS) + 19)
+        # What an element's name says against it counts for its descendants only so far as the name is a side's.
+        above[id(node)] = (depth + 1, side + last, main + own_main, boxed + (which in range(5)), article + (which == 5))
+    return nodes, x
 
 
 class Boosted:
@@ -152,16 +169,17 @@ def decode(nodes: list[Node], raw: np.ndarray) -> list[str]:
     raw = np.clip(raw, -12, 12)
     keep, drop = -np.logaddexp(0, -raw), -np.logaddexp(0, raw)
     index = {id(n): i for i, n in enumerate(nodes)}
-    best_keep, all_drop = keep.copy(), drop.copy()
+    best_keep, all_drop = keep.tolist(), drop.tolist()
     for i in range(len(nodes) - 1, -1, -1):
         node = nodes[i]
         kids = [index[id(c)] for c in node.children]
         if kids:
-            all_drop[i] += all_drop[kids].sum()
-            gains = best_keep[kids] - all_drop[kids]
-            best_keep[i] += all_drop[kids].sum() + gains[gains > 0].sum()
-            if not (gains > 0).any() and not node.blocks:
-                best_keep[i] += gains.max()
+            gone = sum(all_drop[k] for k in kids)
+            gains = [best_keep[k] - all_drop[k] for k in kids]
+            all_drop[i] += gone
+            best_keep[i] += gone + sum(g for g in gains if g > 0)
+            if max(gains) <= 0 and not node.blocks:
+                best_keep[i] += max(gains)
         elif not node.blocks:
             best_keep[i] = -1e9  # nothing to keep
     blocks: list[tuple[int, str]] = []
@@ -175,7 +193,7 @@ def decode(nodes: list[Node], raw: np.ndarray) -> list[str]:
 
 
 def extract(model: Boosted, pages: list[str | None]) -> list[str]:
-    parsed = [features(parse(p)) if p else ([], np.empty((0, len(TAGS) + 19))) for p in pages]
+    parsed = [features(parse(p)) if p else ([], np.empty((0, len(TAGS) + _MORE))) for p in pages]
     sizes = [len(n) for n, _ in parsed]
     raw = model.raw(np.concatenate([x for _, x in parsed])) if sum(sizes) else np.empty(0)
     out, at = [], 0
@@ -204,9 +222,13 @@ def training_page(r: random.Random) -> str:
         return r.choice([f"<nav>{inner}</nav>", box("div", ["nav", "menu", "main-menu", "navbar", "breadcrumbs"], inner), box("ul", ["menu", "nav"], links()), f"<nav>{''.join(f'<a href=x>{word()}</a> ' for _ in range(5))}</nav>"])
 
     def advert() -> str:
+        if r.random() < 0.2:
+            return box("div", ["ad-" + word(), word() + "-ad", "promo-" + word(), "sponsored-" + word()], r.choice([sentence(), prose()]))
         return r.choice([box("div", ["ad", "ads", "advert", "ad-banner", "sponsored", "promo"], r.choice([sentence(), prose(), plain()])), box("aside", ["ad", "promo"], plain())])
 
     def notice() -> str:
+        if r.random() < 0.2:
+            return box(r.choice(["div", "section"]), ["cookie-" + word(), "consent-" + word(), word() + "-notice", "gdpr-" + word()], r.choice([prose(), sentence()]))
         return box(r.choice(["div", "section", "p"]), ["cookie-notice", "cookie", "notice", "consent-banner", "gdpr", "alert"], r.choice([prose(), sentence()]))
 
     def comments() -> str:
@@ -221,6 +243,18 @@ def training_page(r: random.Random) -> str:
     def form() -> str:
         return r.choice(["<form action=x>", '<form class="newsletter">']) + f"<p>{sentence()}</p><label>{word()}</label><input name=q><button>{word()}</button></form>"
 
+    side_words = sorted(SIDE)
+
+    def turned() -> str:
+        """A name of main text that holds a side word: what the text is about, or how it is filed."""
+        w = r.choice(side_words)
+        return r.choice([f"{w}-{word()}", f"{w}-{word()}", f"{w}_{word()}-{word()}", f"{r.choice(sorted(FILED))}-{w}"])
+
+    def turned_names() -> str:
+        """Names of an article as blog software gives them, in a class or an id."""
+        filed = " ".join(f"{r.choice(sorted(FILED))}-{r.choice([word(), r.choice(side_words)])}" for _ in range(r.randint(1, 4)))
+        return r.choice([f'class="post {filed}"', f'class="post-{r.randint(1, 99)} post type-post hentry {filed}"', f'class="{turned()}"', f'id="{turned()}"', f'class="content" id="{turned()}"', f'class="{filed}"'])
+
     def block() -> str:
         text = MARK + prose()
         if r.random() < 0.1:
@@ -235,7 +269,8 @@ def training_page(r: random.Random) -> str:
         if r.random() < 0.04:
             return "<dl>" + "".join(f"<dt>{MARK}{words(1, 3)}</dt><dd>{MARK}{sentence()}</dd>" for _ in range(r.randint(1, 4))) + "</dl>"
         if r.random() < 0.04:
-            return f"<section><h3>{MARK}{words(1, 5)}</h3><p>{text}</p></section>"
+            tag = r.choice(["section", "section", "div"])
+            return f"<{tag}{r.choice(['', f' class={turned()}', f' id={turned()}'])}><h3>{MARK}{words(1, 5)}</h3>" + "".join(f"<p>{MARK}{prose()}</p>" for _ in range(r.choice([1, 1, 2, 4]))) + f"</{tag}>"
         if r.random() < 0.03:
             return f'<p>{MARK}<a href="/x">{words(1, 6)}</a></p>'
         if r.random() < 0.05:
@@ -247,9 +282,13 @@ def training_page(r: random.Random) -> str:
     side = [advert, notice, comments, sidebar, form, nav]
     title = r.choice(["h1", "h1", "h2"])
     head = f"<{title}>{MARK}{words(1, 10)}</{title}>"
-    head = r.choice([head] * 4 + [f"<header>{head}</header>", ""])
+    byline = lambda: f'<p class="{r.choice(["byline", "meta", "author", "date", "lead"])}">{MARK}{words(2, 8)}</p>'
+    head = r.choice([head] * 4 + [f"<header>{head}</header>", f"<header>{head}{byline()}</header>", f'<header class="{r.choice(["entry-header", "post-header", "article-header"])}">{head}{maybe(0.5, byline)}</header>', head + byline(), ""])
     inner = head + "".join(block() + maybe(0.06, lambda: r.choice(side)()) for _ in range(r.choice([1, 1, 2, 3, 5, 9, 16])))
     body = r.choice([lambda: f"<article>{inner}</article>"] * 4 + [lambda: f"<main>{inner}</main>", lambda: f"<main><article>{inner}</article></main>", lambda: box("div", ["content", "post", "entry-content", "article-body", "main", "story", "text", "c1", "wrap"], inner), lambda: box("section", ["content", "main", "post"], inner), lambda: f"<div><div>{inner}</div></div>"])()
+    if r.random() < 0.3:
+        tag = r.choice(["article", "article", "div", "section", "main"])
+        body = f"<{tag} {turned_names()}>{inner}</{tag}>"
     page = maybe(0.6, nav) + maybe(0.3, lambda: r.choice([f"<header><p>{sentence()}</p>{maybe(0.5, nav)}</header>", box("div", ["header", "masthead", "topbar"], f"<h2>{words(1, 3)}</h2><p>{sentence()}</p>")]))
     page += "".join(maybe(0.25, f) for f in (advert, notice, sidebar, form)) + "<!-- x -->" + body + "".join(maybe(0.25, f) for f in (comments, sidebar, advert, form, notice))
     page += maybe(0.8, lambda: r.choice([f"<footer>&copy; {prose()}</footer>", f"<footer><p>{sentence()}</p><ul>{links()}</ul></footer>", box("div", ["footer", "copyright", "legal"], prose())]))
