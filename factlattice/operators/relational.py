@@ -59,6 +59,54 @@ def in_ranges(df: DataFrame, ranges: DataFrame, value: Column, low: str, high: s
     return df.join(small(ranges), inside)
 
 
+def as_of(left: DataFrame, right: DataFrame, on: Sequence[str], at: str, since: str, width: float) -> DataFrame:
+    """Each row of ``left`` with the row of ``right`` of the same key that is the latest at or before it: its
+    columns in a struct ``found``, NULL where there is none. ``at`` and ``since`` are numbers; of rows of ``right``
+    at one place the greatest counts. Both tables are united and sorted, never joined on a range. A key is cut into
+    spans of ``width``, so that a hot key's rows are spread: what an earlier span leaves behind is one row a span."""
+    keys = [f"__k{i}" for i in range(len(on))]
+    row, mine = F.struct(*(F.col(f"`{c}`") for c in right.columns)), F.struct(*(F.col(f"`{c}`") for c in left.columns))
+    named = lambda df, t: [F.col(f"`{c}`").alias(k) for c, k in zip(on, keys)] + [F.col(t).cast("double").alias("__t"), F.floor(F.col(t) / width).cast("long").alias("__span")]
+    known = right.filter(F.col(since).isNotNull()).select(*named(right, since), row.alias("__right"))
+    asked = left.select(*named(left, at), mine.alias("__left"))
+    left_behind = known.groupBy(*keys, "__span").agg(F.max_by("__right", F.struct("__t", "__right")).alias("__last"))
+    spans = left_behind.unionByName(asked.select(*keys, "__span").distinct(), allowMissingColumns=True).groupBy(*keys, "__span").agg(F.first("__last", ignorenulls=True).alias("__last"))
+    before = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select(*keys, "__span", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    both = known.unionByName(asked, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "__span").orderBy("__t", F.col("__right").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("__seen", F.last("__right", ignorenulls=True).over(inside)).filter("__left IS NOT NULL")
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "__span")]
+    joined = seen.alias("s").join(carried.alias("c"), same, "left")
+    usable = F.col("__t").isNotNull() & ~sum_of([F.col(f"s.{k}").isNull() for k in keys])
+    return joined.select("__left.*", F.when(usable, F.coalesce("__seen", "__carried")).alias("found"))
+
+
+def sum_of(flags: Sequence[Column]) -> Column:
+    """Whether any flag is set."""
+    out = F.lit(False)
+    for f in flags:
+        out = out | f
+    return out
+
+
+def inside(points: DataFrame, ranges: DataFrame, on: Sequence[str], at: str, low: str, high: str, width: float = 1.0) -> DataFrame:
+    """Each row of ``points`` with each row of ``ranges`` of the same key whose [low, high) holds ``at``; once a pair,
+    columns of both (other names than ``on`` must differ). Two tables of any size: a range is filed under the
+    one or two buckets that it touches at the level whose buckets are at least as long as itself, a point under its
+    bucket at each level that occurs (at most some 60), and both meet by equality. So no row is copied often, however
+    long the ranges are, and a key with many rows is spread over its buckets. Ranges that are empty or open hold nothing."""
+    span = (F.col(high) - F.col(low)).cast("double")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(span / width))).cast("int")
+    bucket = lambda c: F.floor(F.col(c) / (F.lit(width) * F.pow(F.lit(2.0), F.col("__level")))).cast("long")
+    filed = ranges.filter(span > 0).withColumn("__level", level)
+    levels = [r[0] for r in filed.select("__level").distinct().orderBy("__level").collect()]  # a number for each doubling
+    filed = filed.withColumn("__bucket", F.explode(F.array_distinct(F.array(bucket(low), bucket(high)))))
+    asked = points.withColumn("__level", F.explode(F.lit(levels) if levels else F.array().cast("array<int>"))).withColumn("__bucket", bucket(at))
+    met = asked.join(filed, [*on, "__level", "__bucket"]).filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high)))
+    return met.drop("__level", "__bucket")
+
+
 def blank_last(*columns: str) -> list[Column]:
     """Sort keys: lower-cased, blank and NULL after all others."""
     return [k for c in columns for k in (F.coalesce(F.trim(c) == "", F.lit(True)).asc(), F.lower(c).asc())]

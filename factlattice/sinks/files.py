@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factlattice.functions import text as tx
 from factlattice.operators import relational as rel
-from factlattice.operators.sections import as_text
+from factlattice.operators.passages import as_text
 
 FAILED = "FAILED"
 

@@ -1,5 +1,5 @@
 """Operators of the domain on small cases: the lattice within and across documents, taxonomy, rules, documents
-in force, sections, surveys, scores, needs, emissions, ontologies."""
+in force, surveys, scores, needs, emissions, ontologies."""
 
 import json
 import math
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factlattice.functions import dates, numbers
 from factlattice.functions import status as st
 from factlattice.functions import text as tx
-from factlattice.operators import emissions, keywords, needs, ontology, permits, priority, records, rules, scoring, sections, survey, taxonomy
+from factlattice.operators import emissions, keywords, needs, ontology, permits, priority, records, rules, scoring, survey, taxonomy
 from factlattice.operators import relational as rel
 
 TREE = {
@@ -272,52 +272,6 @@ def test_document_types(spark):
     assert [(r.place_id, r.order_no) for r in permits.governing_orders(table, "2020-01-01").collect()] == [("1", "o3")]
 
 
-def test_sections():
-    words = sections.Vocabulary(["aerated lagoon", "screening", "chlorination", "clarifier", "sludge drying", "sand filter"])
-    filler = "Nothing of note is said in this line of the order.\n" * 30
-    body = "The plant consists of screening, an aerated lagoon, a clarifier, a sand filter, chlorination and ponds."
-    raw = sections.joined_pages(["ORDER NO. R5-2007-0090\nFindings", filler + "\n\n2. Facility Description\n" + body + "\n\n" + filler, "Planned changes: a new clarifier and chlorination will be built.\n\n" + filler + "Secondary Treatment Regulations\nscreening chlorination " * 2])
-    out = sections.sections(raw, words, fact_sheet=True, many=False)
-    assert out["order_number"] == "R5-2007-0090" and out["description"].startswith("[Page 1]\n2. Facility Description") and body in out["description"]
-    assert out["changes"].startswith("Planned changes: a new clarifier") and out["changes_phrase"] == "Planned changes" and "Regulations" not in out["description"]
-    assert sections.sections("===PAGE 0===\nnothing here", words, True, False)["description"] == ""
-    no = "There are no planned changes. " + body
-    assert words.changes_at(no, 0, len(no)) is None and words.changes_at("x (planned  upgrade of the clarifier and chlorination", 0, 60).group() == "planned  upgrade"
-    pages = ["p"] * 11 + ["Contents ATTACHMENT F - FACT SHEET ..... a ..... b ..... c"] + ["p"] * 4 + ["Attachment F – Fact Sheet\n" + body]
-    raw = sections.joined_pages(pages)
-    assert raw[sections.fact_sheet_at(raw) :].startswith("===PAGE 14===")
-    two = body + "\n\n" + filler * 4 + "\n\n" + body.replace("lagoon", "LAGOON") + " " + "." * 700 + "\n"
-    many = sections.sections("===PAGE 0===\n" + two, words, False, many=True)
-    assert many["description"].count("consists of") == 2
-    toc = "screening ..... 1\nchlorination ..... 2\nclarifier ..... 3\n"
-    assert not words.describes(toc, words.runs(toc)[0])
-
-
-def test_runs_of_mentions_against_a_plain_loop():
-    words = sections.Vocabulary(["ab", "ba"])
-    rng = random.Random(2)
-    for _ in range(50):
-        text = "".join(rng.choice(["ab", "BA", "-" * rng.choice([3, 480, 499, 501, 700])]) for _ in range(30))
-        hits = [(m.start(), m.end(), m.group().lower()) for m in words.pattern.finditer(text)]
-        groups: list[list] = []
-        for h in hits:
-            if groups and h[0] - groups[-1][-1][1] <= 500:
-                groups[-1].append(h)
-            else:
-                groups.append([h])
-        assert words.runs(text) == [(g[0][0], g[-1][1], len({x[2] for x in g})) for g in groups if len(g) > 1]
-
-
-def test_sections_of_documents(spark, tax):
-    body = "The plant consists of an aerated lagoon, a media filter, disinfection by chlorination, neutralization, anoxic basins and a pond."
-    pages = spark.createDataFrame([("a", 1, "second " + body), ("a", 0, "first page"), ("b", 0, ""), ("c", 0, "words " * 40)], "doc string, page int, text string")
-    raw = sections.of_pages(pages, "doc", "page", "text")
-    assert raw.filter("doc = 'a'").first().raw == "===PAGE 0===\nfirst page\n===PAGE 1===\nsecond " + body
-    asked = raw.select("doc", "raw", F.lit(False).alias("general"), F.lit("WDR").alias("order_type"), F.lit(False).alias("many"))
-    got = {r.doc: r for r in sections.extracted(asked, "doc", tax).collect()}
-    assert got["a"].description == "[Page 1]\n" + body[body.index("consists") :] and not got["a"].unreadable and got["b"].unreadable and got["c"].description == "" and not got["c"].unreadable
-
-
 def test_survey(spark, tax):
     raw = spark.createDataFrame(
         [("0601", 2008, "lagoon a", "Y", "N", None), ("0601", 2012, "lagoon b", "N", "Y", "New"), ("0601", 2012, "gone", "N", "N", "Abandonment"), ("0602", 2012, "lagoon a", "Y", "Y", "No Change"), ("0603", 2012, "lagoon a", "Y", "Y", "No Change, Expansion"), ("0604", 2012, "lagoon a", None, "Y", None)],
