@@ -120,19 +120,13 @@ def exact_dedup(docs: DataFrame, digest: Column | None = None, max_bytes: int =
     if state:
         stays = norm.join(groups.filter(kept).select("digest", F.col("keep_row").alias("row")), ["digest", "row"])
         stays.select("digest", F.lit(batch).alias("batch"), "row", "norm").write.mode("append").parquet(f"{home}/texts")
-    bad = _unequal(norm.drop("row"), groups, f"{home}/texts" if state else None)
-
     # Of groups of one row all is known. Groups of more than one HOT-th of all rows are fewer than HOT: they
     # are broadcast, so that no task of the other groups' join gets many rows of one key.
     many = groups.filter("group_size > 1")
     n, total = groups.agg(F.count_if(F.col("group_size") > 1), F.coalesce(F.sum("group_size"), F.lit(0))).first()
     is_hot = F.col("group_size") > max(SALT_ROWS, total // common.HOT)
-    if n * 128 <= common.BROADCAST_BYTES:
-        found = rows.join(F.broadcast(many), "digest", "left")
-    else:
-        hot = many.filter(is_hot)
-        apart = rows.join(F.broadcast(hot), "digest")
-        found = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(many.filter(~is_hot), "digest", "left").unionByName(apart)
+    found = _with_groups(rows, many, n, is_hot, "left")
+    bad = _unequal(norm.drop("row"), many, n, is_hot, f"{home}/texts" if state else None)
     single = F.col("group_size").isNull()
     out = found.select(
         "doc_id",
@@ -154,22 +148,30 @@ def exact_dedup(docs: DataFrame, digest: Column | None = None, max_bytes: int =
     return out.join(bad, "digest", "left_anti").unionByName(exact)
 
 
-def _unequal(norm: DataFrame, groups: DataFrame, texts: str | None) -> DataFrame | None:
+def _with_groups(rows: DataFrame, many: DataFrame, n: int, is_hot: Column, how: str) -> DataFrame:
+    """``rows`` joined with ``many`` (n groups, a row per digest; ``is_hot`` of its group_size). Rows of hot groups
+    never shuffle: either all groups are broadcast or the hot ones, which are fewer than HOT."""
+    if n * 128 <= common.BROADCAST_BYTES:
+        return rows.join(F.broadcast(many), "digest", how)
+    hot = many.filter(is_hot)
+    rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    return rest.join(many.filter(~is_hot), "digest", how).unionByName(rows.join(F.broadcast(hot), "digest"))
+
+
+def _unequal(norm: DataFrame, many: DataFrame, n: int, is_hot: Column, texts: str | None) -> DataFrame | None:
     """The digests under which two different texts lie, or None. Only texts that hit are moved; copies
     of one text are spread over salts, to each of which the text that stays is sent. ``texts``: the
     folder with the texts of rows that stay; without it they are among ``norm``."""
-    many = groups.filter("group_size > 1").withColumn("salts", F.ceil(F.col("group_size") / SALT_ROWS).cast("int"))
-    n = many.count()
     if not n:
         return None
-    many = common.small(many.select("digest", "keep_id", "keep_batch", "keep_row", "salts"), n)
-    hits = norm.join(many, "digest").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts")).cast("int"))
+    many = many.withColumn("salts", F.ceil(F.col("group_size") / SALT_ROWS).cast("int"))
+    hits = _with_groups(norm, many, n, is_hot, "inner").drop("group_size").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts")).cast("int"))
     hits = common.cut(hits, "dedup-hits")
     if texts is None:
         of = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"])
     else:
         own = _read(norm.sparkSession, texts, "digest binary, batch int, row long, norm string").toDF("digest", "keep_batch", "keep_row", "norm")
-        of = own.join(many, ["digest", "keep_batch", "keep_row"])
+        of = own.join(common.small(many, n), ["digest", "keep_batch", "keep_row"])
     stay = of.select("digest", F.col("norm").alias("stay"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     bad = hits.join(stay, ["digest", "salt"]).filter(F.col("norm").cast("binary") != F.col("stay").cast("binary")).select("digest").distinct()
     bad = common.cut(bad, "dedup-unequal")
