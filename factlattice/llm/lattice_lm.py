@@ -11,7 +11,7 @@ words of the training documents, which is how a unigram vocabulary's scores are
 unigram score of the same tokens is returned beside them.
 
 Counts cover all documents: one pass adds up words per batch before the shuffle. The commonest words
-(at most ``HEAVY``, by a threshold on counts) are broadcast and scored where the text is; the rest
+(at most ``HEAVY_BYTES``, by a threshold on counts) are broadcast and scored where the text is; the rest
 travel as (row, word, n) and are joined with the word table, so no key of that join is hot.
 
 Defined results: null and empty texts have one token, the end; texts and words of any length are read
@@ -23,20 +23,22 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Words that are broadcast at most, and distinct words whose counts a worker holds.
-HEAVY, FLUSH = 200_000, 400_000
+#: Bytes that the broadcast words take at most, what a word takes beside its own, the longest word that isn't known
+#: by a digest, and distinct words whose counts a worker holds.
+HEAVY_BYTES, ROW_BYTES, LONG, FLUSH = 32 << 20, 150, 1024, 400_000
 STEPS = 2
 #: The vocabulary's own weights count in a step as so many uses per use seen.
 PRIOR = 0.01
@@ -273,6 +275,11 @@ def _joined(batches: Iterator[pa.RecordBatch], rows: int = 40_000) -> Iterator[t
         yield out()
 
 
+def _short(word: str) -> Column:
+    """A word, or the digest of one of more than LONG bytes behind a tab, which no word holds."""
+    return F.when(F.octet_length(word) > LONG, F.concat(F.lit("\t"), F.sha2(F.col(word).cast("binary"), 256))).otherwise(F.col(word)).alias(word)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocab_score for ``docs``
     (doc_id, text, held_out boolean)."""
@@ -296,13 +303,15 @@ def score(docs: DataFrame) -> DataFrame:
     rest = math.log10(1 - ends / n if n else 0.5) if kinds != 1 else math.log10(0.5)
     spelt = words.filter("word <> ''").mapInArrow(_spell(logs), "word string, c long, seen long, vocab double, model double")
     base = F.log10((F.col("c") + 0.5) / (n + 0.5 * (kinds + 1)))
-    words = common.cut(spelt.select("word", "c", "seen", base.alias("base"), (F.col("model") + rest).alias("model"), (F.col("vocab") + rest).alias("vocab")), "lm-words")
+    words = common.cut(spelt.select(_short("word"), "c", "seen", base.alias("base"), (F.col("model") + rest).alias("model"), (F.col("vocab") + rest).alias("vocab")), "lm-words")
     base_end = math.log10((ends + 0.5) / (n + 0.5 * (kinds + 1)))
     model_end = math.log10(ends / n) if ends and kinds > 1 else math.log10(0.5)
 
-    # The least count from which on at most HEAVY words occur: a bound on what is broadcast.
-    sizes = words.groupBy("seen").agg(F.count(F.lit(1)).alias("k")).filter("seen > 1").orderBy(F.desc("seen")).limit(HEAVY).toPandas()
-    sizes = sizes[sizes.k.cumsum() <= HEAVY]
+    # The least count from which on the words take at most HEAVY_BYTES: a bound on what is broadcast. Long words are
+    # known by a digest, so that none of them fills it.
+    size = F.sum(F.octet_length("word") + ROW_BYTES)
+    sizes = words.groupBy("seen").agg(size.alias("size")).filter("seen > 1").orderBy(F.desc("seen")).limit(HEAVY_BYTES // ROW_BYTES).toPandas()
+    sizes = sizes[sizes["size"].cumsum() <= HEAVY_BYTES]
     least = int(sizes.seen.min()) if len(sizes) else 1 << 62
     heavy = words.filter(F.col("seen") >= least).toPandas()
     sent = spark.sparkContext.broadcast({w.encode(): (int(c > 0), b, m, v) for w, c, b, m, v in zip(heavy.word, heavy.c, heavy.base, heavy.model, heavy.vocab)})
@@ -320,6 +329,8 @@ def score(docs: DataFrame) -> DataFrame:
                 k, b, m, v = int(ends > 0), base_end, model_end, model_end
                 far = Counter()
                 for w in toks:
+                    if len(w) > LONG:
+                        w = b"\t" + hashlib.sha256(w).hexdigest().encode()
                     hit = known.get(w)
                     if hit:
                         k += hit[0]

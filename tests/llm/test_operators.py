@@ -71,6 +71,23 @@ def test_exact_dedup_of_one_large_group(spark, monkeypatch):
     assert got == {i: (0, 400, i == 0) if i < 400 else (i - i % 2, 2, i % 2 == 0) for i in range(1200)}
 
 
+def test_exact_dedup_never_shuffles_texts_of_a_large_group(spark, monkeypatch):
+    """Beyond the broadcast, the join that carries texts takes hot groups apart: no task gets them all."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT", 4)
+    groups = spark.createDataFrame([(b"h", 1, 1, 1, 900), (b"c", 2, 1, 2, 2)], "digest binary, keep_id long, keep_batch int, keep_row long, group_size long")
+    rows = spark.createDataFrame([(b"h", i, "x" * 50) for i in range(900)] + [(b"c", i, "y") for i in range(2)] + [(b"s", 0, "z")], "digest binary, doc_id long, norm string").repartition(4)
+    hot = F.col("group_size") > 300
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for how, n in (("inner", 902), ("left", 903)):
+            out = exact_dedup._with_groups(rows, groups, 2, hot, how)
+            per_task = out.withColumn("task", F.spark_partition_id()).filter("digest = X'68'").groupBy("task").count().collect()
+            assert out.count() == n and len(per_task) == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_exact_copies_with_null_and_repeated_ids(spark):
     rows = [(None, "a", 1), (None, "a", 2), (3, "a", 3), (4, "b", 4), (4, "b", 5), (None, "c", 6), (None, "c", 7), (None, None, 8), (9, "", 9)]
     d = spark.createDataFrame(rows, "doc_id long, text string, digest int")
@@ -459,9 +476,28 @@ def lattice_of(text, weight):
     return arcs, ahead, behind
 
 
-@pytest.mark.parametrize("heavy", [200_000, 3])
+def test_lm_of_long_words_that_recur(spark, monkeypatch):
+    """Long words that many texts share are neither broadcast nor taken for others, and score as with the whole word."""
+    blobs = ["x" * 3000 + str(i) for i in range(4)]
+    rows = [(i, f"{blobs[i % 4]} one {blobs[0]} two", i % 5 == 1) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    of = lambda: {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in lattice_lm.score(d).collect()}
+    sent = []
+    real = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or real(self, value))
+    short = of()
+    assert max(len(w) for t in sent if isinstance(t, dict) for w in t) <= 65
+    monkeypatch.setattr(lattice_lm, "LONG", 10_000)
+    whole = of()
+    assert short.keys() == whole.keys() and all(short[i][:2] == whole[i][:2] and np.allclose(short[i][2:], whole[i][2:]) for i in whole)
+    monkeypatch.setattr(lattice_lm, "HEAVY_BYTES", 400)
+    few = of()
+    assert all(few[i][:2] == whole[i][:2] and np.allclose(few[i][2:], whole[i][2:]) for i in whole)
+
+
+@pytest.mark.parametrize("heavy", [32 << 20, 500])
 def test_lm_by_brute_force(spark, heavy, monkeypatch):
-    monkeypatch.setattr(lattice_lm, "HEAVY", heavy)
+    monkeypatch.setattr(lattice_lm, "HEAVY_BYTES", heavy)
     texts = [None, "", "   \t", "one", "One  two\n three", "one two three", "é" * 3, "one two unseen", "held out only only", "zq|x two"]
     held = [i % 3 == 1 for i in range(len(texts))]
     d = spark.createDataFrame([(i, t, h, "w", 1) for i, (t, h) in enumerate(zip(texts, held))], "doc_id long, text string, held_out boolean, word string, n int")
