@@ -6,6 +6,8 @@ once with an automaton, whatever their number; everything after is joins and win
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,10 +17,15 @@ from pyspark.sql import functions as F
 from factlattice.functions import text as tx
 
 from . import priority
+from .relational import saved, small
 
 #: What stands between a document's description and its planned changes (a fixed value).
 SEPARATOR = "\n\n===PLANNED CHANGES===\n\n"
 
+#: Unicode's white space, and the deletion of characters of no width.
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_DELETED = {ord(c): None for c in tx.ZERO_WIDTH}
+
 
 class Terms:
     """Finds the leaves that a text names: ``alt_names`` as parts of the lower-cased text; cased names that
@@ -79,21 +86,41 @@ def parts_of(text: Column, mark: str = SEPARATOR) -> tuple[Column, Column]:
     return tx.normalised(tx.before(text, mark)), tx.normalised(tx.after(text, mark))
 
 
+def _plain(text: str) -> str:
+    """``tx.normalised`` for one text at hand."""
+    return _SPACES.sub(" ", unicodedata.normalize("NFKC", text).translate(_DELETED)).strip(" ")
+
+
 def named(docs: DataFrame, key: str, taxonomy: DataFrame, mark: str = SEPARATOR) -> DataFrame:
     """key, process, status: PRESENT in the description, FUTURE in the changes, PRESENT_AND_FUTURE in both.
-    Documents without a description give nothing."""
-    description, changes = parts_of(F.col("text"), mark)
-    cut = docs.select(key, description.alias("d"), changes.alias("c")).filter("d <> ''")
-    hits = cut.select(key, search(F.col("d"), taxonomy).alias("now"), search(F.col("c"), taxonomy).alias("then"))
-    rows = hits.select(key, "now", "then", F.explode(F.array_union("now", "then")).alias("process"))
-    now, then = F.array_contains("now", F.col("process")), F.array_contains("then", F.col("process"))
-    return rows.select(key, "process", F.when(now & then, "PRESENT_AND_FUTURE").when(now, "PRESENT").otherwise("FUTURE").alias("status"))
+    Documents without a description give nothing. One pass: a text is split, normalised and searched where it is."""
+    terms = [tuple(r) for r in taxonomy.select("leaf", "alt_names", "cased_names").collect()]  # bounded: a taxonomy
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Terms(terms)
+        for batch in batches:
+            keys, processes, statuses = [], [], []
+            for k, text in zip(batch[key], batch.text):
+                description, _, changes = text.partition(mark)
+                description = _plain(description)
+                if not description:
+                    continue
+                now, then = own.of(description), own.of(_plain(changes))
+                for process in now | then:
+                    keys.append(k)
+                    processes.append(process)
+                    statuses.append("FUTURE" if process not in now else "PRESENT_AND_FUTURE" if process in then else "PRESENT")
+            yield pd.DataFrame({key: pd.Series(keys, dtype=batch[key].dtype), "process": pd.Series(processes, dtype=object), "status": pd.Series(statuses, dtype=object)})
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").filter(F.col("text").isNotNull()).mapInPandas(run, f"`{key}` {kind}, process string, status string")
 
 
 def table(docs: DataFrame, key: str, taxonomy: DataFrame, mark: str = SEPARATOR) -> DataFrame:
-    """``named``, siblings pruned by priority and empty secondary categories filled."""
+    """``named``, siblings pruned by priority and empty secondary categories filled. The hits are written once;
+    pruning and filling read them several times."""
     known = taxonomy.select(F.col("leaf").alias("process"), F.col("grp").alias("__grp"), F.col("priority").alias("__pr"))
-    rows = named(docs, key, taxonomy, mark).join(F.broadcast(known), "process")
+    rows = saved(named(docs, key, taxonomy, mark)).join(small(known), "process")
     rows = priority.prune(rows, [key], F.col("__grp"), F.col("__pr")).select(key, "process", "status")
     return priority.backfill(rows, [key], taxonomy)
 
@@ -102,7 +129,7 @@ def queries_for(docs: DataFrame, key: str, taxonomy: DataFrame, most: int = 8, o
     """key, place, query: up to ``most`` processes that a document names, in the taxonomy's order and
     without catch-alls, each with ``suffix``; then the description's opening on one line."""
     cut = docs.select(key, tx.one_spaced(tx.before(F.col("text"), SEPARATOR)).alias("d"))
-    leaf = F.broadcast(taxonomy.filter(F.col("priority") != catch_all).select(F.col("leaf").alias("process"), "place"))
+    leaf = small(taxonomy.filter(F.col("priority") != catch_all).select(F.col("leaf").alias("process"), "place"))
     hits = cut.select(key, F.explode(search(F.col("d"), taxonomy)).alias("process")).join(leaf, "process")
     first = hits.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "process"))), 1, most).alias("p"))
     asked = first.select(key, F.posexplode("p").alias("place", "p")).select(key, "place", F.concat(F.col("p.process"), F.lit(suffix)).alias("query"))

@@ -1,7 +1,7 @@
 """Which of several present processes stay, and what fills a category that has none.
 
 Tables are long: keys (a document, or a document and an item), process, status; an absent process has no
-row or a NULL status. The taxonomy's table is joined by its leaves, and broadcast (its size is bounded).
+row or a NULL status. The taxonomy's table is joined by its leaves, and broadcast if its counted rows are few.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from factlattice.functions import status as st
 
+from .relational import small
+
 
 def prune(df: DataFrame, keys: Sequence[str], within: Column, priority: Column) -> DataFrame:
     """Of the present processes of a key that share a value of ``within`` only those of the best (lowest)
@@ -30,7 +32,7 @@ def three_stages(df: DataFrame, keys: Sequence[str], taxonomy: DataFrame, catego
     global priority."""
     names = df.columns
     known = taxonomy.select(F.col("leaf").alias("process"), F.col("grp").alias("__grp"), F.col("category").alias("__cat"), F.col("priority").alias("__pr"), F.col("global_priority").alias("__gl"))
-    df = df.join(F.broadcast(known), "process", "left")
+    df = df.join(small(known), "process", "left")
     df = prune(df, keys, F.col("__grp"), F.col("__pr"))
     df = prune(df, keys, F.when(F.col("__cat") == category, F.col("__cat")), F.col("__pr"))
     return prune(df, keys, F.lit(0), F.col("__gl")).select(*names)
@@ -43,10 +45,10 @@ def backfill(df: DataFrame, keys: Sequence[str], taxonomy: DataFrame, matched: D
     priority and name. Those in ``excluded`` (keys, process) are never taken. Sources are what is present
     at the start, so the result doesn't depend on any order."""
     leaf = taxonomy.select("leaf", "category", "priority", "global_priority", "secondary")
-    present = df.filter(st.is_present(F.col("status"))).join(F.broadcast(leaf), F.col("process") == F.col("leaf"))
+    present = df.filter(st.is_present(F.col("status"))).join(small(leaf), F.col("process") == F.col("leaf"))
     wanted = present.select(*keys, F.explode("secondary").alias("category")).distinct()
     wanted = wanted.join(present.select(*keys, "category").distinct(), [*keys, "category"], "left_anti")
-    options = wanted.join(F.broadcast(leaf.select("category", F.col("leaf").alias("process"), "priority", "global_priority")), "category")
+    options = wanted.join(small(leaf.select("category", F.col("leaf").alias("process"), "priority", "global_priority")), "category")
     if excluded is not None:
         options = options.join(excluded.select(*keys, "process").distinct(), [*keys, "process"], "left_anti")
     if matched is not None:

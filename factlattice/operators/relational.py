@@ -8,8 +8,11 @@ is one row per task), with windows only where whole rows are ranked.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,15 +183,20 @@ def pivot_values(df: DataFrame, keys: Sequence[str], name: str, value: str, name
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir; only where that is unset and all runs in one process to a
-    temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and sc.master != "local" and not sc.master.startswith("local["):
+    """``df`` written once as a table below spark.checkpoint.dir (folder ``factlattice``) and read again: what several
+    steps read is made once, and a lost executor brings back no more than its files. Only where that setting is unset
+    and all runs in one process a temporary folder is taken. (``checkpoint()`` would compute all twice.)"""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="factlattice-"))
-    return df.checkpoint()
+        at = "file://" + tempfile.mkdtemp(prefix="factlattice-")
+        sc.setCheckpointDir(at)
+    path = f"{at.rstrip('/')}/factlattice/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
@@ -245,40 +253,94 @@ def quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1_000) -> DataFrame:
     """query_id, rank, row_id, score: the k rows of the largest cosine with each query, by looking at all. Queries
-    (id, vec) are a stated set; they are sent to the rows in blocks of ``block``, so what is broadcast is bounded."""
-    unit = lambda v: F.transform(v, lambda e: e.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
-    rows = rows.select(F.col("id").alias("row_id"), unit(F.col("vec")).alias("r"))
-    place = F.row_number().over(Window.orderBy("id")) - 1
-    asked = queries.select(F.col("id").alias("query_id"), unit(F.col("vec")).alias("q"), F.floor(place / block).alias("__block"))
+    (id, vec) are a stated set; they are sent to the rows in blocks of some ``block``, so what is broadcast is
+    bounded. Each task keeps the best k of a query among its rows, and only these are shuffled. Vectors that are null,
+    zero or hold null or non-finite numbers take no part."""
+    blocks = max(1, -(-queries.count() // block))
+    kind = rows.schema["id"].dataType.simpleString()
+    asked = queries.select(F.col("id").alias("query_id"), "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("__block"))
+    own = rows.select(F.col("id").alias("row_id"), "vec")
     out = None
-    for (b,) in asked.select("__block").distinct().orderBy("__block").collect():
-        score = F.aggregate(F.zip_with("q", "r", lambda a, c: a * c), F.lit(0.0), lambda s, x: s + x)
-        pairs = rows.join(F.broadcast(asked.filter(F.col("__block") == b).drop("__block")), F.col("query_id") != F.col("row_id"))
-        top = pairs.select("query_id", "row_id", score.alias("score"))
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-        top = top.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    for b in range(blocks):
+        some = asked.filter(F.col("__block") == b).select("query_id", "vec").toPandas()
+        unit, good = _unit(some.vec)
+        sent = rows.sparkSession.sparkContext.broadcast((unit, some.query_id[good].to_numpy()))
+        top = own.mapInPandas(_best_rows(sent, k), f"query_id {kind}, row_id {kind}, score double")
         out = top if out is None else out.unionByName(top)
-    return out
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
+    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _unit(vectors) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors as rows, of those that take part, and which do."""
+    sizes = [0 if v is None else len(v) for v in vectors]
+    full = np.full((len(vectors), max(sizes, default=0)), np.nan)
+    for i, v in enumerate(vectors):
+        if sizes[i] == full.shape[1] and sizes[i]:
+            full[i] = [np.nan if x is None else x for x in v]
+    norm = np.sqrt((full * full).sum(1))
+    good = np.isfinite(norm) & (norm > 0)
+    return full[good] / norm[good, None], good
+
+
+def _best_rows(sent, k: int):
+    """The best k rows of each query in a task, batch by batch; equal scores by the smaller id."""
+
+    def run(batches):
+        unit, ids = sent.value
+        best = None
+        for batch in batches:
+            mine, good = _unit(batch.vec)
+            if not len(ids) or not len(mine) or mine.shape[1] != unit.shape[1]:
+                continue
+            row_ids = batch.row_id[good].to_numpy()
+            score = unit @ mine.T
+            score[ids[:, None] == row_ids[None, :]] = -np.inf
+            few = min(k, len(row_ids))
+            edge = np.partition(score, len(row_ids) - few, axis=1)[:, len(row_ids) - few]
+            q, r = np.nonzero((score >= edge[:, None]) & np.isfinite(score))  # ties at the edge stay
+            found = pd.DataFrame({"query_id": ids[q], "row_id": row_ids[r], "score": score[q, r]})
+            best = found if best is None else pd.concat([best, found])
+            best = best.sort_values(["query_id", "score", "row_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        if best is not None:
+            yield best
+
+    return run
+
+
+def reranked(found: DataFrame, second: Column, k: int) -> DataFrame:
+    """The k survivors of each query (query_id, rank, row_id, score, and columns that ``second`` reads) by a second
+    score, then by their first rank: two stages, of which the second looks at few rows."""
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("second"), "rank", "row_id")
+    again = found.withColumn("second", second)
+    return again.withColumn("first_rank", F.col("rank")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def containing(df: DataFrame, key: str, text: str, other: DataFrame, other_key: str, other_text: str) -> DataFrame:
-    """Pairs (key, other_key) where either text contains the other. Texts are joined by their trigrams of
-    letters: the shorter one's rarest trigram must occur in the longer one. Texts of fewer than three
-    characters are compared with all (they are few and short: their distinct values are broadcast)."""
-    def grams(d: DataFrame, k: str, t: str) -> DataFrame:
-        own = d.select(F.col(k).alias("k"), F.col(t).alias("t")).filter("t IS NOT NULL")
-        return own.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 2, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(3))))))
-
-    a, b = grams(df, key, text), grams(other, other_key, other_text)
-
-    def inside(short: DataFrame, long: DataFrame) -> DataFrame:
-        often = long.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-        rarest = short.join(often, "g", "left").groupBy("k", "t").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m"))
-        asked = rarest.filter("length(t) >= 3 AND m.n > 0").select(F.col("k").alias("s"), F.col("t").alias("ts"), F.col("m.g").alias("g"))
-        found = asked.join(long.withColumnRenamed("k", "l").withColumnRenamed("t", "tl"), "g").filter(F.contains("tl", F.col("ts"))).select("s", "l")
-        tiny = short.filter("length(t) < 3").select(F.col("k").alias("s"), F.col("t").alias("ts")).distinct()
-        every = long.select(F.col("k").alias("l"), F.col("t").alias("tl")).distinct()
-        return found.unionByName(every.join(small(tiny), F.contains("tl", F.col("ts"))).select("s", "l"))
-
-    one = inside(a, b).toDF(key, other_key)
-    return one.unionByName(inside(b, a).toDF(other_key, key)).distinct()
+    """Pairs (key, other_key) where either text contains the other. Ids alone are joined: a text of three characters or
+    more by the trigram of it that fewest of the longer texts hold, a shorter one by itself, as one of the longer
+    ones' pieces of its length. Texts are fetched for these candidates alone, and compared."""
+    a, b = (d.select(F.col(k).alias("k"), F.col(t).alias("t")).filter("t IS NOT NULL") for d, k, t in ((df, key, text), (other, other_key, other_text)))
+    one = _contained(a, b).toDF(key, other_key)
+    return one.unionByName(_contained(b, a).toDF(other_key, key)).distinct()
+
+
+def _pieces(df: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """k, g: the distinct pieces of the given lengths of each text; the ids stand beside them, not the texts."""
+    each = [F.expr(f"transform(sequence(1, greatest(char_length(t) - {n - 1}, 1)), i -> substring(t, i, {n}))") if n else F.array(F.lit("")) for n in sizes]
+    return df.select("k", F.explode(F.array_distinct(F.flatten(F.array(*each)))).alias("g"))
+
+
+def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    tiny = short.filter(F.char_length("t") < 3)
+    sizes = [r[0] for r in tiny.select(F.char_length("t")).distinct().collect()]  # at most three numbers
+    held = _pieces(long, [3])
+    often = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    own = _pieces(short.filter(F.char_length("t") >= 3), [3])
+    rarest = own.join(often, "g", "left").groupBy("k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m"))
+    asked = rarest.filter("m.n > 0").select(F.col("k").alias("s"), F.col("m.g").alias("g"))
+    pairs = asked.join(held.withColumnRenamed("k", "l"), "g").select("s", "l")
+    if sizes:
+        pairs = pairs.unionByName(tiny.select(F.col("k").alias("s"), F.col("t").alias("g")).join(_pieces(long, sizes).withColumnRenamed("k", "l"), "g").select("s", "l"))
+    texts = pairs.distinct().join(short.select(F.col("k").alias("s"), F.col("t").alias("ts")), "s").join(long.select(F.col("k").alias("l"), F.col("t").alias("tl")), "l")
+    return texts.filter(F.contains("tl", F.col("ts"))).select("s", "l").distinct()

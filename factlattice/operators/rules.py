@@ -91,10 +91,27 @@ def exclusions(parts: DataFrame, keys: Sequence[str], taxonomy: DataFrame) -> Da
     return parts.join(small(tokens), ["kind", "label"]).select(*keys, F.col("leaf").alias("process")).distinct()
 
 
+def asked_for(taxonomy: DataFrame, does: DataFrame) -> DataFrame:
+    """label: all that a rule, an exclusion, a leaf or ``does`` names. Ancestors that none of them names can't decide
+    anything."""
+    of = lambda token: _token(token)[1].alias("label")
+    rows = clauses(taxonomy).select("label").unionByName(taxonomy.select(F.explode("excluded_by").alias("token")).select(of(F.col("token"))))
+    return rows.unionByName(taxonomy.select(F.col("leaf").alias("label"))).unionByName(does.select(F.col("equipment").alias("label"))).distinct()
+
+
+def reduced(up: DataFrame, taxonomy: DataFrame, does: DataFrame) -> DataFrame:
+    """The closure cut to the ancestors that are asked for (a semi-join before items meet it): a large hierarchy
+    shrinks to what the rules speak of."""
+    bare = F.col("ancestor")
+    for kind in KINDS:
+        bare = F.when(F.startswith(F.col("ancestor"), F.lit(kind + "-")), tx.without_prefix(F.col("ancestor"), kind + "-")).otherwise(bare)
+    return up.withColumn("label", bare).join(small(asked_for(taxonomy, does)), "label", "left_semi").select(*up.columns)
+
+
 def item_processes(items: DataFrame, keys: Sequence[str], taxonomy: DataFrame, up: DataFrame, does: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """keys, process: what each item shows, after rules, exclusions, pruning in three stages and backfill.
     ``parts``: the items' components, if they are at hand."""
-    parts = saved(components(items, keys, up, does)) if parts is None else parts
+    parts = saved(components(items, keys, reduced(up, taxonomy, does), does)) if parts is None else parts
     leaf = taxonomy.select(F.col("leaf").alias("label"))
     direct = parts.filter("kind = 'Process'").join(small(leaf), "label", "left_semi").select(*keys, F.col("label").alias("process"))
     ungated = saved(matches(parts, keys, taxonomy))

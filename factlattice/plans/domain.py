@@ -134,12 +134,12 @@ RULE_TREE = {
     "Filtration": {"Buyer": _leaf(priority=1, ontology_triggers=[["Process-purchase", "Process-signup"]], exclude_if_any=["Role-night"], secondary_category=["Extra"]), "Unspecified Filtration": _leaf(priority=2, global_priority=2, ontology_triggers=["Process-purchase"])},
     "Extra": {"Unspecified Extra": _leaf(priority=9)},
 }
-_ITEMS = "SELECT user_id, CAST(floor(hour(ts) / 4) AS INTEGER) AS item, event_type, ts FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-10'"
+_ITEMS = "SELECT user_id, CAST(floor(hour(ts) / 4) AS INTEGER) AS item, event_type, ts FROM events"
 _RULES = f"WITH i AS ({_ITEMS}), h AS (SELECT user_id, item, max((event_type = 'click')::INT) AS cl, max((event_type = 'view')::INT) AS vi, max((event_type = 'error')::INT) AS er, max((event_type = 'purchase')::INT) AS pu, max((event_type = 'signup')::INT) AS si, max((hour(ts) < 6)::INT) AS night FROM i GROUP BY 1, 2), r AS (SELECT user_id, item, 'Active' AS process FROM h WHERE cl = 1 AND vi = 1 UNION ALL SELECT user_id, item, 'Any' FROM h WHERE (cl = 1 OR er = 1) AND NOT (cl = 1 AND vi = 1) UNION ALL SELECT user_id, item, 'Buyer' FROM h WHERE pu = 1 AND si = 1 AND night = 0 UNION ALL SELECT user_id, item, 'Unspecified Extra' FROM h WHERE pu = 1 AND si = 1 AND night = 0 UNION ALL SELECT user_id, item, 'Unspecified Filtration' FROM h WHERE pu = 1 AND si = 0 AND cl = 0 AND er = 0)"
 
 
 def _items(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("to_date(ts) <= DATE '2024-01-10'")
+    e = table(spark, sf_dir, "events")
     none = F.array().cast("array<string>")
     roles = F.array_compact(F.array_distinct(F.collect_list(F.when(F.hour("ts") < 6, "night"))))
     g = e.groupBy("user_id", F.floor(F.hour("ts") / 4).cast("int").alias("item")).agg(F.collect_set("event_type").alias("Process"), roles.alias("Role"))

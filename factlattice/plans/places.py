@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factlattice.operators import passages
+from factlattice.operators import passages, rules, taxonomy
 from factlattice.operators import relational as rel
 from factlattice.session import table
 
 from .catalogue import query
 
+
+
+def _leaf(**more):
+    return {"alt_names": [], "alt_names_case_sensitive": [], **more}
+
+
 #: The invented prose has no plants: its syllables stand in for a vocabulary, its marks for cues, with short distances.
 RULES = passages.Rules(
     terms="(?i)tion|ung|with|ment|ing", cues="(?i)ation|ich", strong="(?i)onand", boilerplate="(?i)idiot|the the", changes="(?i)the in|en de|de la",
@@ -124,3 +130,44 @@ def shipped_in_window(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_linenumber", days("l_shipdate").alias("at"), "l_quantity")
     met = rel.inside(lines, spans, ["l_linenumber"], "at", "low", "high", 7.0)
     return met.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.min("at").cast("long").alias("first_day"))
+
+
+#: Rules over a hierarchy of three levels (nation, region, world), with what regions do by themselves, and exclusions.
+WORLD_TREE = {
+    "Trade": {"Group": {"Eastern": _leaf(priority=1, ontology_triggers=[["Equipment-ASIA", "Process-Export"]]), "Any Trade": _leaf(priority=5, global_priority=1, ontology_triggers=[["Process-Export"], ["Process-Ship", "Role-rich"]])}},
+    "Place": {"Worldly": _leaf(priority=1, ontology_triggers=[["Equipment-WORLD", "Role-rich"]], exclude_if_any=["Process-Ferry"]), "French": _leaf(priority=1, ontology_triggers=["Equipment-FRANCE"])},
+}
+
+
+@query("""WITH i AS (SELECT s_suppkey, n_name, r_name, s_acctbal > 5000 AS rich, r_name IN ('ASIA', 'AMERICA') AS export, r_name IN ('EUROPE', 'ASIA') AS ship, n_name = 'GERMANY' AS ferry
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+  SELECT s_suppkey, 'Eastern' AS process FROM i WHERE r_name = 'ASIA' AND export
+  UNION ALL SELECT s_suppkey, 'Any Trade' FROM i WHERE (export OR (ship AND rich)) AND NOT (r_name = 'ASIA' AND export)
+  UNION ALL SELECT s_suppkey, 'Worldly' FROM i WHERE rich AND NOT ferry UNION ALL SELECT s_suppkey, 'French' FROM i WHERE n_name = 'FRANCE'""")
+def world_rules(spark, sf_dir):
+    """Suppliers by the rules of their nation, its region and the world, and by what these do."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    edges = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"))
+    edges = edges.unionByName(region.select(F.col("r_name").alias("child"), F.lit("WORLD").alias("parent")))
+    edges = edges.unionByName(region.limit(1).select(F.explode(F.array(F.struct(F.lit("Process-Ferry").alias("child"), F.lit("Process-Ship").alias("parent")))).alias("e")).select("e.*"))
+    does = region.select(F.col("r_name").alias("equipment"), F.explode(F.array_compact(F.array(F.when(F.col("r_name").isin("ASIA", "AMERICA"), "Process-Export"), F.when(F.col("r_name").isin("EUROPE", "ASIA"), "Process-Ship")))).alias("process"))
+    does = does.unionByName(nation.filter("n_name = 'GERMANY'").select(F.col("n_name").alias("equipment"), F.lit("Process-Ferry").alias("process")))
+    none = F.array().cast("array<string>")
+    items = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.array("n_name").alias("Equipment"), none.alias("Process"), F.when(F.col("s_acctbal") > 5000, F.array(F.lit("rich"))).otherwise(none).alias("Role"), none.alias("Substance"))
+    return rules.item_processes(items, ["s_suppkey"], taxonomy.table(spark, WORLD_TREE), rel.saved(rel.ancestors(edges, "child", "parent")), rel.saved(does))
+
+
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (
+    SELECT q.vec_id AS query_id, r.vec_id AS row_id, (q.label = r.label)::INT AS same, list_distance(q.e, r.e) AS far, list_inner_product(q.e, r.e) / sqrt(list_inner_product(q.e, q.e) * list_inner_product(r.e, r.e)) AS score
+    FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0),
+  top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS first_rank FROM p QUALIFY first_rank <= 20)
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY same - far DESC, first_rank, row_id)::INTEGER AS rank, first_rank::INTEGER AS first_rank, row_id, round(same - far, 9) AS second FROM top QUALIFY rank <= 5""")
+def reranked_topk(spark, sf_dir):
+    """The twenty nearest of each query by cosine, and of these the five best by label and distance."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    found = rel.nearest(v.filter("id % 100 = 0"), v, 20)
+    a, b = (v.select(F.col("id").alias(i), F.col("vec").alias(f"{i}_vec"), F.col("label").alias(f"{i}_label")) for i in ("query_id", "row_id"))
+    both = found.join(rel.small(a), "query_id").join(b, "row_id")
+    far = F.sqrt(F.aggregate(F.zip_with("query_id_vec", "row_id_vec", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
+    out = rel.reranked(both, (F.col("query_id_label") == F.col("row_id_label")).cast("int") - far, 5)
+    return out.select("query_id", "rank", "first_rank", "row_id", F.round("second", 9).alias("second"))
