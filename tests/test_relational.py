@@ -1,4 +1,8 @@
+import math
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from factlattice.operators import relational as rel
 
@@ -9,3 +13,39 @@ def test_ancestors_of_a_long_chain_and_of_a_cycle(spark):
     assert len(got) == 41 * 42 // 2 and {(r.node, r.ancestor) for r in got} == {(i, j) for i in range(41) for j in range(i, 41)}
     with pytest.raises(ValueError):
         rel.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 2)], "c int, p int"), "c", "p")
+
+
+def test_nearest_by_brute_force(spark):
+    """Ties, equal vectors, and vectors that take no part, over several tasks and blocks of queries."""
+    rng = random.Random(3)
+    vectors = [[float(rng.randint(-2, 2)) for _ in range(3)] for _ in range(120)] + [None, [0.0] * 3, [1.0, None, 2.0], [float("nan"), 1.0, 1.0], [1.0, 2.0]]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id long, vec array<double>").repartition(5)
+    got = {}
+    for r in rel.nearest(rows.filter("id % 9 = 0"), rows, 4, block=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.row_id, r.score))
+    good = {i: v for i, v in enumerate(vectors) if v and len(v) == 3 and all(x is not None and x == x for x in v) and any(v)}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    assert got.keys() == {i for i in good if i % 9 == 0}
+    for i, found in got.items():
+        scores = sorted((cosine(good[i], v) for j, v in good.items() if j != i), reverse=True)[:4]
+        assert [r for r, _, _ in sorted(found)] == [1, 2, 3, 4] and all(math.isclose(s, w, abs_tol=1e-9) for (_, _, s), w in zip(sorted(found), scores))
+        assert all(math.isclose(s, cosine(good[i], good[j]), abs_tol=1e-9) for _, j, s in found)
+    assert rel.nearest(rows.limit(0), rows, 4).count() == 0
+
+
+def test_reranking_orders_survivors_alone(spark):
+    found = spark.createDataFrame([(1, 1, 10, 0.9, 0.1), (1, 2, 11, 0.8, 0.5), (1, 3, 12, 0.7, None), (1, 4, 13, 0.6, 0.5)], "query_id int, rank int, row_id int, score double, other double")
+    got = [(r["rank"], r.row_id, r.first_rank) for r in rel.reranked(found, F.col("other"), 3).orderBy("rank").collect()]
+    assert got == [(1, 11, 2), (2, 13, 4), (3, 10, 1)]
+
+
+def test_containment_by_brute_force(spark):
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    left = [(i, rng.choice([some(rng.randint(0, 3)), some(rng.randint(3, 9))])) for i in range(80)] + [(80, None), (81, "")]
+    right = [(i, rng.choice([some(rng.randint(0, 2)), some(rng.randint(4, 12))])) for i in range(60)] + [(60, None)]
+    out = rel.containing(spark.createDataFrame(left, "a int, t string"), "a", "t", spark.createDataFrame(right, "b int, u string"), "b", "u")
+    got = [tuple(r) for r in out.collect()]
+    want = {(i, j) for i, t in left for j, u in right if t is not None and u is not None and (t in u or u in t)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
