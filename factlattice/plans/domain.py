@@ -53,9 +53,12 @@ def keyword_table(spark, sf_dir):
     return keywords.table(docs, "doc_id", _tax(spark), mark=". ")
 
 
-@query("SELECT leaf, grp, category, priority, gpriority AS global_priority FROM (WITH " + _TAX + " SELECT * FROM tax)")
+@query(f"WITH {_PARTS}, {_TAX}, {_NAMED} SELECT leaf, grp, category, priority, gpriority AS global_priority, count(doc_id) AS documents FROM tax LEFT JOIN named ON process = leaf GROUP BY ALL")
 def taxonomy_leaves(spark, sf_dir):
-    return _tax(spark).select("leaf", "grp", "category", "priority", "global_priority")
+    """The leaves with the number of documents that name each."""
+    docs, tax = table(spark, sf_dir, "documents").select("doc_id", "text"), _tax(spark)
+    named = keywords.named(docs, "doc_id", tax, mark=". ").groupBy(F.col("process").alias("leaf")).agg(F.count(F.lit(1)).alias("documents"))
+    return tax.join(named, "leaf", "left").select("leaf", "grp", "category", "priority", "global_priority", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
 
 
 _BITS = "CASE status WHEN 'PAST' THEN 1 WHEN 'OFFSITE' THEN 2 WHEN 'FUTURE' THEN 4 WHEN 'PRESENT' THEN 8 WHEN 'PRESENT_AND_FUTURE' THEN 12 END"
@@ -558,4 +561,4 @@ def preferred_row(spark, sf_dir):
     return best.join(s.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n")), "s_nationkey").select("s_nationkey", "s_name", "n")
 
 
-from . import places, stateful  # noqa: E402, F401  (they register their queries)
+from . import places, registered, stateful  # noqa: E402, F401  (they register their queries)
