@@ -111,14 +111,15 @@ def change_parts(spark, sf_dir):
 
 
 @query("""WITH sold AS (SELECT user_id, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
-  SELECT e.event_id, e.user_id, sold.event_id AS purchase_id, sold.value AS purchase_value, date_diff('microsecond', sold.ts, e.ts) AS micros_since
+  SELECT e.event_id, e.user_id, coalesce(sold.event_id, -1) AS purchase_id, coalesce(sold.value, -1) AS purchase_value, coalesce(date_diff('microsecond', sold.ts, e.ts), -1) AS micros_since
   FROM events e ASOF LEFT JOIN sold ON e.user_id = sold.user_id AND e.ts >= sold.ts""")
 def latest_purchase(spark, sf_dir):
-    """Each event with its user's latest purchase at or before it: all times at once."""
+    """Each event with its user's latest purchase at or before it: all times at once; -1 where there is none."""
     e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     sold = e.filter("event_type = 'purchase'").select("event_id", "user_id", F.col("at").alias("since"), "value")
     found = rel.as_of(e.select("event_id", "user_id", "at"), sold, ["user_id"], "at", "since", 86_400e6)
-    return found.select("event_id", "user_id", F.col("found.event_id").alias("purchase_id"), F.col("found.value").alias("purchase_value"), (F.col("at") - F.col("found.since")).alias("micros_since"))
+    columns = {"purchase_id": F.col("found.event_id"), "purchase_value": F.col("found.value"), "micros_since": F.col("at") - F.col("found.since")}
+    return found.select("event_id", "user_id", *(F.coalesce(c, F.lit(-1)).alias(n) for n, c in columns.items()))
 
 
 @query("""SELECT o.o_orderkey, count(*) AS n, sum(l_quantity) AS quantity, min(date_diff('day', DATE '1970-01-01', l_shipdate::DATE)) AS first_day FROM orders o JOIN lineitem l

@@ -14,12 +14,12 @@ from .catalogue import _BIT, _DECODE, _event_status, query
 TTL_MS = 6 * 3_600_000
 
 
-@query(f"""WITH e AS (SELECT user_id, epoch_ms(ts) AS t, {_BIT} AS mask FROM events), m AS (SELECT user_id, t FROM e UNION SELECT user_id, t + {TTL_MS} FROM e),
+@query(f"""WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, {_BIT} AS mask FROM events), m AS (SELECT user_id, t FROM e UNION SELECT user_id, t + {TTL_MS} FROM e),
   held AS (SELECT m.user_id, m.t, coalesce(bit_or(e.mask), 0) AS after FROM m LEFT JOIN e ON e.user_id = m.user_id AND e.t <= m.t AND m.t < e.t + {TTL_MS} GROUP BY 1, 2),
   told AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY user_id ORDER BY t), 0) AS before FROM held)
-  SELECT user_id, t AS "at", {_DECODE.format('before')} AS before, {_DECODE.format('after')} AS after FROM told WHERE before <> after""")
+  SELECT user_id, t AS "at", coalesce({_DECODE.format('before')}, '') AS before, coalesce({_DECODE.format('after')}, '') AS after FROM told WHERE before <> after""")
 def status_changes(spark, sf_dir):
     """When each user's joined status changes, if an event's status holds for six hours."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", _event_status().alias("status"))
     told = statuses.changes(e, ["user_id"], "ts", "status", TTL_MS)
-    return told.select("user_id", "at", *(st.decode(F.col(c)).alias(c) for c in ("before", "after")))
+    return told.select("user_id", "at", *(F.coalesce(st.decode(F.col(c)), F.lit("")).alias(c) for c in ("before", "after")))
