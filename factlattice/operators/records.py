@@ -8,9 +8,9 @@ value. What can't be mended is a failure with its reason, kept in its own column
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,79 +45,104 @@ def schema(lists_only: bool = False, web: bool = False) -> dict:
     return {"type": "object", "properties": {"items": {"type": "array", "items": item}}, "required": ["items"], "additionalProperties": False}
 
 
-_KINDS = {"object": dict, "array": list, "string": str, "null": type(None), "boolean": bool, "number": (int, float)}
-
-
-def is_valid(value, rule: dict) -> bool:
-    """Whether a JSON value meets a schema, of the words that ``schema`` uses."""
-    kinds = rule.get("type", [])
-    kinds = [kinds] if isinstance(kinds, str) else kinds
-    if kinds and not any(isinstance(value, _KINDS[k]) and not (k == "number" and isinstance(value, bool)) for k in kinds):
-        return False
-    if "enum" in rule and value not in rule["enum"]:
-        return False
-    if "anyOf" in rule and not any(is_valid(value, r) for r in rule["anyOf"]):
-        return False
-    if "not" in rule and is_valid(value, rule["not"]):
-        return False
-    if isinstance(value, list):
-        return len(value) >= rule.get("minItems", 0) and all(is_valid(v, rule.get("items", {})) for v in value)
-    if isinstance(value, dict):
-        known = rule.get("properties", {})
-        if rule.get("additionalProperties") is False and value.keys() - known.keys():
-            return False
-        return all(k in value for k in rule.get("required", [])) and all(is_valid(v, known[k]) for k, v in value.items() if k in known)
-    return True
-
-
-def coerced(value) -> list[dict]:
-    """The items of a document, mended; ValueError if there is no list of items to be found."""
-    if isinstance(value, list):
-        value = {"items": value}
-    if not isinstance(value, dict):
-        raise ValueError("not an object")
-    items = value.get("items")
-    if not isinstance(items, list):
-        inner = [value[w] for w in WRAPPERS if isinstance(value.get(w), list) or (isinstance(value.get(w), dict) and isinstance(value[w].get("items"), list))]
-        if inner:
-            items = inner[0] if isinstance(inner[0], list) else inner[0]["items"]
-        elif FIELDS & value.keys():
-            items = [value]
-        elif isinstance(items, dict):
-            items = [items]
-    if not isinstance(items, list) or not all(isinstance(i, dict) for i in items):
-        raise ValueError("no list of items")
-    out = []
-    for item in items:
-        item = {k: None if k in LISTS and v == [] else v for k, v in item.items()}
-        out.append({k: (v[0] if v else None) if k in SINGLES and isinstance(v, list) else v for k, v in item.items()})
-    return out
-
-
-def as_texts(value) -> list[str]:
-    """A text, a list or nothing as a list of trimmed texts that aren't blank."""
-    return [str(v).strip() for v in (value if isinstance(value, list) else [value]) if v and str(v).strip()]
-
-
-def _row(body: str | None, rule: dict) -> dict:
-    try:
-        value = json.loads(body or "")
-        items = coerced(value)
-        shaped = [{**{k: as_texts(i.get(k)) for k in ("Equipment", *LISTS)}, **{k: None if i.get(k) is None else str(i[k]) for k in ("Implementation", "Location", "Sentence")}} for i in items]
-        return {"valid": is_valid(value, rule), "failure": None, "raw": json.dumps(items, ensure_ascii=False), "items": shaped}
-    except ValueError as e:  # JSON errors are of this kind too
-        return {"valid": False, "failure": str(e), "raw": None, "items": None}
+#: JSON Schema's names of kinds as ``schema_of_variant`` spells them.
+_KINDS = {"object": ("OBJECT",), "array": ("ARRAY",), "string": ("STRING",), "null": ("VOID",), "boolean": ("BOOLEAN",), "number": ("BIGINT", "DECIMAL", "DOUBLE")}
+_MAP, _LIST = "map<string, variant>", "array<variant>"
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _kind(value: Column) -> Column:
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def parsed(body: Column) -> Column:
+    """The VARIANT of a text that is one JSON value; NULL if it isn't JSON, if more text follows, if a name occurs
+    twice in an object, or if it is larger than a VARIANT may be. The parser stops after the first value, so
+    the text must also stand alone in a list and in an object."""
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$", _LIST)
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}")))
+    return F.when((F.size(listed) == 1) & named.isNotNull(), listed[0])
+
+
+def meets(value: Column, rule: dict) -> Column:
+    """Whether a VARIANT meets a JSON schema, of the words that ``schema`` uses; a value that isn't there doesn't."""
+    tests, kinds = [value.isNotNull()], rule.get("type", [])
+    if kinds:
+        tests.append(_kind(value).isin([k for name in ([kinds] if isinstance(kinds, str) else kinds) for k in _KINDS[name]]))
+    if "enum" in rule:
+        texts = [e for e in rule["enum"] if e is not None]
+        same = (_kind(value) == "STRING") & F.try_variant_get(value, "$", "string").isin(texts)
+        tests.append(same | F.is_variant_null(value) if None in rule["enum"] else same)
+    if "anyOf" in rule:
+        tests.append(reduce(Column.__or__, [meets(value, r) for r in rule["anyOf"]]))
+    if "not" in rule:
+        tests.append(~meets(value, rule["not"]))
+    if "items" in rule or "minItems" in rule:
+        enough = lambda items: items.isNull() | (F.size(items) >= rule.get("minItems", 0)) & F.forall(items, lambda i: meets(i, rule.get("items", {})))
+        tests.append(_let(F.try_variant_get(value, "$", _LIST), enough))
+    if "properties" in rule:
+        tests.append(_let(F.try_variant_get(value, "$", _MAP), lambda fields: fields.isNull() | _fields_meet(fields, rule)))
+    return F.coalesce(reduce(Column.__and__, tests), F.lit(False))
+
+
+def _fields_meet(fields: Column, rule: dict) -> Column:
+    known = rule["properties"]
+    tests = [F.map_contains_key(fields, name) for name in rule.get("required", [])]
+    tests += [fields[name].isNull() | meets(fields[name], own) for name, own in known.items()]
+    if rule.get("additionalProperties") is False:
+        tests.append(F.forall(F.map_keys(fields), lambda name: name.isin(list(known))))
+    return reduce(Column.__and__, tests)
+
+
+def mended(value: Column) -> Column:
+    """The items of a parsed document, each a map of its fields; NULL if there is no list of objects to be found."""
+    at = lambda path: F.try_variant_get(value, path, _LIST)
+    wrapped = [F.coalesce(at(f"$.{name}"), at(f"$.{name}.items")) for name in WRAPPERS]
+    itself = reduce(Column.__or__, [F.try_variant_get(value, f"$.{name}", "variant").isNotNull() for name in sorted(FIELDS)])
+    single = F.try_variant_get(value, "$.items", "variant")
+    items = F.coalesce(at("$"), at("$.items"), *wrapped, F.when(itself, F.array(value)), F.when(_kind(single) == "OBJECT", F.array(single)))
+    objects = F.transform(items, lambda i: F.try_variant_get(i, "$", _MAP))
+    return F.when(F.forall(objects, lambda i: i.isNotNull()), F.transform(objects, lambda i: F.transform_values(i, _field)))
+
+
+def _field(name: Column, value: Column) -> Column:
+    """Nothing for an empty list; the first of a list where a single value belongs."""
+    nothing, first = F.parse_json(F.lit("null")), F.coalesce(F.try_variant_get(value, "$[0]", "variant"), F.parse_json(F.lit("null")))
+    listed = _kind(value) == "ARRAY"
+    empty = listed & F.try_variant_get(value, "$[0]", "variant").isNull()
+    return F.when(name.isin(*LISTS) & empty, nothing).when(name.isin(*SINGLES) & listed, first).otherwise(value)
+
+
+def as_texts(value: Column) -> Column:
+    """A VARIANT that is a value, a list or nothing as trimmed texts that aren't blank; inner lists and objects as JSON."""
+    each = F.coalesce(F.try_variant_get(value, "$", _LIST), F.array(value))
+    texts = F.transform(each, lambda v: F.regexp_replace(F.try_variant_get(v, "$", "string"), r"(?U)^\s+|\s+$", ""))
+    return F.filter(texts, lambda t: t != "")
+
+
+def _shaped(item: Column) -> Column:
+    several = [as_texts(item[name]).alias(name) for name in ("Equipment", *LISTS)]
+    return F.struct(*several, *(F.try_variant_get(item[name], "$", "string").alias(name) for name in ("Implementation", "Location", "Sentence")))
 
 
 def read(body: Column, rule: dict | None = None) -> Column:
-    """struct(valid as it came, failure or NULL, raw: the mended items as JSON, items: their fields)."""
+    """struct(valid as it came, failure or NULL, raw: the mended items as JSON, items: their fields). A text of any
+    kind gives a row; NULL and blank ones aren't JSON."""
     rule = schema() if rule is None else rule
 
-    @F.pandas_udf(f"valid boolean, failure string, raw string, items array<{ITEM}>")
-    def run(bodies: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_row(b, rule) for b in bodies], columns=["valid", "failure", "raw", "items"])
+    def judged(value: Column) -> Column:
+        return _let(mended(value), lambda items: F.struct(meets(value, rule).alias("valid"), _failure(value, items).alias("failure"), F.to_json(items).alias("raw"), F.transform(items, _shaped).cast(f"array<{ITEM}>").alias("items")))
+
+    return _let(parsed(body), judged)
+
 
-    return run(body)
+def _failure(value: Column, items: Column) -> Column:
+    shape = F.when(~_kind(value).isin("OBJECT", "ARRAY"), "not an object").when(items.isNull(), "no list of items")
+    return F.when(value.isNull(), "not JSON").otherwise(shape)
 
 
 def outermost(text: Column) -> Column:

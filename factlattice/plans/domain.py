@@ -179,18 +179,29 @@ def facility_rules(spark, sf_dir):
     return rules.facility_processes(items, "conv_id", "item", taxonomy.table(spark, MULTI_TREE), *_world(spark))
 
 
-@query("SELECT conv_id, turn AS item, CASE WHEN role = 'user' THEN 'present' ELSE 'future' END AS implementation, 'a' || length(text) AS process FROM conversations WHERE conv_id % 4 <> 3 AND text IS NOT NULL")
+@query(
+    "WITH c AS (SELECT *, conv_id % 6 AS kind FROM conversations WHERE text IS NOT NULL) "
+    "SELECT conv_id, kind = 4 AS valid, '' AS failure, CAST(turn AS BIGINT) AS item, CASE WHEN role = 'user' THEN 'present' ELSE 'future' END AS implementation, 'a' || length(text) AS process FROM c WHERE kind NOT IN (3, 5) "
+    "UNION ALL SELECT DISTINCT conv_id, false, CASE WHEN kind = 3 THEN 'not JSON' ELSE 'no list of items' END, CAST(-1 AS BIGINT), '', '' FROM c WHERE kind IN (3, 5)"
+)
 def json_records(spark, sf_dir):
-    """Items written in the odd shapes that writers give them, mended and read."""
+    """Items written in the shapes that writers give them, odd and valid, mended and read; failures with their reason, item -1."""
     c = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
-    named = F.concat(F.lit("a"), F.length("text").cast("string"))
+    named, nothing = F.concat(F.lit("a"), F.length("text").cast("string")), F.lit(None).cast("string")
     when = F.when(F.col("role") == "user", "present").otherwise("future")
     item = F.struct(F.array(named).alias("Process"), F.array(when).alias("Implementation"), F.array().cast("array<string>").alias("Role"))
     plain = F.struct(named.alias("Process"), when.alias("Implementation"), F.lit(" ").alias("Role"))
-    odd = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", item.alias("i"), plain.alias("p")))).alias("l"))
-    listed, texts = F.to_json(F.transform("l", lambda x: x["i"])), F.to_json(F.transform("l", lambda x: x["p"]))
-    body = F.when(F.col("conv_id") % 4 == 0, listed).when(F.col("conv_id") % 4 == 1, F.concat(F.lit('{"results": '), texts, F.lit("}"))).when(F.col("conv_id") % 4 == 2, F.concat(F.lit('{"output": {"items": '), listed, F.lit("}}"))).otherwise(F.lit("none"))
-    return records.exploded(odd.select("conv_id", body.alias("body")), "conv_id").select("conv_id", F.col("item").cast("long").alias("item"), F.col("Implementation").alias("implementation"), F.col("Process")[0].alias("process"))
+    whole = F.struct(nothing.alias("Equipment"), F.array(named).alias("Process"), nothing.alias("Role"), nothing.alias("Substance"), when.alias("Implementation"), nothing.alias("Location"), F.col("text").alias("Sentence"))
+    odd = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", item.alias("i"), plain.alias("p"), whole.alias("w")))).alias("l"))
+    json = lambda field: F.to_json(F.transform("l", lambda x: x[field]), {"ignoreNullFields": "false"})
+    around = lambda start, field, end: F.concat(F.lit(start), json(field), F.lit(end))
+    kind = F.col("conv_id") % 6
+    body = F.when(kind == 0, json("i")).when(kind == 1, around('{"results": ', "p", "}")).when(kind == 2, around('{"output": {"items": ', "i", "}}")).when(kind == 3, around('{"items": ', "w", "} and so on"))
+    body = body.when(kind == 4, around('{"items": ', "w", "}")).otherwise(around('{"records": ', "w", "}"))
+    found = odd.select("conv_id", records.read(body).alias("r"))
+    items = found.select("conv_id", "r.valid", "r.failure", F.posexplode_outer("r.items").alias("item", "i"))
+    filled = lambda value: F.coalesce(value, F.lit(""))
+    return items.select("conv_id", "valid", filled(F.col("failure")).alias("failure"), F.coalesce(F.col("item").cast("long"), F.lit(-1)).alias("item"), filled(F.col("i.Implementation")).alias("implementation"), filled(F.col("i.Process")[0]).alias("process"))
 
 
 # Survey records from lineitem: supplier = facility, ship year = survey, return flag = process name.

@@ -148,19 +148,33 @@ def test_backfill(spark, tax):
     assert got == {("a", "Unspecified Chemical Addition", "PRESENT"), ("b", "Neutralization", "PRESENT"), ("d", "Neutralization", "PRESENT"), ("e", "Neutralization", "PRESENT")}
 
 
-def test_records_are_mended():
+def judged(spark, values, rule=None):
+    """read() of each value, as JSON unless it is text already."""
+    bodies = [v if v is None or isinstance(v, str) else json.dumps(v) for v in values]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "n int, body string").select("n", records.read(F.col("body"), rule).alias("r"))
+    assert "Python" not in rows._jdf.queryExecution().toString() and "Arrow" not in rows._jdf.queryExecution().toString()
+    return [r.r for r in rows.orderBy("n").collect()]
+
+
+def test_records_are_mended(spark):
     item = {"Equipment": None, "Process": ["x"], "Role": None, "Substance": None, "Implementation": "present", "Location": None, "Sentence": "s"}
-    rule = records.schema()
-    assert records.is_valid({"items": [item]}, rule) and not records.is_valid([item], rule) and not records.is_valid({"items": [{**item, "Process": None}]}, rule)
-    assert not records.is_valid({"items": [{**item, "Process": []}]}, rule) and not records.is_valid({"items": [{**item, "more": 1}]}, rule) and not records.is_valid({"items": [{**item, "Implementation": "soon"}]}, rule)
-    assert records.is_valid({"items": [{k: item[k] for k in ("Process", "Implementation", "Location", "Sentence")}]}, records.schema(lists_only=True)) and not records.is_valid({"items": [item]}, records.schema(web=True))
-    for odd in ([item], {"output": {"items": [item]}}, {"result": [item]}, item, {"items": item}, {"data": [item], "items": 3}):
-        assert records.coerced(odd) == [item]
-    assert records.coerced({"items": [{**item, "Role": [], "Location": ["on-site", "x"], "Equipment": []}]}) == [{**item, "Location": "on-site"}]
-    for bad in (3, "x", {"additionalProperties": True}, {"items": 3}, [1]):
-        with pytest.raises(ValueError):
-            records.coerced(bad)
-    assert records.as_texts([" a ", "", None, 3]) == ["a", "3"] and records.as_texts("x") == ["x"] and records.as_texts(None) == []
+    right = [{"items": [item]}, {"items": []}, {"items": [{**item, "Location": "on-site", "Role": ["r"], "Equipment": "e", "Process": None}]}]
+    wrong = [[item], {"items": [{**item, "Process": None}]}, {"items": [{**item, "Process": []}]}, {"items": [{**item, "more": 1}]}, {"items": [{**item, "Implementation": "soon"}]}, {"items": [{**item, "Implementation": None}]}, {"items": [item, 3]}, {"items": [{**item, "Process": ["x", 1]}]}, {"items": [{k: v for k, v in item.items() if k != "Location"}]}, {"items": [item], "x": 1}, 3, None, ""]
+    assert [r.valid for r in judged(spark, right + wrong)] == [True] * len(right) + [False] * len(wrong)
+    short = {"items": [{k: item[k] for k in ("Process", "Implementation", "Location", "Sentence")}]}
+    assert judged(spark, [short], records.schema(lists_only=True))[0].valid and not judged(spark, [{"items": [item]}], records.schema(web=True))[0].valid
+    assert judged(spark, [{"items": [{**item, "Source": "both", "Website": None}]}], records.schema(web=True))[0].valid
+    odd = [[item], {"output": {"items": [item]}}, {"result": [item]}, item, {"items": item}, {"data": [item], "items": 3}, {"items": "x", "results": {"items": [item]}, "data": [3]}]
+    for r in judged(spark, odd):
+        assert r.failure is None and json.loads(r.raw) == [item] and r["items"][0].Process == ["x"] and r["items"][0].Sentence == "s"
+    several = judged(spark, [{"items": [{**item, "Role": [], "Location": ["on-site", "x"], "Equipment": []}]}])[0]
+    assert json.loads(several.raw) == [{**item, "Location": "on-site"}] and several["items"][0].Location == "on-site"
+    bad = [3, '"x"', {"additionalProperties": True}, {"items": 3}, [1], "none", '{"items": []} more', '[] ] [', '{"items": [], "items": []}', " ", None]
+    assert [r.failure for r in judged(spark, bad)] == ["not an object"] * 2 + ["no list of items"] * 3 + ["not JSON"] * 6
+    texts = judged(spark, [[{"Process": [" a ", "", None, 3, True, ["b"]], "Role": "x", "Sentence": 7}]])[0]["items"][0]
+    assert texts.Process == ["a", "3", "true", '["b"]'] and texts.Role == ["x"] and texts.Substance == [] and texts.Sentence == "7"
+    long = judged(spark, [{"items": [{**item, "Sentence": "s" * 300_000}] * 10}])[0]
+    assert long.valid and len(long["items"]) == 10 and len(long["items"][9].Sentence) == 300_000
 
 
 def test_records_are_read_and_attributed(spark, tmp_path):
