@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -182,11 +182,9 @@ def pivot_values(df: DataFrame, keys: Sequence[str], name: str, value: str, name
     return wide.select(*keys, *(F.coalesce(F.col(n), F.lit(default)).alias(n) for n in names))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once as a table below spark.checkpoint.dir (folder ``factlattice``) and read again: what several
-    steps read is made once, and a lost executor brings back no more than its files. Only where that setting is unset
-    and all runs in one process a temporary folder is taken. (``checkpoint()`` would compute all twice.)"""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster names in ``spark.checkpoint.dir``. Only where that setting is unset and
+    all runs in one process a temporary folder is taken."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
@@ -194,9 +192,15 @@ def saved(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="factlattice-")
         sc.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/factlattice/saved-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/factlattice/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in a ``folder`` of its own and read again: what several steps read is made once, and
+    a lost executor brings back no more than its files. (``checkpoint()`` would compute all twice.)"""
+    path = folder(df.sparkSession, "saved")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
