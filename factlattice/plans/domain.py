@@ -120,7 +120,11 @@ def snapshot_table(spark, sf_dir):
     return permits.snapshot_union(last).select("place_id", "as_of_dates", "n_snapshots", "document", "newest")
 
 
-_EVENT = f"SELECT user_id, event_type, {_CASE} AS status, CAST(ts AS DATE) AS d, event_id FROM events"
+def _user_hour(name):
+    """A user in one hour of the day, as a number."""
+    return (F.col("user_id") * 24 + F.hour("ts")).alias(name)
+
+
 
 
 @query("WITH u AS (SELECT DISTINCT user_id, event_type FROM events), m AS (SELECT user_id, min(CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 2 ELSE 3 END) AS best FROM u WHERE event_type IN ('purchase', 'click', 'signup') AND (user_id + length(event_type)) % 3 = 0 GROUP BY 1) SELECT u.user_id, u.event_type AS process, CASE WHEN (u.user_id + length(u.event_type)) % 3 = 0 THEN 'PRESENT' ELSE 'FUTURE' END AS status FROM u LEFT JOIN m ON u.user_id = m.user_id WHERE u.event_type NOT IN ('purchase', 'click', 'signup') OR (u.user_id + length(u.event_type)) % 3 <> 0 OR (CASE u.event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 2 END) = m.best")
@@ -225,25 +229,27 @@ def survey_statuses(spark, sf_dir):
     return survey.statuses(_survey(spark, sf_dir), taxonomy.table(spark, SURVEY_TREE))
 
 
-@query("WITH e AS (SELECT CAST(floor((day(ts) - 1) / 10) AS INTEGER) AS w, user_id, event_type FROM events WHERE (user_id + day(ts)) % 9 = 0), years(w) AS (VALUES (0), (1), (2)), f AS (SELECT user_id, min(w) AS w FROM e GROUP BY 1), sets AS (SELECT user_id, w, list_sort(list(DISTINCT event_type)) AS t FROM e GROUP BY 1, 2), ch AS (SELECT a.w, count(*) AS n FROM sets a JOIN sets b ON a.user_id = b.user_id AND a.w = b.w + 1 AND a.t <> b.t GROUP BY 1), la AS (SELECT w, count(*) AS n FROM (SELECT user_id, max(w) AS w FROM e GROUP BY 1) GROUP BY 1), tot AS (SELECT count(*) AS n FROM f) SELECT y.w AS year, (SELECT count(*) FROM f WHERE f.w = y.w) AS new, CASE WHEN y.w > 0 THEN CAST(coalesce(ch.n, 0) AS VARCHAR) END AS changed, coalesce(la.n, 0) AS recent, tot.n AS total, CAST(round_even(100.0 * (SELECT count(*) FROM f WHERE f.w = y.w) / tot.n, 1) AS DOUBLE) AS new_percent FROM years y LEFT JOIN ch ON ch.w = y.w LEFT JOIN la ON la.w = y.w, tot")
+@query("WITH e AS (SELECT CAST(least(floor((day(ts) - 1) / 10), 2) AS INTEGER) AS w, user_id * 24 + hour(ts) AS user_id, event_type FROM events), years(w) AS (VALUES (0), (1), (2)), f AS (SELECT user_id, min(w) AS w FROM e GROUP BY 1), sets AS (SELECT user_id, w, list_sort(list(DISTINCT event_type)) AS t FROM e GROUP BY 1, 2), ch AS (SELECT a.w, count(*) AS n FROM sets a JOIN sets b ON a.user_id = b.user_id AND a.w = b.w + 1 AND a.t <> b.t GROUP BY 1), la AS (SELECT w, count(*) AS n FROM (SELECT user_id, max(w) AS w FROM e GROUP BY 1) GROUP BY 1), tot AS (SELECT count(*) AS n FROM f) SELECT y.w AS year, (SELECT count(*) FROM f WHERE f.w = y.w) AS new, CASE WHEN y.w > 0 THEN CAST(coalesce(ch.n, 0) AS VARCHAR) END AS changed, coalesce(la.n, 0) AS recent, tot.n AS total, CAST(round_even(100.0 * (SELECT count(*) FROM f WHERE f.w = y.w) / tot.n, 1) AS DOUBLE) AS new_percent FROM years y LEFT JOIN ch ON ch.w = y.w LEFT JOIN la ON la.w = y.w, tot")
 def survey_table(spark, sf_dir):
-    """Coverage by survey: new facilities, changed sets of processes, most recent records."""
-    e = table(spark, sf_dir, "events").filter((F.col("user_id") + F.dayofmonth("ts")) % 9 == 0).select(F.floor((F.dayofmonth("ts") - 1) / 10).cast("int").alias("year"), F.col("user_id").alias("facility"), F.col("event_type").alias("process"))
+    """Coverage by survey (thirds of a month): new facilities (a user in an hour of the day), changed sets of processes,
+    most recent records."""
+    e = table(spark, sf_dir, "events").select(F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)).cast("int").alias("year"), _user_hour("facility"), F.col("event_type").alias("process"))
     return survey.coverage(e, e, e, [0, 1, 2]).select("year", "new", F.col("changed").cast("string").alias("changed"), "recent", "total", "new_percent")
 
 
-# Labels and predictions of statuses per user and process: two halves of the month.
-_LABELS = f"l AS (SELECT user_id AS k, event_type AS process, {_DECODE.format('bit_or(' + _BITS + ')')} AS status FROM ({_EVENT}) WHERE d <= DATE '2024-01-02' GROUP BY 1, 2), p AS (SELECT user_id AS k, event_type AS process, {_DECODE.format('bit_or(' + _BITS + ')')} AS status FROM (SELECT user_id, event_type, CASE WHEN event_id % 2 = 0 THEN status ELSE 'FUTURE' END AS status, d FROM ({_EVENT})) WHERE d BETWEEN DATE '2024-01-03' AND DATE '2024-01-04' GROUP BY 1, 2)"
+# Labels and predictions of statuses per user's hour of the day and process: two halves of the month.
+_HALVES = f"SELECT user_id * 24 + hour(ts) AS user_id, event_type, {_CASE} AS status, day(ts) AS d, event_id FROM events"
+_LABELS = f"l AS (SELECT user_id AS k, event_type AS process, {_DECODE.format('bit_or(' + _BITS + ')')} AS status FROM ({_HALVES}) WHERE d <= 15 GROUP BY 1, 2), p AS (SELECT user_id AS k, event_type AS process, {_DECODE.format('bit_or(' + _BITS + ')')} AS status FROM (SELECT user_id, event_type, CASE WHEN event_id % 2 = 0 THEN status ELSE 'FUTURE' END AS status, d FROM ({_HALVES})) WHERE d > 15 GROUP BY 1, 2)"
 _CELLS = "c AS (SELECT k, process, max(m) AS m, max(p) AS p, max(ms) AS ms, max(ps) AS ps FROM (SELECT k, process, CASE WHEN status IN ({0}) THEN 1 ELSE 0 END AS m, 0 AS p, status AS ms, NULL AS ps FROM l UNION ALL SELECT k, process, 0, CASE WHEN status IN ({0}) THEN 1 ELSE 0 END, NULL, status FROM p WHERE k IN (SELECT k FROM l)) GROUP BY 1, 2)"
 _NARROW, _WIDE = "'PRESENT', 'PRESENT_AND_FUTURE'", "'PRESENT', 'PRESENT_AND_FUTURE', 'FUTURE', 'OFFSITE'"
 SCORE_TREE = {"Use": {"click": _leaf(), "view": _leaf(), "purchase": _leaf()}, "Else": {"signup": _leaf(), "error": _leaf()}}
 
 
 def _labels(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("process"), _event_status().alias("status"), F.to_date("ts").alias("d"), "event_id")
-    labels = permits.collapsed(e.filter("d <= DATE '2024-01-02'"), ["k"])
+    e = table(spark, sf_dir, "events").select(_user_hour("k"), F.col("event_type").alias("process"), _event_status().alias("status"), F.dayofmonth("ts").alias("d"), "event_id")
+    labels = permits.collapsed(e.filter("d <= 15"), ["k"])
     odd = e.withColumn("status", F.when(F.col("event_id") % 2 == 0, F.col("status")).otherwise("FUTURE"))
-    return labels, permits.collapsed(odd.filter("d BETWEEN DATE '2024-01-03' AND DATE '2024-01-04'"), ["k"])
+    return labels, permits.collapsed(odd.filter("d > 15"), ["k"])
 
 
 _SUMS = "count(*) FILTER (WHERE m = 1 AND p = 1) AS tp, count(*) FILTER (WHERE m = 0 AND p = 1) AS fp, count(*) FILTER (WHERE m = 1 AND p = 0) AS fn"
@@ -290,7 +296,8 @@ def representativeness(spark, sf_dir):
     return scoring.profile(sites, {"all": sites, "rich": sites.filter("c_acctbal > 5000")}, ["R1", "R4"]).select("population", "n", "R1", "R4", "major", "several")
 
 
-# Needs: a user's plans from events, flows from the user id, curves of two systems.
+# Needs: plans of a user's hour of the day from events (the month's second half is the future), flows from its number,
+# curves of two systems.
 NEED_TREE = {"Lagoon": {"Unspecified Lagoon": _leaf(), "Aerated Lagoon": _leaf()}, "Activated Sludge": {"Unspecified AS": _leaf()}, "Disinfection": {"UV Disinfection": _leaf(), "Chlorination": _leaf()}}
 NEED_LEAF = {"click": "Unspecified Lagoon", "view": "Aerated Lagoon", "purchase": "Unspecified AS", "signup": "UV Disinfection", "error": "Chlorination"}
 _spec = lambda a, b: {"limit_mgd": 4.0, "segments": [{"max_mgd": 1.5, "form": "linear", "a": a, "b": b, "basis": "x"}, {"max_mgd": None, "form": "power", "a": a, "b": 0.5, "basis": "y"}]}
@@ -298,15 +305,14 @@ CURVES = {
     "cpi_adjustment": 1.2, "location_factor": 1.1, "national_average_location_factor": 1.0,
     "systems": {s: {c: _spec(10.0 * (i + 1), 5.0) for c in ("new", "treatment_upgrade", "system_expansion", "rehabilitation")} for i, s in enumerate(("lagoon", "aerated_lagoon", "secondary_mechanical"))} | {"add_disinfection": {"uv": _spec(7.0, 1.0), "chlorine": _spec(3.0, 1.0)}},
 }
-_NOW_DAY, _THEN_DAY = "2024-01-01", "2024-01-02"
 _TIER = "CASE process WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 END"
-_NEEDS = f"e AS (SELECT DISTINCT user_id, event_type AS process, CAST(ts AS DATE) = DATE '{_NOW_DAY}' AS now FROM events WHERE CAST(ts AS DATE) IN (DATE '{_NOW_DAY}', DATE '{_THEN_DAY}')), s AS (SELECT user_id, process, max(now::INT) AS now, max((NOT now)::INT) AS later FROM e GROUP BY 1, 2), pl AS (SELECT user_id, max(CASE WHEN now = 1 THEN {_TIER} END) AS tn, max({_TIER}) AS tier, count(*) FILTER (WHERE now = 1) AS n_now, count(*) FILTER (WHERE now = 0) AS n_future, count(*) FILTER (WHERE now = 0 AND process IN ('signup', 'error')) AS n_dis, max((now = 0 AND process = 'signup')::INT) AS uv FROM s GROUP BY 1 HAVING count(*) FILTER (WHERE now = 0) > 0), fl AS (SELECT *, CASE WHEN user_id % 5 = 0 THEN (user_id % 4)::DOUBLE ELSE (user_id % 6) * 0.75 END AS flow, CASE WHEN user_id % 5 <> 0 THEN (user_id % 7) * 0.75 END AS ft FROM pl), k AS (SELECT *, CASE WHEN n_now = 0 THEN 'new' WHEN n_dis = n_future THEN 'add_disinfection' WHEN tier > tn THEN 'treatment_upgrade' WHEN flow > 0 AND ft > flow * 1.05 THEN 'system_expansion' ELSE 'rehabilitation' END AS kind FROM fl), m AS (SELECT *, CASE WHEN kind IN ('new', 'system_expansion') THEN ft ELSE flow END AS mgd FROM k), x AS (SELECT *, CASE WHEN coalesce(mgd, 0) <= 0 THEN 'no design flow' WHEN tier IS NULL AND kind <> 'add_disinfection' THEN 'unclassified system' ELSE '' END AS reason, CASE WHEN kind = 'add_disinfection' THEN CASE WHEN uv = 1 THEN 7.0 ELSE 3.0 END ELSE 10.0 * (tier + 1) END AS a, CASE WHEN kind = 'add_disinfection' THEN 1.0 ELSE 5.0 END AS b FROM m)"
+_NEEDS = f"e AS (SELECT DISTINCT user_id * 24 + hour(ts) AS user_id, event_type AS process, day(ts) <= 15 AS now FROM events), s AS (SELECT user_id, process, max(now::INT) AS now, max((NOT now)::INT) AS later FROM e GROUP BY 1, 2), pl AS (SELECT user_id, max(CASE WHEN now = 1 THEN {_TIER} END) AS tn, max({_TIER}) AS tier, count(*) FILTER (WHERE now = 1) AS n_now, count(*) FILTER (WHERE now = 0) AS n_future, count(*) FILTER (WHERE now = 0 AND process IN ('signup', 'error')) AS n_dis, max((now = 0 AND process = 'signup')::INT) AS uv FROM s GROUP BY 1 HAVING count(*) FILTER (WHERE now = 0) > 0), fl AS (SELECT *, CASE WHEN user_id % 5 = 0 THEN (user_id % 4)::DOUBLE ELSE (user_id % 6) * 0.75 END AS flow, CASE WHEN user_id % 5 <> 0 THEN (user_id % 7) * 0.75 END AS ft FROM pl), k AS (SELECT *, CASE WHEN n_now = 0 THEN 'new' WHEN n_dis = n_future THEN 'add_disinfection' WHEN tier > tn THEN 'treatment_upgrade' WHEN flow > 0 AND ft > flow * 1.05 THEN 'system_expansion' ELSE 'rehabilitation' END AS kind FROM fl), m AS (SELECT *, CASE WHEN kind IN ('new', 'system_expansion') THEN ft ELSE flow END AS mgd FROM k), x AS (SELECT *, CASE WHEN coalesce(mgd, 0) <= 0 THEN 'no design flow' WHEN tier IS NULL AND kind <> 'add_disinfection' THEN 'unclassified system' ELSE '' END AS reason, CASE WHEN kind = 'add_disinfection' THEN CASE WHEN uv = 1 THEN 7.0 ELSE 3.0 END ELSE 10.0 * (tier + 1) END AS a, CASE WHEN kind = 'add_disinfection' THEN 1.0 ELSE 5.0 END AS b FROM m)"
 
 
 def _costs(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").alias("d")).filter(f"d IN (DATE '{_NOW_DAY}', DATE '{_THEN_DAY}')")
+    e = table(spark, sf_dir, "events").select(_user_hour("user_id"), "event_type", F.dayofmonth("ts").alias("d"))
     leaf = F.create_map(*(F.lit(x) for kv in NEED_LEAF.items() for x in kv))
-    rows = e.select("user_id", leaf[F.col("event_type")].alias("process"), F.when(F.col("d") == _NOW_DAY, "PRESENT").otherwise("FUTURE").alias("status"))
+    rows = e.select("user_id", leaf[F.col("event_type")].alias("process"), F.when(F.col("d") <= 15, "PRESENT").otherwise("FUTURE").alias("status"))
     plans = needs.planned(rows, "user_id").withColumn("survey_id", F.col("user_id")).withColumn("facility_id", F.col("user_id"))
     users = e.select("user_id").distinct()
     six = users.filter("user_id % 5 <> 0").select(F.col("user_id").alias("survey_id"), ((F.col("user_id") % 6) * 0.75).cast("double").alias("flow"), ((F.col("user_id") % 7) * 0.75).cast("double").alias("flow_then"))
@@ -324,14 +330,15 @@ def needs_by_construction(spark, sf_dir):
     return needs.by_construction(_costs(spark, sf_dir)).select("construction_type", "facilities", F.round("cost", 4).alias("cost"))
 
 
-# Emissions: suppliers are facilities, return flags and line statuses their codes.
-_CODES = "co AS (SELECT DISTINCT l_suppkey AS k, l_returnflag AS code FROM lineitem WHERE l_linenumber = 7 AND l_suppkey % 3 <> 0), fa AS (SELECT s_suppkey AS k, CAST(s_suppkey % 120 AS DOUBLE) + 0.5 AS flow FROM supplier), tr AS (SELECT k, 'T1' AS train FROM co WHERE code = 'A' UNION SELECT a.k, 'T2' FROM co a JOIN co b ON a.k = b.k WHERE a.code = 'N' AND b.code = 'R')"
+# Emissions: suppliers are facilities; their codes are the return flags whose lines are larger than the supplier's mean.
+_CODES = "co AS (SELECT k, code FROM (SELECT l_suppkey AS k, l_returnflag AS code, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) QUALIFY q * sum(n) OVER (PARTITION BY k) > n * sum(q) OVER (PARTITION BY k)), fa AS (SELECT s_suppkey AS k, CAST(s_suppkey % 120 AS DOUBLE) + 0.5 AS flow FROM supplier), tr AS (SELECT k, 'T1' AS train FROM co WHERE code = 'A' UNION SELECT a.k, 'T2' FROM co a JOIN co b ON a.k = b.k WHERE a.code = 'N' AND b.code = 'R')"
 _FACTORS = "fx(train, gas, factor) AS (VALUES ('T1', 'N2O', 0.25), ('T1', 'elec', 40.0), ('T2', 'N2O', 0.05), ('T2', 'CH4', 0.5), ('T2', 'NG_up', 0.125))"
 
 
 def _trains(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 7 AND l_suppkey % 3 <> 0")
-    codes = li.select(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("code")).distinct()
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("code")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+    own = Window.partitionBy("k")  # a row per flag
+    codes = lines.withColumn("larger", F.col("q") * F.sum("n").over(own) > F.col("n") * F.sum("q").over(own)).filter("larger").select("k", "code")
     facilities = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), ((F.col("s_suppkey") % 120).cast("double") + 0.5).alias("flow"))
     requires = spark.createDataFrame([("T1", "A"), ("T2", "N"), ("T2", "R")], "train string, code string")
     return facilities, codes, requires, emissions.trains(codes, "k", requires)
