@@ -113,7 +113,7 @@ def fallback(facilities: DataFrame, key: str, rows: DataFrame, assigned: DataFra
     the commonest first, else from all, one on the same side of nitrification, no lagoon above the
     largest lagoon's flow, and of those rather one that requires a reported code."""
     binned_ = facilities.withColumn("bin", flow_bin(F.col("flow")))
-    known = assigned.join(binned_, key)
+    known = rel.saved(assigned.join(binned_, key))
     top = known.filter(F.col("train").isin(*LAGOON_TRAINS)).agg(F.max("flow")).first()[0]
     by_bin = ranked(known, "bin").select("bin", "train", "place", F.lit(0).alias("stage"))
     of_all = ranked(known.withColumn("bin", F.lit(None).cast("string")), "bin").select("train", "place", F.lit(1).alias("stage"))
@@ -121,7 +121,8 @@ def fallback(facilities: DataFrame, key: str, rows: DataFrame, assigned: DataFra
     reported = rows.filter(F.col("code").isin(*KEY_CODES))
     open_ = binned_.join(assigned.select(key).distinct(), key, "left_anti")
     open_ = open_.join(reported.filter(F.col("code").isin(*NITRIFYING)).select(key, F.lit(True).alias("nitrifies")).distinct(), key, "left").fillna(False, ["nitrifies"])
-    sided = lambda df: rel.small(df.join(rel.small(nitrifies), "train", "left").fillna(False, ["train_nitrifies"]).withColumnRenamed("train_nitrifies", "nitrifies"))
+    open_ = rel.saved(open_)
+    sided = lambda df: rel.small(rel.saved(df.join(nitrifies, "train", "left").fillna(False, ["train_nitrifies"]).withColumnRenamed("train_nitrifies", "nitrifies")))
     asked = open_.join(sided(by_bin), ["bin", "nitrifies"]).select(key, "flow", "train", "place", "stage")
     asked = asked.unionByName(open_.join(sided(of_all), "nitrifies").select(key, "flow", "train", "place", "stage"))
     if top is not None:
@@ -178,13 +179,13 @@ def source(statuses: DataFrame, link: DataFrame, leaf_codes: DataFrame, requires
     """The facilities (facility, flow) of one source and their trains (facility, train): codes of what is present,
     carried to ``link`` (place_id, facility, flow), with registers or a proxy for biogas, then trains and
     fallback."""
-    rows = codes(statuses, "place_id", leaf_codes).join(link.select("place_id", "facility"), "place_id").select("facility", "code").distinct()
+    rows = rel.saved(codes(statuses, "place_id", leaf_codes).join(link.select("place_id", "facility"), "place_id").select("facility", "code").distinct())
     if proxy:
         gas = rows.filter("code IN ('BIOGAS_CWNS', 'AND')").groupBy("facility").agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
         rows = rows.unionByName(gas.select("facility", F.lit("BIOGAS_EL").alias("code")))
     if registers:
         rows = external(rows, "facility", *registers)
-    rows = with_flags(rows, "facility")
+    rows = rel.saved(with_flags(rows, "facility"))  # trains and the fallback read it several times
     facilities = link.join(statuses.select("place_id").distinct(), "place_id", "left_semi").select("facility", "flow").distinct()
-    assigned = trains(rows, "facility", requires)
+    assigned = rel.saved(trains(rows, "facility", requires))
     return facilities, assigned.unionByName(fallback(facilities, "facility", rows, assigned, requires))

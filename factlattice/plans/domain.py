@@ -579,4 +579,4 @@ def preferred_row(spark, sf_dir):
     return best.join(s.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n")), "s_nationkey").select("s_nationkey", "s_name", "n")
 
 
-from . import places, registered, stateful  # noqa: E402, F401  (they register their queries)
+from . import places, registered, sites, stateful  # noqa: E402, F401  (they register their queries)
