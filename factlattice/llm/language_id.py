@@ -47,10 +47,10 @@ _CLASS = _classes()
 
 
 def _codes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte classes of the texts, one separator before each and one after all; where texts begin."""
-    joined = b" ".join([b"", *[t or b"" for t in texts], b""])
+    """Byte classes of the texts, two separators before each and after all, so that none is another's context; where texts begin."""
+    joined = b"  ".join([b"", *[t or b"" for t in texts], b""])
     lengths = np.fromiter((len(t) if t else 0 for t in texts), dtype=np.int64, count=len(texts))
-    return _CLASS[np.frombuffer(joined, dtype=np.uint8)], np.concatenate([[1], 1 + np.cumsum(lengths + 1)])
+    return _CLASS[np.frombuffer(joined, dtype=np.uint8)], np.concatenate([[2], 2 + np.cumsum(lengths + 2)])
 
 
 def _trigrams(codes: np.ndarray) -> np.ndarray:
