@@ -110,6 +110,34 @@ def inside(points: DataFrame, ranges: DataFrame, on: Sequence[str], at: str, low
     return met.drop("__level", "__bucket")
 
 
+def totals_inside(points: DataFrame, ranges: DataFrame, on: Sequence[str], at: str, low: str, high: str, by: Sequence[str], totals: dict) -> DataFrame:
+    """``by`` (columns of ``ranges``) and totals of the rows of ``points`` of the same key whose ``at`` is in [low, high), for those
+    that hold any; all three are whole numbers. ``totals``: name -> (aggregate of points, aggregate that merges its
+    parts). Points are summed up to blocks of 1, 2, 4, ... places before they meet a range, and a range takes the
+    at most two blocks of each size that it is made of: no pair of a point and a range is formed, however many
+    overlap, and nothing is subtracted."""
+    from_, to = F.col(low).cast("long"), F.col(high).cast("long")
+    longest = ranges.agg(F.max(to - from_)).first()[0] or 0
+    sizes = range(max(longest, 0).bit_length())
+    merged = [merge(name).alias(name) for name, (_, merge) in totals.items()]
+    places = points.filter(F.col(at).isNotNull()).groupBy(*on, F.col(at).cast("long").alias("__place")).agg(*(made.alias(name) for name, (made, _) in totals.items()))
+    block = F.explode(F.array(*(F.struct(F.lit(j).alias("__size"), F.shiftright("__place", j).alias("__block")) for j in sizes)).cast("array<struct<__size:int,__block:bigint>>"))
+    summed = places.select(*on, *totals, block.alias("__b")).select(*on, "__b.*", *totals).groupBy(*on, "__size", "__block").agg(*merged)
+    asked = ranges.select(*dict.fromkeys([*on, *by]), F.explode(_blocks(from_, to, sizes)).alias("__b")).select("*", "__b.*").drop("__b")
+    return asked.join(summed, [*on, "__size", "__block"]).groupBy(*by).agg(*merged)
+
+
+def _blocks(low: Column, high: Column, sizes: Sequence[int]) -> Column:
+    """The aligned blocks (size as a power of two, number) that [low, high) is made of."""
+    each = []
+    for j in sizes:
+        first, end = F.shiftright(low + F.lit((1 << j) - 1), j), F.shiftright(high, j)
+        odd = lambda c: F.pmod(c, F.lit(2)) == 1
+        for number, here in ((first, odd(first)), (end - 1, odd(end))):
+            each.append(F.when((first < end) & here, F.struct(F.lit(j).alias("__size"), number.alias("__block"))))
+    return F.array_compact(F.array(*each).cast("array<struct<__size:int,__block:bigint>>"))
+
+
 def blank_last(*columns: str) -> list[Column]:
     """Sort keys: lower-cased, blank and NULL after all others."""
     return [k for c in columns for k in (F.coalesce(F.trim(c) == "", F.lit(True)).asc(), F.lower(c).asc())]

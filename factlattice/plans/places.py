@@ -125,12 +125,12 @@ def latest_purchase(spark, sf_dir):
 @query("""SELECT o.o_orderkey, count(*) AS n, sum(l_quantity) AS quantity, min(date_diff('day', DATE '1970-01-01', l_shipdate::DATE)) AS first_day FROM orders o JOIN lineitem l
   ON l_linenumber = o_orderkey % 7 + 1 AND l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + to_days((o_orderkey * 7 % 40 + 1)::INTEGER) GROUP BY 1""")
 def shipped_in_window(spark, sf_dir):
-    """Each order's span of 1 to 40 days with the lines shipped in it: as many overlapping ranges as orders."""
+    """Each order's span of 1 to 40 days with totals of the lines shipped in it: as many overlapping ranges as orders."""
     days = lambda c: F.unix_date(F.col(c).cast("date"))
     spans = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 7 + 1).cast("int").alias("l_linenumber"), days("o_orderdate").alias("low"), (days("o_orderdate") + F.col("o_orderkey") * 7 % 40 + 1).alias("high"))
     lines = table(spark, sf_dir, "lineitem").select("l_linenumber", days("l_shipdate").alias("at"), "l_quantity")
-    met = rel.inside(lines, spans, ["l_linenumber"], "at", "low", "high", 7.0)
-    return met.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.min("at").cast("long").alias("first_day"))
+    totals = {"n": (F.count(F.lit(1)), F.sum), "quantity": (F.sum("l_quantity"), F.sum), "first_day": (F.min("at").cast("long"), F.min)}
+    return rel.totals_inside(lines, spans, ["l_linenumber"], "at", "low", "high", ["o_orderkey"], totals)
 
 
 #: Rules over a hierarchy of three levels (nation, region, world), with what regions do by themselves, and exclusions.

@@ -49,3 +49,29 @@ def test_containment_by_brute_force(spark):
     want = {(i, j) for i, t in left for j, u in right if t is not None and u is not None and (t in u or u in t)}
     assert len(got) == len(set(got)) and set(got) == want
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_totals_inside_ranges_by_brute_force(spark):
+    rng = random.Random(5)
+    points = [(rng.choice([1, 2, None]), rng.choice([None, *range(-40, 40)]), float(rng.randint(0, 9))) for _ in range(300)]
+    ranges = [(i // 2, rng.choice([1, 2, 3, None]), low, None if i == 7 else low + rng.choice([-3, 0, 1, 2, 7, 8, 33, 70])) for i, low in enumerate(rng.randint(-45, 45) for _ in range(120))]
+    p, r = spark.createDataFrame(points, "k int, at int, v double"), spark.createDataFrame(ranges, "id int, k int, low int, high int")
+    totals = {"n": (F.count(F.lit(1)), F.sum), "v": (F.sum("v"), F.sum), "first": (F.min("at"), F.min)}
+    got = {row.id: (row.n, row.v, row.first) for row in rel.totals_inside(p, r, ["k"], "at", "low", "high", ["id"], totals).collect()}
+    want = {}
+    for i, k, low, high in ranges:
+        for kp, at, v in points:
+            if high is not None and at is not None and k is not None and k == kp and low <= at < high:
+                n, total, first = want.get(i, (0, 0.0, at))
+                want[i] = (n + 1, total + v, min(first, at))
+    assert got == want
+    assert rel.totals_inside(p, r.limit(0), ["k"], "at", "low", "high", ["id"], totals).count() == 0
+
+
+def test_totals_inside_forms_no_pairs(spark):
+    """20,000 points and as many ranges over the same places: 400 million pairs, but few blocks."""
+    same = spark.range(20_000)
+    p, r = same.select(F.lit(1).alias("k"), (F.col("id") % 40).alias("at")), same.select("id", F.lit(1).alias("k"), F.lit(0).alias("low"), F.lit(40).alias("high"))
+    out = rel.totals_inside(p, r, ["k"], "at", "low", "high", ["id"], {"n": (F.count(F.lit(1)), F.sum)})
+    assert out.agg(F.count(F.lit(1)), F.sum("n")).first()[:] == (20_000, 400_000_000)
+    assert [tuple(b) for b in r.limit(1).select(F.explode(rel._blocks(F.col("low").cast("long"), F.col("high").cast("long"), range(6))).alias("b")).select("b.*").collect()] == [(3, 4), (5, 0)]
