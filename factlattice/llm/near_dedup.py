@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, shingles
@@ -186,6 +186,13 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.mapInArrow(_verifier(k, percent), "a long, b long")
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b) with the same components: of the neighbours of a the smallest stands for it and for the others.
+    An a has at most one b a band, so no window is large; a family whose members meet the same few b becomes a star."""
+    first = F.min("b").over(Window.partitionBy("a"))
+    return edges.groupBy("a").agg(F.min("b").alias("b")).union(edges.select(F.col("b").alias("a"), first.alias("b")).filter("a <> b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node that each node of the edges (a, b) reaches."""
     both = common.cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "near-graph")
@@ -241,12 +248,15 @@ def _decided(docs: DataFrame, key: str, k: int = 5, percent: int = 80, n_bands:
             pairs = x.join(common.small(hub, hub.count()), "key").filter((F.col("cx") != F.col("cy")) & may)
         else:  # the pairs of different components that are left
             pairs = _rest(open_, rest, percent)
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = pairs.groupBy(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.min("x").alias("a"))
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.cut(pairs, "near-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
+            pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
+        pairs = common.cut(pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), "near-pairs")
+        met = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+        tested = met if tested is None else tested.union(met)
         edges = common.cut(verified(pairs, docs, k, percent), "near-links")
+        if r < rounds:
+            edges = _stars(edges)
         if label is not None:
             comp = label.select("node", "label")
             edges = (

@@ -633,3 +633,11 @@ def test_page_text_of_deep_and_empty_and_repeated_pages(spark):
     got = sorted((r.page_id or 0, r.text) for r in page_text.texts_of(d).collect())
     assert [i for i, _ in got] == [0, 1, 2, 2, 3] and got[2] == got[3] == (2, PROSE.strip()) and got[4] == (3, "")
     assert page_text.texts_of(d.limit(0)).count() == 0
+
+
+def test_near_dedup_links_of_a_family_become_stars(spark):
+    """Members linked with several of the same few others: as many edges as members, not members times others."""
+    links = spark.createDataFrame([(i, h) for i in range(100, 1100) for h in range(20) if (i + h) % 3] + [(5000, 5001), (5001, 5002)], "a long, b long")
+    few = near_dedup._stars(links)
+    assert few.count() < 1100 and few.filter("a = b").count() == 0
+    assert sorted(near_dedup.components(few).collect()) == sorted(near_dedup.components(links).collect())
