@@ -348,31 +348,32 @@ def reranked(found: DataFrame, second: Column, k: int) -> DataFrame:
     return again.withColumn("first_rank", F.col("rank")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def containing(df: DataFrame, key: str, text: str, other: DataFrame, other_key: str, other_text: str) -> DataFrame:
-    """Pairs (key, other_key) where either text contains the other. Ids alone are joined: a text of three characters or
+def containing(df: DataFrame, key: str, text: str, other: DataFrame, other_key: str, other_text: str, on: Sequence[str] = ()) -> DataFrame:
+    """Pairs (key, other_key) where either text contains the other, of rows alike in the columns ``on`` (not NULL). Ids alone are joined: a text of three characters or
     more by the trigram of it that fewest of the longer texts hold, a shorter one by itself, as one of the longer
     ones' pieces of its length. Texts are fetched for these candidates alone, and compared."""
-    a, b = (d.select(F.col(k).alias("k"), F.col(t).alias("t")).filter("t IS NOT NULL") for d, k, t in ((df, key, text), (other, other_key, other_text)))
+    group = F.struct(*on) if on else F.lit(0)
+    a, b = (d.na.drop(subset=[*on, t]).select(F.col(k).alias("k"), F.col(t).alias("t"), group.alias("w")) for d, k, t in ((df, key, text), (other, other_key, other_text)))
     one = _contained(a, b).toDF(key, other_key)
     return one.unionByName(_contained(b, a).toDF(other_key, key)).distinct()
 
 
 def _pieces(df: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """k, g: the distinct pieces of the given lengths of each text; the ids stand beside them, not the texts."""
+    """k, w, g: the distinct pieces of the given lengths of each text; the ids stand beside them, not the texts."""
     each = [F.expr(f"transform(sequence(1, greatest(char_length(t) - {n - 1}, 1)), i -> substring(t, i, {n}))") if n else F.array(F.lit("")) for n in sizes]
-    return df.select("k", F.explode(F.array_distinct(F.flatten(F.array(*each)))).alias("g"))
+    return df.select("k", "w", F.explode(F.array_distinct(F.flatten(F.array(*each)))).alias("g"))
 
 
 def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
     tiny = short.filter(F.char_length("t") < 3)
     sizes = [r[0] for r in tiny.select(F.char_length("t")).distinct().collect()]  # at most three numbers
     held = _pieces(long, [3])
-    often = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    often = held.groupBy("w", "g").agg(F.count(F.lit(1)).alias("n"))
     own = _pieces(short.filter(F.char_length("t") >= 3), [3])
-    rarest = own.join(often, "g", "left").groupBy("k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m"))
-    asked = rarest.filter("m.n > 0").select(F.col("k").alias("s"), F.col("m.g").alias("g"))
-    pairs = asked.join(held.withColumnRenamed("k", "l"), "g").select("s", "l")
+    rarest = own.join(often, ["w", "g"], "left").groupBy("k", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m"))
+    asked = rarest.filter("m.n > 0").select(F.col("k").alias("s"), "w", F.col("m.g").alias("g"))
+    pairs = asked.join(held.withColumnRenamed("k", "l"), ["w", "g"]).select("s", "l")
     if sizes:
-        pairs = pairs.unionByName(tiny.select(F.col("k").alias("s"), F.col("t").alias("g")).join(_pieces(long, sizes).withColumnRenamed("k", "l"), "g").select("s", "l"))
+        pairs = pairs.unionByName(tiny.select(F.col("k").alias("s"), "w", F.col("t").alias("g")).join(_pieces(long, sizes).withColumnRenamed("k", "l"), ["w", "g"]).select("s", "l"))
     texts = pairs.distinct().join(short.select(F.col("k").alias("s"), F.col("t").alias("ts")), "s").join(long.select(F.col("k").alias("l"), F.col("t").alias("tl")), "l")
     return texts.filter(F.contains("tl", F.col("ts"))).select("s", "l").distinct()

@@ -103,11 +103,15 @@ def priority_coalesce_lookup(spark, sf_dir):
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND (contains(a.p_name, b.p_name) OR contains(b.p_name, a.p_name))")
 def containment_join(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    a = p.select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.col("p_name").alias("na"))
-    b = p.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("p_name").alias("nb"))
-    within = F.contains("na", "nb") | F.contains("nb", "na")
-    return a.join(b, ["p_brand", "p_size"]).filter((F.col("a") < F.col("b")) & within).select("a", "b")
+    """Names are compared once per brand and size, however many parts have them; parts meet by equality."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_name")
+    of = ["p_brand", "p_size", "p_name"]
+    names = rel.saved(p.na.drop(subset=of).select(*of).distinct().withColumn("x", F.monotonically_increasing_id()))
+    near = rel.saved(rel.containing(names, "x", "p_name", names.withColumnRenamed("x", "y"), "y", "p_name", ["p_brand", "p_size"]))
+    near = near.join(names.select("x", *of), "x").join(names.select(F.col("x").alias("y"), F.col("p_name").alias("other")), "y").select(*of, "other")
+    a = p.select(F.col("p_partkey").alias("a"), *of)
+    b = p.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("p_name").alias("other"))
+    return a.join(near, of).join(b, ["p_brand", "p_size", "other"]).filter("a < b").select("a", "b")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey) AS rn FROM orders WHERE o_orderdate <= TIMESTAMP '1997-01-01') WHERE rn = 1")
