@@ -269,18 +269,64 @@ def budgeted(df: DataFrame, key: str, rank: str, order: str, size: str, max_rows
     return run.filter((F.col("__n") <= max_rows) & (F.col("__s") <= max_size)).select(*names)
 
 
-def quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
-    """The exact quantile per key, between two values in proportion. Equal values are counted first and summed
-    up by key and value, so no task holds a key's values; it streams over the distinct ones."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    run = counted.withColumn("__to", F.sum("__n").over(upto))
-    total = run.groupBy(*keys).agg(F.max("__to").alias("__all"))
-    at = (F.col("__all") - 1) * F.lit(float(q))
-    both = run.join(total, list(keys)).withColumn("__lo", F.floor(at)).withColumn("__hi", F.ceil(at)).withColumn("__part", at - F.floor(at))
-    holds = lambda i: F.max(F.when((F.col(i) >= F.col("__to") - F.col("__n")) & (F.col(i) < F.col("__to")), F.col("__v")))
-    out = both.groupBy(*keys, "__part").agg(holds("__lo").alias("__a"), holds("__hi").alias("__b"))
-    return out.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")).alias(name))
+#: How far around the asked place the values are counted one by one, as a share of a key's rows; the last takes all.
+SPANS = (0.002, 0.05, 1.0)
+
+
+def quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, between: bool = True, spans: DataFrame | None = None) -> DataFrame:
+    """The exact quantile per key, between two values in proportion, or else the first value that a share of ``q`` of the rows
+    doesn't pass. A sketch of fixed size gives each key a span of values around the place; rows outside of it are
+    only counted, equal values in it are counted and summed up, so no task holds or sorts a key's values. Whether the
+    place lies in the span follows from the counts, so the result doesn't depend on the sketch's error: a key
+    outside of its span is asked again with a wider one. ``spans``: keys, __a, __b of the first round, if known."""
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    found = None
+    for width in SPANS:
+        edges = F.percentile_approx("__v", [max(q - width, 0.0), min(q + width, 1.0)], 10_000)
+        a, b = (edges[0], edges[1]) if width < 1 else (F.min("__v"), F.max("__v"))
+        if spans is None:
+            spans = saved(rows.groupBy(*keys).agg(a.alias("__a"), b.alias("__b")))
+        out = saved(_at_place(rows, keys, q, between, spans))
+        good = out.filter("__x IS NOT NULL AND __y IS NOT NULL")
+        found = good if found is None else found.unionByName(good)
+        left = out.filter("__x IS NULL OR __y IS NULL").select(*keys)
+        if not left.limit(1).count():
+            break
+        rows, spans = rows.alias("r").join(small(left.alias("l")), _same(keys, "r", "l"), "left_semi"), None
+    return found.select(*keys, (F.col("__x") + (F.col("__y") - F.col("__x")) * F.col("__part") if between else F.col("__x")).alias(name))
+
+
+def _same(keys: Sequence[str], one: str, other: str) -> Column:
+    """Whether the keys of two named tables are equal; NULL is equal to NULL."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{one}.{k}").eqNullSafe(F.col(f"{other}.{k}"))
+    return out
+
+
+def _counted(rows: DataFrame, keys: Sequence[str], spans: DataFrame) -> DataFrame:
+    """keys, __zone (below, in or above the span), __w (each value in it), __n, __least, __most."""
+    zone = F.when(F.col("__v") < F.col("__a"), -1).when(F.col("__v") > F.col("__b"), 1).otherwise(0)
+    placed = rows.alias("r").join(small(spans).alias("s"), _same(keys, "r", "s")).select(*(f"r.{k}" for k in keys), "__v", zone.alias("__zone"))
+    return placed.groupBy(*keys, "__zone", F.when(F.col("__zone") == 0, F.col("__v")).alias("__w")).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+
+
+def _at_place(rows: DataFrame, keys: Sequence[str], q: float, between: bool, spans: DataFrame) -> DataFrame:
+    """keys, __x, __y, __part: the values on both sides of the place, NULL where they aren't in the span or next to it."""
+    counted = _counted(rows, keys, spans)
+    by = Window.partitionBy(*keys)
+    upto = by.orderBy("__zone", "__w").rowsBetween(Window.unboundedPreceding, 0)
+    run = counted.withColumn("__to", F.sum("__n").over(upto)).withColumn("__all", F.sum("__n").over(by))
+    at = (F.col("__all") - 1) * F.lit(float(q)) if between else F.greatest(F.ceil(F.col("__all") * F.lit(float(q))) - 1, F.lit(0)).cast("double")
+    run = run.withColumn("__lo", F.floor(at)).withColumn("__hi", F.ceil(at)).withColumn("__part", at - F.floor(at))
+
+    def holds(i):  # the first row above a span and the last one below are known too
+        first = F.col("__to") - F.col("__n")
+        inside = (F.col("__zone") == 0) & (F.col(i) >= first) & (F.col(i) < F.col("__to"))
+        edge = F.when(inside, F.col("__w")).when((F.col("__zone") == 1) & (F.col(i) == first), F.col("__least"))
+        return F.max(edge.when((F.col("__zone") == -1) & (F.col(i) == F.col("__to") - 1), F.col("__most")))
+
+    return run.groupBy(*keys, "__part").agg(holds("__lo").alias("__x"), holds("__hi").alias("__y"))
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1_000) -> DataFrame:

@@ -98,3 +98,28 @@ def test_containment_join_with_many_parts_of_a_name(spark, tmp_path):
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert "contains(" not in out._jdf.queryExecution().optimizedPlan().toString().lower()  # no pair of parts is tested
+
+
+def test_quantile_by_brute_force(spark):
+    """Ties, one row, NULL keys and values, places at both ends, and spans that lie beside the place."""
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *map(float, range(-5, 5)), rng.random()])) for _ in range(400)] + [("one", 4.0), ("none", None)] + [("many", float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    values = {k: sorted(v for key, v in rows if key == k and v is not None) for k in {k for k, _ in rows}}
+    beside = spark.createDataFrame([(k, -2.0, -1.0) for k in values], "k string, __a double, __b double")
+    for q, spans in ((0.0, None), (0.25, None), (0.5, beside), (1.0, None)):
+        got = {r.k: r.q for r in rel.quantile(df, ["k"], "v", q, "q", spans=spans).collect()}
+        disc = {r.k: r.q for r in rel.quantile(df, ["k"], "v", q, "q", between=False, spans=spans).collect()}
+        assert got.keys() == disc.keys() == {"a", "b", None, "one", "many"}
+        for k, v in values.items():
+            if v:
+                at = (len(v) - 1) * q
+                lo, hi = v[math.floor(at)], v[math.ceil(at)]
+                assert math.isclose(got[k], lo + (hi - lo) * (at - math.floor(at)), abs_tol=1e-12) and disc[k] == v[max(math.ceil(len(v) * q) - 1, 0)]
+
+
+def test_quantile_counts_few_values_one_by_one(spark):
+    df = spark.range(100_000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"))
+    spans = df.groupBy("k").agg(F.percentile_approx("v", [0.498, 0.502], 10_000).alias("e")).select("k", F.col("e")[0].alias("__a"), F.col("e")[1].alias("__b"))
+    counted = rel._counted(df.withColumnRenamed("v", "__v"), ["k"], spans)
+    assert counted.count() < 1000 and counted.agg(F.sum("__n")).first()[0] == 100_000
