@@ -329,10 +329,15 @@ def _at_place(rows: DataFrame, keys: Sequence[str], q: float, between: bool, spa
     return run.groupBy(*keys, "__part").agg(holds("__lo").alias("__x"), holds("__hi").alias("__y"))
 
 
+#: Scores that a worker of ``nearest`` holds at a time.
+CELLS = 1 << 20
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1_000) -> DataFrame:
     """query_id, rank, row_id, score: the k rows of the largest cosine with each query, by looking at all. Queries
     (id, vec) are a stated set; they are sent to the rows in blocks of some ``block``, so what is broadcast is
-    bounded. Each task keeps the best k of a query among its rows, and only these are shuffled. Vectors that are null,
+    bounded. Each task keeps the best k of a query among its rows, of which it looks at ``CELLS`` / ``block`` at a time,
+    and only these are shuffled. Vectors that are null,
     zero or hold null or non-finite numbers take no part."""
     blocks = max(1, -(-queries.count() // block))
     kind = rows.schema["id"].dataType.simpleString()
@@ -368,20 +373,27 @@ def _best_rows(sent, k: int):
         unit, ids = sent.value
         best = None
         for batch in batches:
-            mine, good = _unit(batch.vec)
-            if not len(ids) or not len(mine) or mine.shape[1] != unit.shape[1]:
-                continue
-            row_ids = batch.row_id[good].to_numpy()
-            score = unit @ mine.T
-            score[ids[:, None] == row_ids[None, :]] = -np.inf
-            few = min(k, len(row_ids))
-            edge = np.partition(score, len(row_ids) - few, axis=1)[:, len(row_ids) - few]
-            q, r = np.nonzero((score >= edge[:, None]) & np.isfinite(score))  # ties at the edge stay
-            found = pd.DataFrame({"query_id": ids[q], "row_id": row_ids[r], "score": score[q, r]})
-            best = found if best is None else pd.concat([best, found])
-            best = best.sort_values(["query_id", "score", "row_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+            step = max(1, CELLS // max(1, len(ids)))
+            for some in (batch.iloc[i : i + step] for i in range(0, len(batch), step)):
+                mine, good = _unit(some.vec)
+                if not len(ids) or not len(mine) or mine.shape[1] != unit.shape[1]:
+                    continue
+                row_ids = some.row_id[good].to_numpy()
+                score = unit @ mine.T
+                score[ids[:, None] == row_ids[None, :]] = -np.inf
+                few = min(k, len(row_ids))
+                edge = np.partition(score, len(row_ids) - few, axis=1)[:, len(row_ids) - few]
+                if best is not None:  # below what the query has k of already
+                    edge = np.maximum(edge, floor)
+                q, r = np.nonzero((score >= edge[:, None]) & np.isfinite(score))  # ties at the edge stay
+                found = pd.DataFrame({"at": q, "query_id": ids[q], "row_id": row_ids[r], "score": score[q, r]})
+                best = found if best is None else pd.concat([best, found])
+                best = best.sort_values(["at", "score", "row_id"], ascending=[True, False, True]).groupby("at").head(k)
+                held, floor = best.groupby("at").score.agg(["size", "min"]), np.full(len(ids), -np.inf)
+                held = held[held["size"] >= k]
+                floor[held.index] = held["min"]
         if best is not None:
-            yield best
+            yield best.drop(columns="at")
 
     return run
 

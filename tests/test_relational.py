@@ -123,3 +123,26 @@ def test_quantile_counts_few_values_one_by_one(spark):
     spans = df.groupBy("k").agg(F.percentile_approx("v", [0.498, 0.502], 10_000).alias("e")).select("k", F.col("e")[0].alias("__a"), F.col("e")[1].alias("__b"))
     counted = rel._counted(df.withColumnRenamed("v", "__v"), ["k"], spans)
     assert counted.count() < 1000 and counted.agg(F.sum("__n")).first()[0] == 100_000
+
+
+def test_nearest_looks_at_few_scores_at_a_time():
+    """A worker's memory doesn't grow with a batch: 1,000 queries against one batch of 10,000 rows."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    made = np.random.default_rng(1).integers(-3, 4, (10_000, 8)).astype(float)
+    made[:, 0] = 1.0
+    unit, good = rel._unit(list(made))
+    batch = pd.DataFrame({"row_id": np.arange(10_000), "vec": list(made)})
+    tracemalloc.start()
+    (got,) = rel._best_rows(SimpleNamespace(value=(unit[:1000], np.arange(1000))), 5)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert good.all() and len(got) == 5000 and peak < 60e6
+    for q in (0, 17, 999):
+        score = np.round(unit[q] @ unit.T, 12)
+        score[q] = -np.inf
+        assert np.allclose(got[got.query_id == q].score, np.sort(score)[::-1][:5])
