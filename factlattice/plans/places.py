@@ -77,17 +77,17 @@ _HEAD = "coalesce(" + ", ".join(_NEAR.format(v=_BACK.format(at=at, kind=kind)) f
 _PARA_END = f"(SELECT min(h.s) + 2 FROM para h WHERE h.doc_id = m.doc_id AND h.s >= m.e AND h.s + 2 <= least(m.e + {_R.trail}, m.size))"
 
 
-def _places(spark, sf_dir):
-    """The documents' paragraphs end with a full stop and a line end."""
+def _places(spark, sf_dir, *asked: str):
+    """The documents and their places of the kinds asked for. Paragraphs end with a full stop and a line end."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kinds = {"terms": RULES.terms, "dots": passages.DOTS, "strong": RULES.strong, "cues": RULES.cues, "boilerplate": RULES.boilerplate, "stop": RULES.stop, "changes": RULES.changes, "numbered": passages.NUMBERED, "paragraph": "[.]\n", "line": passages.LINE}
-    return docs, rel.saved(passages.occurrences(docs, "doc_id", "text", kinds))
+    return docs, rel.saved(passages.occurrences(docs, "doc_id", "text", {k: kinds[k] for k in asked}))
 
 
 @query(f'WITH {_SPANS} SELECT doc_id, {_HEAD} AS head, m.s AS start, least(coalesce({_PARA_END}, least(m.e + {_R.trail}, m.size)), m.stop) AS "end" FROM merged m')
 def described_passages(spark, sf_dir):
     """Where documents describe: runs chosen, anchored, merged, and drawn out to headers and paragraph ends."""
-    docs, places = _places(spark, sf_dir)
+    docs, places = _places(spark, sf_dir, "terms", "dots", "strong", "cues", "boilerplate", "stop", "numbered", "paragraph", "line")
     sizes = docs.filter("text IS NOT NULL").select("doc_id", F.char_length("text").alias("size"))
     scored = passages.described(passages.runs(places.filter("kind = 'terms'"), "doc_id", RULES.gap), places, sizes, "doc_id", RULES)
     found = passages.spans(scored, places, sizes.select("doc_id", F.lit(False).alias("many")), "doc_id", RULES)
@@ -104,7 +104,7 @@ def described_passages(spark, sf_dir):
   SELECT doc_id, s AS start, coalesce({_PARA_END}, least(m.e + {_R.trail}, m.size)) AS "end", phrase FROM m""")
 def change_parts(spark, sf_dir):
     """Where documents speak of planned changes, and how far."""
-    docs, places = _places(spark, sf_dir)
+    docs, places = _places(spark, sf_dir, "terms", "changes", "paragraph")
     sizes = docs.filter("text IS NOT NULL").select("doc_id", F.char_length("text").alias("size"))
     parts = passages.changes(passages.change_starts(places, "doc_id", docs, RULES), places, "doc_id", sizes, RULES)
     return parts.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("match").alias("phrase"))

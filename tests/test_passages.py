@@ -103,3 +103,10 @@ def test_intervals_by_brute_force(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert rel.inside(spark.createDataFrame(points, "k string, at int, p int"), spark.createDataFrame([], "k string, low int, high int, r int"), ["k"], "at", "low", "high").count() == 0
+
+
+def test_queries_look_for_the_kinds_they_use(spark, sf_dir):
+    from factlattice.plans import places
+
+    kinds = {r.kind for r in places._places(spark, sf_dir, "terms", "changes", "paragraph")[1].select("kind").distinct().collect()}
+    assert "terms" in kinds and kinds <= {"terms", "changes", "paragraph"}
