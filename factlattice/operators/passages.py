@@ -41,6 +41,8 @@ REGULATION = r"(?i)applicable plans,?\s+policies|other plans,?\s+policies\s+and\
 CHANGES = r"(?i)planned\s+changes|planned\s+upgrade|proposed\s+upgrade"
 #: Document types that are searched whole; of others the fact sheet is.
 WHOLE_TYPES = ("ENROLLEE - NPDES", "ENROLLEE - WDR", "WDR", "INDIVIDUAL MONITORING REQUIREM")
+#: Set around matches, so that one search gives them and what lies between; a text that has it is searched twice.
+MARK = "\ue000"
 HEAD, LEAST_PAGE, PAGES_BACK, CONTENTS = 2500, 10, 2, 20_000
 
 
@@ -112,8 +114,11 @@ def occurrences(docs: DataFrame, key: str, text: str, patterns: dict[str, str])
     """key, kind, start, end, match: the matches of each pattern (none may be empty), leftmost first, in one pass."""
     each = []
     for kind, p in patterns.items():
-        zipped = F.arrays_zip(F.split(F.col(text), p, -1).alias("gap"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("match"))
-        each.append(_entries(zipped, kind))
+        apart = F.arrays_zip(F.split(F.col(text), p, -1).alias("gap"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("match"))
+        parts = F.split(F.regexp_replace(F.col(text), F.lit(p), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+        every = lambda ps, n: F.filter(ps, lambda _, i: i % 2 == n)
+        once = F.transform(F.array(parts), lambda ps: F.arrays_zip(every(ps, 0).alias("gap"), every(ps, 1).alias("match")))[0]
+        each.append(_entries(F.when(F.contains(F.col(text), F.lit(MARK)), apart).otherwise(once), kind))
     rows = docs.filter(F.col(text).isNotNull()).select(key, F.explode(F.flatten(F.array(*each))).alias("e")).select(key, "e.*")
     so_far = Window.partitionBy(key, "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.char_length("match")).over(so_far).cast("int"))

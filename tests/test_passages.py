@@ -110,3 +110,13 @@ def test_queries_look_for_the_kinds_they_use(spark, sf_dir):
 
     kinds = {r.kind for r in places._places(spark, sf_dir, "terms", "changes", "paragraph")[1].select("kind").distinct().collect()}
     assert "terms" in kinds and kinds <= {"terms", "changes", "paragraph"}
+
+
+def test_places_where_texts_hold_the_mark(spark):
+    """Matches at both ends, side by side, beyond the basic plane, none at all, and in texts that hold the mark itself."""
+    import re
+
+    texts = ["", "x", "aba", "aa", "\U0001f600ab\U0001f600b", f"a{passages.MARK}b", f"{passages.MARK}$0a", "a\\$1b", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {(r.k, r.kind, r.start, r.end, r.match) for r in passages.occurrences(docs, "k", "t", {"one": "a", "two": "(b)|x"}).collect()}
+    assert got == {(k, kind, m.start(), m.end(), m[0]) for k, t in enumerate(texts) if t for kind, p in (("one", "a"), ("two", "b|x")) for m in re.finditer(p, t)}
