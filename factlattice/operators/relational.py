@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -406,12 +407,17 @@ def reranked(found: DataFrame, second: Column, k: int) -> DataFrame:
     return again.withColumn("first_rank", F.col("rank")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without NULL in the columns. (``na.drop`` drops NaN too, which equals itself in a join.)"""
+    return df.filter(reduce(Column.__and__, (F.col(c).isNotNull() for c in columns)))
+
+
 def containing(df: DataFrame, key: str, text: str, other: DataFrame, other_key: str, other_text: str, on: Sequence[str] = ()) -> DataFrame:
     """Pairs (key, other_key) where either text contains the other, of rows alike in the columns ``on`` (not NULL). Ids alone are joined: a text of three characters or
     more by the trigram of it that fewest of the longer texts hold, a shorter one by itself, as one of the longer
     ones' pieces of its length. Texts are fetched for these candidates alone, and compared."""
     group = F.struct(*on) if on else F.lit(0)
-    a, b = (d.na.drop(subset=[*on, t]).select(F.col(k).alias("k"), F.col(t).alias("t"), group.alias("w")) for d, k, t in ((df, key, text), (other, other_key, other_text)))
+    a, b = (present(d, [*on, t]).select(F.col(k).alias("k"), F.col(t).alias("t"), group.alias("w")) for d, k, t in ((df, key, text), (other, other_key, other_text)))
     one = _contained(a, b).toDF(key, other_key)
     return one.unionByName(_contained(b, a).toDF(other_key, key)).distinct()
 

@@ -106,7 +106,7 @@ def containment_join(spark, sf_dir):
     """Names are compared once per brand and size, however many parts have them; parts meet by equality."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_name")
     of = ["p_brand", "p_size", "p_name"]
-    names = rel.saved(p.na.drop(subset=of).select(*of).distinct().withColumn("x", F.monotonically_increasing_id()))
+    names = rel.saved(rel.present(p, of).select(*of).distinct().withColumn("x", F.monotonically_increasing_id()))
     near = rel.saved(rel.containing(names, "x", "p_name", names.withColumnRenamed("x", "y"), "y", "p_name", ["p_brand", "p_size"]))
     near = near.join(names.select("x", *of), "x").join(names.select(F.col("x").alias("y"), F.col("p_name").alias("other")), "y").select(*of, "other")
     a = p.select(F.col("p_partkey").alias("a"), *of)

@@ -100,6 +100,22 @@ def test_containment_join_with_many_parts_of_a_name(spark, tmp_path):
     assert "contains(" not in out._jdf.queryExecution().optimizedPlan().toString().lower()  # no pair of parts is tested
 
 
+def test_containment_join_with_sizes_that_are_no_numbers(spark, tmp_path):
+    """NaN equals itself, as 0.0 does -0.0, in the SQL's joins: parts of such a size are paired too; NULL meets nothing."""
+    import duckdb
+
+    from factlattice.plans import catalogue
+
+    sizes = [float("nan"), 0.0, -0.0, 1.5, None]
+    rows = [(i, "b", sizes[i % 5], ["red bolt", "bolt", "red", "", None, "cold bolt", "old bolt"][i % 7]) for i in range(70)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size double, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = sorted(con.execute(catalogue.ORACLE["containment_join"]).fetchall())
+    assert any(i % 5 == 0 and j % 5 == 0 for i, j in want)
+    assert sorted(tuple(r) for r in catalogue.QUERIES["containment_join"](spark, str(tmp_path)).collect()) == want
+
+
 def test_quantile_by_brute_force(spark):
     """Ties, one row, NULL keys and values, places at both ends, and spans that lie beside the place."""
     rng = random.Random(7)
